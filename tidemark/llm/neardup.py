@@ -6,10 +6,19 @@ largest value, so half the hash evaluations give a signature of the full length.
 the signature name buckets. Documents with equal sets are one class from the start, so
 copies never make pairs.
 
-Inside a bucket, members are first held only against one leader, the first by the hash of
-its id. Where that does not settle a bucket, later rounds take its first 8, 64, 512... members
-as leaders of those in other components, so all candidate pairs across
-components are confirmed in the end, and none within one is needed.
+Inside a bucket, members are first held only against one leader, the most central one: that
+whose buckets hold the most members, as the original of a group of edited copies does. Where
+that does not settle a bucket, a second round takes its ``LEADERS`` most central members as
+leaders of those in other components. What is left are pairs across components, of members
+that no leader has linked. Two such members x and y have at most
+
+    min(|x & hub|, |y & hub|) + |(x - hub) & (y - hub)|
+
+shingles in common, so all that can be linked is found by joining the shingles that the hub
+lacks, and by comparing sizes; those pairs are confirmed, and the rest is proven apart. No
+pair within a component is needed, and no bucket is expanded into pairs. A pair is a
+candidate if the documents' sizes allow the similarity and at most ``BITS_APART`` of one bit
+of each signature value differ.
 
 Defined results: a null or empty text has an empty set, is in a class of its own and linked
 to nothing. ``doc_id`` names a document; rows that repeat it together with its text get the
@@ -23,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.llm import words
 from tidemark.plans.components import connected_components
@@ -34,6 +43,10 @@ PERMUTATIONS = 64
 #: Values of the signature in a band. With 128 values a pair at similarity 0.8 shares no
 #: band with probability (1 - 0.8^4)^32 < 5e-8.
 BAND = 4
+#: Of 128 bits, 12.8 differ on average at similarity 0.8; more than 33 with probability below 2e-7.
+BITS_APART = 33
+#: Leaders of a bucket in the second round.
+LEADERS = 8
 
 _rng = np.random.default_rng(20240607)
 _MULT = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,7 +97,10 @@ def _sketch(shingle: int):
                 if some.any():
                     k1[some] = np.add.reduceat(words.mix(sh + np.uint64(1)), at[some])
                     k2[some] = np.add.reduceat(words.mix(sh ^ np.uint64(0x6A09E667F3BCC909)), at[some])
-                keys = band_keys(minmax_signatures(sh, n))
+                signatures = minmax_signatures(sh, n)
+                keys = band_keys(signatures)
+                bits = np.zeros((len(n), 2), np.uint64)
+                bits[some] = np.packbits((words.mix(signatures) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
                 width = keys.shape[1]
                 ends = np.concatenate(([0], np.cumsum(np.where(some, width, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -94,8 +110,9 @@ def _sketch(shingle: int):
                         pa.array(k1.view(np.int64)),
                         pa.array(k2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
+                        *(pa.array(bits[:, b].copy().view(np.int64)) for b in range(2)),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "s1", "s2"],
                 )
 
     return run
@@ -127,11 +144,51 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def _confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``pairs(u, v)`` with the column ``linked``, decided on full sets."""
+def _profile(shingle: int):
+    """For pairs of a hub and a member, how many shingles they share and which of the member's the hub lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                runs = part.column(2).dictionary_encode()
+                hubs = _sets_of(runs.dictionary, shingle)
+                sets = _sets_of(part.column(3), shingle)
+                novel = [np.setdiff1d(x, hubs[k], assume_unique=True) for x, k in zip(sets, runs.indices.to_pylist())]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in novel]))).astype(np.int32)
+                flat = np.concatenate(novel).view(np.int64)
+                shared = np.array([len(x) - len(y) for x, y in zip(sets, novel)], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["u", "v", "m", "novel"])
+
+    return run
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
     full = members.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
-    return full.select("u", "v", "u_text", "v_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean")
+    return full.select("u", "v", "u_text", "v_text")
+
+
+def _confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``pairs(u, v)`` with the column ``linked``, decided on full sets."""
+    return _with_texts(pairs, texts).mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean")
+
+
+def _unsettled(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) across components of a hub's group that may be linked by what they share inside and outside the hub."""
+    same = f"l_hub = hub and l_component <> component and l_rep < rep and bit_count(s1 ^ l_s1) + bit_count(s2 ^ l_s2) <= {BITS_APART}"
+    enough = f"100 * (least(m, l_m) + c) >= {percent} * (n + l_n - least(m, l_m) - c)"
+
+    def left(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"l_{c}") for c in df.columns))
+
+    plain = groups.drop("novel")
+    inside = left(plain).join(plain.withColumn("c", F.lit(0)), F.expr(f"{same} and {enough}"))
+    terms = groups.withColumn("s", F.explode("novel")).drop("novel")
+    shared = terms.groupBy("hub", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub", "s")
+    terms = terms.join(shared, ["hub", "s"])
+    outside = left(terms).join(terms, F.expr(f"l_s = s and {same}")).groupBy("hub", "l_rep", "rep", "n", "l_n", "m", "l_m").agg(F.count("*").alias("c")).where(enough)
+    return inside.select(F.col("l_rep").alias("u"), F.col("rep").alias("v")).union(outside.select("l_rep", "rep")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -142,52 +199,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     and ``n_links`` counts the confirmed links of the document's class.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    base = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, s1 long, s2 long"))
     full = base.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = buckets.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep")).alias("leader"), F.count("*").alias("members")).where("members > 1")
-    rows = cut(buckets.join(shared.select("key", "leader"), "key"))
-    sizes = reps.select("doc_id", F.col("n_shingles").alias("n"))
-
-    def similar_size(x: str, y: str):
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-    lead_n = sizes.select(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"))
-    stars = rows.where("rep <> leader").select(F.col("leader"), F.col("rep").alias("v"), "n").distinct()
-    stars = stars.join(lead_n, "leader").where(similar_size("n", "leader_n"))
-    checked = cut(_confirm_pairs(stars.select(F.col("leader").alias("u"), "v"), docs, shingle, percent))
+    buckets = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "s2")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    rows = cut(buckets.join(shared, "key"))
+    central = rows.groupBy("rep").agg(F.sum("members").alias("central"))
+    rows = cut(rows.join(central, "rep"))
+
+    def candidates(leaders: DataFrame, members: DataFrame, apart: Column) -> DataFrame:
+        """Pairs (u, v) of a leader and a member of the same bucket that may be similar."""
+        alike = F.expr(f"100 * least(n, l_n) >= {percent} * greatest(n, l_n) and bit_count(s1 ^ l_s1) + bit_count(s2 ^ l_s2) <= {BITS_APART}")
+        lead = leaders.select("key", *(F.col(c).alias(f"l_{c}") for c in leaders.columns if c != "key"))
+        found = lead.join(members, (lead["key"] == members["key"]) & (F.col("rep") != F.col("l_rep")) & alike & apart)
+        return found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct()
+
+    rank = F.struct("central", F.xxhash64("rep"))
+    leaders = rows.groupBy("key").agg(F.max_by(F.struct("rep", "n", "s1", "s2"), rank).alias("l")).select("key", "l.*")
+    checked = cut(_confirm_pairs(candidates(leaders, rows, F.lit(True)), docs, shingle, percent))
     links = checked.where("linked").select("u", "v")
     parts = connected_components(links)
 
-    # Buckets that hold members of more than one component: further leaders.
-    done = 1
-    while True:
-        labelled = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-        mixed = mixed.where(F.col("members") > done + 1 if done > 1 else F.col("members") > 2)
-        open_rows = cut(labelled.join(mixed.select("key"), "key").select("key", "rep", "n", "component"))
-        if open_rows.isEmpty():
-            break
-        take = 8 * done
-        ranked = _smallest(open_rows, take)
-        pairs = (
-            ranked.select("key", F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"))
-            .join(open_rows, "key")
-            .where("component <> u_c and rep <> u")
-            .where(similar_size("n", "u_n"))
-            .select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v"))
-            .distinct()
-            .join(checked.select("u", "v"), ["u", "v"], "left_anti")
-        )
-        found = cut(_confirm_pairs(pairs, docs, shingle, percent))
+    def open_rows(led: int) -> DataFrame:
+        """Members of the buckets that still lie in several components and have more members than have led."""
+        labelled = rows.where(F.col("members") > led + 1).join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return cut(labelled.join(mixed, "key").select("key", "rep", "n", "s1", "s2", "component", "central"))
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal checked, links, parts
+        found = cut(_confirm_pairs(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"), docs, shingle, percent))
         checked = checked.unionByName(found)
         fresh = found.where("linked").select("u", "v")
         if not fresh.isEmpty():
             links = links.union(fresh)
             parts = connected_components(links)
-        done = take
+
+    left = open_rows(1)
+    if not left.isEmpty():
+        place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("central"), F.desc(F.xxhash64("rep"))))
+        second = left.withColumn("place", place).where(F.col("place") <= LEADERS).drop("place", "central")
+        settle(candidates(second, left, F.col("component") != F.col("l_component")))
+        left = open_rows(LEADERS)
+    if not left.isEmpty():
+        hubs = leaders.select("key", F.col("rep").alias("hub"))
+        groups = left.drop("central").join(hubs, "key").drop("key").distinct()
+        profile = _with_texts(groups.select(F.col("hub").alias("u"), F.col("rep").alias("v")), docs).mapInArrow(_profile(shingle), "u long, v long, m long, novel array<long>")
+        groups = cut(groups.join(profile.select(F.col("u").alias("hub"), F.col("v").alias("rep"), "m", "novel"), ["hub", "rep"]))
+        settle(_unsettled(groups, percent))
 
     degree = links.select(F.col("u").alias("rep")).union(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = (
@@ -200,17 +261,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     alone = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
-
-def _smallest(rows: DataFrame, take: int) -> DataFrame:
-    """At least the ``take`` members of each bucket that come first by the hash of their id, by partial
-    aggregation: no bucket is gathered whole. A bucket of few members comes whole, as does every one from 1024 on."""
-    if take >= 1024:
-        return rows
-    h = F.xxhash64("rep")
-    ends = rows.groupBy("key").agg(F.min(h).cast("double").alias("lo"), F.max(h).cast("double").alias("hi"))
-    # Each of 4 * take hash ranges keeps its minimum; what is below the take-th of those is enough, and little more.
-    cell = F.floor((h.cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * (4 * take))
-    firsts = rows.join(ends, "key").groupBy("key", cell.alias("cell")).agg(F.min(h).alias("first"))
-    bound = firsts.groupBy("key").agg(F.sort_array(F.collect_list("first")).alias("f"))
-    bound = bound.select("key", F.when(F.size("f") >= take, F.get("f", F.lit(take - 1))).otherwise(F.lit((1 << 63) - 1)).alias("bound"))
-    return rows.join(bound, "key").where(h <= F.col("bound")).select("key", "rep", "n", "component")
