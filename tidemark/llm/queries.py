@@ -4,22 +4,125 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.llm import bpe, extract, fingerprint, langid, licences, mixing, neardup, quality, topk, warc
+from tidemark.plans.lineage import new_table_path
+
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the bytes that they decode to, as digests."""
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+#: Documents stand for files: a directory for each hundred ids of a source, below one for each
+#: thousand; every fifth file is the LICENSE of its directory, every 25th that of the one above.
+FILE_PATH = """
+    coalesce(source, 'none') || '/p' || cast(doc_id div 1000 as string) || '/' || case
+        when doc_id % 25 = 0 then 'LICENSE'
+        when doc_id % 5 = 0 then 'q' || cast(doc_id div 100 as string) || '/LICENSE'
+        else 'q' || cast(doc_id div 100 as string) || '/f' || cast(doc_id as string) || '.txt' end
+"""
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document as a file: its own, or that of its nearest ancestor directory."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(FILE_PATH).alias("path"), "text")
+    return licences.scan(docs).select("doc_id", "path", "licence", "similarity", "licence_origin")
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record, written to an archive and read back."""
+    path = new_table_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: shingles of 4 words, similarity of 0.8 or more."""
-    from tidemark.llm.neardup import near_duplicates
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best others of every hundredth vector by integer inner product."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_license_scan,
+        op3_source_mix,
+        op4_warc_archive,
+        op5_minhash_near_dedup,
+        op6_language_id,
+        op7_quality_classifier,
+        op8_html_extraction,
+        op9_exact_top_k,
+        op10_order_minhash,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_archive": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html FROM pages
+        ), d AS (
+            SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+        ), g AS (
+            SELECT payload_digest, max(page_id) AS largest FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest
+        )
+        SELECT d.page_id, d.payload_bytes, d.payload_digest,
+               CASE WHEN g.largest IS NULL OR g.largest = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN g.largest = d.page_id THEN NULL ELSE g.largest END AS refers_to
+        FROM d LEFT JOIN g USING (payload_digest)
+    """,
+    "op9_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
