@@ -1 +1 @@
-
+"""Timers of the catalogue as streaming queries."""
