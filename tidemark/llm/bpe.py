@@ -4,7 +4,11 @@ The texts are cut by the tokenizer's pattern in the JVM. Each task keeps a table
 distinct pieces it has met; only pieces new to it go, as byte arrays, through the fold,
 which merges the adjacent pair of lowest rank again and again by a rank map held in two
 literal arrays (a perfect hash of pairs). A text's ids are then the table's entries in the
-order of its pieces. Nothing is shuffled, and a task that is lost is simply run again.
+order of its pieces. No text is shuffled, and a task that is lost is simply run again.
+
+Every task's table begins with the same frequent pieces: the ``FREQUENT`` most frequent of a
+sample of ``SAMPLE`` documents, folded once and broadcast. They only save work; a piece that
+is not among them is folded where it occurs.
 
 Decoding concatenates the byte strings of the ids.
 
@@ -25,16 +29,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Pieces of more bytes than this are merged with a heap.
 LONG = 128
 #: A task forgets its table of pieces when it has so many, to bound its memory.
-TABLE = 400_000
+TABLE = 700_000
+
+#: Documents in the sample for frequent pieces, those of the smallest key hashes, and most pieces kept of them.
+SAMPLE, FREQUENT = 8000, 1 << 18
 
 _BUCKETS, _SLOTS = 1 << 16, 1 << 18
 _M1, _M2 = 0x2C1B3C6D, 0x297A2D39
-_PLACES = 4096  # positions in a piece that is folded
+_PLACES = 1 << 12  # positions in a piece that is folded
 
 
 @lru_cache(maxsize=4)
@@ -72,7 +80,7 @@ def _tables(path: str) -> tuple[str, str, str]:
         taken[at] = True
         slots[at] = (key[g] << 16) | [pairs[k] for k in key[g].tolist()]
         shift[bucket[g[0]]] = d
-    slots[~taken] = -1
+    slots[~taken] = 1 << 49  # no pair's
     return tuple(",".join(map(str, x)) for x in ([ranks[bytes([b])] for b in range(256)], shift.tolist(), slots.tolist()))
 
 
@@ -85,23 +93,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_merges(piece: Column, ranks_path: str) -> Column:
-    """The ids of one piece, given as an array of byte values."""
+    """The ids of one piece, given as an array of byte values: each step merges the first pair of the lowest rank."""
     singles, shift, slots = map(_longs, _tables(ranks_path))
 
     def candidate(k: Column, i: Column) -> Column:
-        """rank * _PLACES + i for a pair that merges; far more for one that does not."""
+        """The rank above 12 bits of place for a pair that merges; far more for one that does not."""
         at = (F.shiftright(k * _M2, 24) + F.get(shift, F.shiftright(k * _M1, 22).bitwiseAND(_BUCKETS - 1).cast("int"))).bitwiseAND(_SLOTS - 1)
-        found = F.get(slots, at.cast("int")).bitwiseXOR(F.shiftleft(k, 16))
-        return F.when((found >= 0) & (found < 65536), found * _PLACES + i).otherwise(F.lit(1 << 60))
+        rank = F.get(slots, at.cast("int")).bitwiseXOR(F.shiftleft(k, 16))  # 65536 or more for a pair that isn't the slot's
+        return F.shiftleft(rank, 12).bitwiseOR(i.cast("long"))
 
     def step(state: Column, _: Column) -> Column:
         ids = state["ids"]
         keys = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: F.shiftleft(a, 16).bitwiseOR(F.get(ids, i + 1)))
 
         def merged(best: Column) -> Column:
-            at = (best.bitwiseAND(_PLACES - 1)).cast("int")
+            at = best.bitwiseAND(_PLACES - 1).cast("int")
             new = F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(best, 12)), F.slice(ids, at + 3, F.size(ids)))
-            return F.when(best < (1 << 60), F.struct(new.alias("ids"), (F.size(ids) > 2).alias("live"))).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("live")))
+            return F.when(best < (65536 << 12), F.struct(new.alias("ids"), (F.size(ids) > 2).alias("live"))).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("live")))
 
         return F.when(state["live"], _let(F.array_min(F.transform(keys, candidate)), merged)).otherwise(state)
 
@@ -142,51 +150,57 @@ def _byte_lists(pieces: list[bytes]) -> pa.Array:
 _INDEXED = "key long, ix array<int>, fresh int, new array<array<int>>, long array<binary>"
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(frequent: Broadcast):
     """Replace pieces by places in the task's table; pieces new to it come with a batch's first row."""
-    table: dict[bytes, int] = {}
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            lists = batch.column(1)
-            flat = lists.flatten().cast(pa.binary()).dictionary_encode()
-            if len(table) > TABLE:
-                table.clear()
-            fresh, new, place = len(table), [], []
-            for p in flat.dictionary.to_pylist():
-                k = table.get(p)
-                if k is None:
-                    k = table[p] = len(table)
-                    new.append(p)
-                place.append(k)
-            ix = np.asarray(place, np.int32)[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int32)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            rows = batch.num_rows
-            first = pa.array([0] + [len(new)] * rows, pa.int32())
-            long = [p for p in new if len(p) > LONG]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(ix)),
-                    pa.array([fresh] + [-1] * (rows - 1), pa.int32()),
-                    pa.ListArray.from_arrays(first, _byte_lists(new)),
-                    pa.ListArray.from_arrays(pa.array([0] + [len(long)] * rows, pa.int32()), pa.array(long, pa.binary())),
-                ],
-                names=["key", "ix", "fresh", "new", "long"],
-            )
-
-
-def _digest(path: str):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = {p: k for k, p in enumerate(frequent.value[0])}
+        table = dict(base)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                lists = batch.column(1)
+                flat = lists.flatten().cast(pa.binary()).dictionary_encode()
+                if len(table) > TABLE:
+                    table = dict(base)
+                fresh, new, place = len(table), [], []
+                for p in flat.dictionary.to_pylist():
+                    k = table.get(p)
+                    if k is None:
+                        k = table[p] = len(table)
+                        new.append(p)
+                    place.append(k)
+                ix = np.asarray(place, np.int32)[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int32)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                rows = batch.num_rows
+                first = pa.array([0] + [len(new)] * rows, pa.int32())
+                long = [p for p in new if len(p) > LONG]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(ix)),
+                        pa.array([fresh] + [-1] * (rows - 1), pa.int32()),
+                        pa.ListArray.from_arrays(first, _byte_lists(new)),
+                        pa.ListArray.from_arrays(pa.array([0] + [len(long)] * rows, pa.int32()), pa.array(long, pa.binary())),
+                    ],
+                    names=["key", "ix", "fresh", "new", "long"],
+                )
+
+    return run
+
+
+def _digest(path: str, frequent: Broadcast):
     ranks = load_ranks(path)  # read on the driver only; tasks get it with their code
     token = [b""] * (max(ranks.values()) + 1)
     for b, r in ranks.items():
         token[r] = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text: list[bytes] = []
-        raw: list[bytes] = []
-        size = np.zeros(0, np.int64)
+        base = _frequent_ids(frequent)
+        base_text, base_raw = [" ".join(map(str, i)).encode() for i in base], [b"".join([token[k] for k in i]) for i in base]
+        base_size = np.fromiter(map(len, base), np.int64, len(base))
+        text, raw, size = list(base_text), list(base_raw), base_size
         for batch in batches:
             out: list[list] = [[], [], []]
             ix_all = batch.column(1)
@@ -194,8 +208,8 @@ def _digest(path: str):
             fresh = batch.column(2).to_numpy(zero_copy_only=False)
             for r in range(batch.num_rows):
                 if fresh[r] >= 0:
-                    if fresh[r] == 0:
-                        text, raw, size = [], [], np.zeros(0, np.int64)
+                    if fresh[r] == len(base):
+                        text, raw, size = list(base_text), list(base_raw), base_size
                     long = iter(batch.column(4)[r].as_py())
                     ids = [i or merge_long(next(long), ranks) for i in batch.column(3)[r].as_py()]
                     text += [" ".join(map(str, i)).encode() for i in ids]
@@ -211,16 +225,17 @@ def _digest(path: str):
     return run
 
 
-def _ids(path: str):
+def _ids(path: str, frequent: Broadcast):
     ranks = load_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: list[list[int]] = []
+        base = _frequent_ids(frequent)
+        table = list(base)
         for batch in batches:
             out = []
             for key_ix, fresh, new, long in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
                 if fresh >= 0:
-                    table = table if fresh else []
+                    table = list(base) if fresh == len(base) else table
                     rest = iter(long)
                     table += [i or merge_long(next(rest), ranks) for i in new]
                 out.append([t for k in key_ix for t in table[k]])
@@ -229,24 +244,51 @@ def _ids(path: str):
     return run
 
 
-def _pieces_encoded(docs: DataFrame, ranks_path: str, pattern: str, key: str, text: str) -> DataFrame:
-    cut = docs.select(
-        F.col(key).cast("long").alias("key"),
-        F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0)).alias("pieces"),
-    )
-    indexed = cut.mapInArrow(_index, _INDEXED)
+def _pieces(docs: DataFrame, pattern: str, key: str, text: str) -> DataFrame:
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
+    return docs.select(F.col(key).cast("long").alias("key"), pieces.alias("pieces"))
+
+
+def _split_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pieces = batch.column(0).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), _byte_lists(pieces)], names=["piece", "bytes"])
+
+
+def frequent_pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str, text: str) -> Broadcast:
+    """The most frequent pieces of a bounded sample, and their ids."""
+    sample = docs.select(key, text).orderBy(F.xxhash64(key)).limit(SAMPLE)
+    counts = _pieces(sample, pattern, key, text).select(F.explode("pieces").alias("piece")).where(F.octet_length("piece") <= LONG).groupBy("piece").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    got = top.mapInArrow(_split_bytes, "piece binary, bytes array<int>").select("piece", fold_merges(F.col("bytes"), ranks_path).cast("array<int>").alias("ids")).toArrow()
+    ids = got["ids"].combine_chunks()
+    return docs.sparkSession.sparkContext.broadcast((got["piece"].to_pylist(), ids.flatten().to_numpy(), ids.value_lengths().to_numpy()))
+
+
+def _frequent_ids(frequent: Broadcast) -> list[list[int]]:
+    _, flat, sizes = frequent.value
+    ends, ids = np.cumsum(sizes).tolist(), flat.tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _pieces_encoded(docs: DataFrame, frequent: Broadcast, ranks_path: str, pattern: str, key: str, text: str) -> DataFrame:
+    indexed = _pieces(docs, pattern, key, text).mapInArrow(_index(frequent), _INDEXED)
     return indexed.withColumn("new", F.transform("new", lambda p: fold_merges(p, ranks_path).cast("array<int>")))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, ids)`` for every row: the token ids of its whole text."""
-    return _pieces_encoded(docs, ranks_path, pattern, key, text).mapInArrow(_ids(ranks_path), "key long, ids array<int>").withColumnRenamed("key", key)
+    frequent = frequent_pieces(docs, ranks_path, pattern, key, text)
+    rows = _pieces_encoded(docs, frequent, ranks_path, pattern, key, text)
+    return rows.mapInArrow(_ids(ranks_path, frequent), "key long, ids array<int>").withColumnRenamed("key", key)
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)`` for every row: what its ids are and decode to."""
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _pieces_encoded(docs, ranks_path, pattern, key, text).mapInArrow(_digest(ranks_path), schema).withColumnRenamed("key", key)
+    frequent = frequent_pieces(docs, ranks_path, pattern, key, text)
+    rows = _pieces_encoded(docs, frequent, ranks_path, pattern, key, text)
+    return rows.mapInArrow(_digest(ranks_path, frequent), schema).withColumnRenamed("key", key)
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
