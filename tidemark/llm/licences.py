@@ -67,9 +67,8 @@ def match_lines(lines: DataFrame, spark: SparkSession) -> DataFrame:
     dot = weight.join(F.broadcast(t_weight), "term").groupBy("line", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = dot.join(norm, "line").join(F.broadcast(t_norm), "licence")
     cosine = cosine.select("line", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("similarity"))
-    best = F.max_by(F.struct("licence", "similarity"), F.struct(F.col("similarity"), -F.col("order")))
-    order = spark.createDataFrame([(name, i) for i, name in enumerate(sorted(t[0] for t in TEMPLATES))], "licence string, order int")
-    return cosine.join(F.broadcast(order), "licence").groupBy("line").agg(best.alias("b")).select("line", "b.licence", "b.similarity")
+    best = F.min_by(F.struct("licence", "similarity"), F.struct(-F.col("similarity"), F.col("licence")))
+    return cosine.groupBy("line").agg(best.alias("b")).select("line", "b.licence", "b.similarity")
 
 
 def ancestors(directory: Column) -> Column:
@@ -93,7 +92,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     named = rows.where(F.size("__lines") > 0).select("path", "__dir", F.explode("__lines").alias("line"))
     matched = match_lines(named.select("line"), spark).where(F.col("similarity") >= least)
     hits = named.join(matched, "line")
-    pick = F.max_by(F.struct("licence", "similarity"), F.struct(F.col("similarity"), F.col("licence")))
+    pick = F.min_by(F.struct("licence", "similarity"), F.struct(-F.col("similarity"), F.col("licence")))
     own = hits.groupBy(F.col("path").alias("__path")).agg(pick.alias("own"))
     name = F.regexp_extract("path", "([^/]*)$", 1)
     files_of = hits.where(name.rlike(_LICENCE_FILE)).groupBy("__dir", "path").agg(pick.alias("own"))

@@ -23,11 +23,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Documents stand for files: a directory for each hundred ids of a source, below one for each
-#: thousand; every fifth file is the LICENSE of its directory, every 25th that of the one above.
+#: thousand; every fifth file is a licence file of its directory, every 25th one of the directory above.
 FILE_PATH = """
     coalesce(source, 'none') || '/p' || cast(doc_id div 1000 as string) || '/' || case
-        when doc_id % 25 = 0 then 'LICENSE'
-        when doc_id % 5 = 0 then 'q' || cast(doc_id div 100 as string) || '/LICENSE'
+        when doc_id % 25 = 0 then 'LICENSE.' || cast(doc_id as string)
+        when doc_id % 5 = 0 then 'q' || cast(doc_id div 100 as string) || '/LICENSE.' || cast(doc_id as string)
         else 'q' || cast(doc_id div 100 as string) || '/f' || cast(doc_id as string) || '.txt' end
 """
 
@@ -96,7 +96,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_LICENCE_VALUES = ", ".join(f"('{name}', '{line}')" for name, line in licences.TEMPLATES)
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": f"""
+        WITH f AS (
+            SELECT doc_id, text, {FILE_PATH.replace(" div ", " // ").replace("as string", "AS VARCHAR")} AS path FROM documents
+        ), d AS (
+            SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f
+        ), named AS (
+            SELECT path, dir, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{licences._MAY_NAME}'))) AS line FROM d
+        ), counted AS (
+            SELECT line, count(*) AS n FROM named GROUP BY 1
+        ), total AS (
+            SELECT coalesce(sum(n), 0) AS total FROM counted
+        ), terms AS (
+            SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest(regexp_extract_all(lower(line), '{licences._TERM}')) AS term FROM counted) GROUP BY ALL
+        ), df AS (
+            SELECT term, sum(n) AS df FROM terms GROUP BY 1
+        ), t_terms AS (
+            SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(line), '{licences._TERM}')) AS term FROM (VALUES {_LICENCE_VALUES}) t(licence, line)) GROUP BY ALL
+        ), tw AS (
+            SELECT licence, term, tf * (ln((1 + total) / (1 + coalesce(df, 0))) + 1) AS w FROM t_terms LEFT JOIN df USING (term), total
+        ), w AS (
+            SELECT line, term, tf * (ln((1 + total) / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), total
+        ), scores AS (
+            SELECT line, licence, round(sum(w.w * tw.w) / (any_value(norm) * any_value(t_norm)), 6) AS similarity
+            FROM w JOIN tw USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) USING (line) JOIN (SELECT licence, sqrt(sum(w * w)) AS t_norm FROM tw GROUP BY 1) USING (licence)
+            GROUP BY 1, 2
+        ), best AS (
+            SELECT line, licence, similarity FROM scores QUALIFY row_number() OVER (PARTITION BY line ORDER BY similarity DESC, licence) = 1
+        ), own AS (
+            SELECT path, dir, licence, similarity FROM named JOIN best USING (line) WHERE similarity >= {licences.LEAST}
+            QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, licence) = 1
+        ), licensed AS (
+            SELECT dir AS ancestor, arg_min(licence, path) AS licence, arg_min(similarity, path) AS similarity FROM own
+            WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences._LICENCE_FILE}') GROUP BY 1
+        ), up AS (
+            SELECT dir, ancestor, licence, similarity FROM (SELECT DISTINCT dir FROM d) JOIN licensed ON dir = ancestor OR starts_with(dir, ancestor || '/')
+            QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(ancestor) DESC) = 1
+        )
+        SELECT doc_id, d.path, coalesce(own.licence, up.licence) AS licence, coalesce(own.similarity, up.similarity) AS similarity,
+               CASE WHEN own.licence IS NOT NULL THEN 'own' ELSE ancestor END AS licence_origin
+        FROM d LEFT JOIN own USING (path) LEFT JOIN up ON up.dir = d.dir
+    """,
     "op4_warc_archive": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html FROM pages
