@@ -18,7 +18,7 @@ def brute_force(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e-3, 3e7])
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 2e5])
 def test_brute_force(spark, scale):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, scale) for _ in range(8)]) for i in range(400)]

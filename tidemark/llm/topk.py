@@ -97,7 +97,7 @@ class _Best:
         if not len(q):
             return
         q, score, ids = np.concatenate((self.q, q)), np.concatenate((self.score, score)), np.concatenate((self.id, ids))
-        order = np.lexsort((ids, -score.astype(np.float64), q))
+        order = np.lexsort((ids, ~score, q))  # ~ turns the order round
         q, score, ids = q[order], score[order], ids[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         keep = place < self.k
