@@ -10,12 +10,13 @@ Inside a bucket, members are first held only against one leader, the most centra
 whose buckets hold the most members, as the original of a group of edited copies does. Where
 that does not settle a bucket, a second round takes its ``LEADERS`` most central members as
 leaders of those in other components. What is left are pairs across components, of members
-that no leader has linked. Two such members x and y have at most
+that no leader has linked. For any set K, two such members x and y have at most
 
-    min(|x & hub|, |y & hub|) + |(x - hub) & (y - hub)|
+    min(|x & K|, |y & K|) + |(x - K) & (y - K)|
 
-shingles in common, so all that can be linked is found by joining the shingles that the hub
-lacks, and by comparing sizes; those pairs are confirmed, and the rest is proven apart. No
+shingles in common. With K the leader's set and all shingles that many of its bucket mates
+have, x - K is rare, and all pairs that can be linked are found by joining rare shingles and
+by comparing sizes; those pairs are confirmed, and the rest is proven apart. No
 pair within a component is needed, and no bucket is expanded into pairs. A pair is a
 candidate if the documents' sizes allow the similarity and at most ``BITS_APART`` of one bit
 of each signature value differ.
@@ -45,6 +46,8 @@ PERMUTATIONS = 64
 BAND = 4
 #: Of 128 bits, 12.8 differ on average at similarity 0.8; more than 33 with probability below 2e-7.
 BITS_APART = 33
+#: Members of a hub's group that may share a shingle outside the group's core.
+RARE = 32
 #: Leaders of a bucket in the second round.
 LEADERS = 8
 
@@ -175,20 +178,30 @@ def _confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: in
 
 
 def _unsettled(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) across components of a hub's group that may be linked by what they share inside and outside the hub."""
+    """Pairs (u, v) across components of a hub's group that may be linked by what they share inside and outside a core.
+
+    The core is the hub with all shingles that more than ``RARE`` members of its group have; m counts a member's
+    shingles in the core and c what two members share outside it, so |x & y| <= min(m_x, m_y) + c. What lies outside
+    is rare, so joining it grows with the members, not with their pairs.
+    """
     same = f"l_hub = hub and l_component <> component and l_rep < rep and bit_count(s1 ^ l_s1) + bit_count(s2 ^ l_s2) <= {BITS_APART}"
-    enough = f"100 * (least(m, l_m) + c) >= {percent} * (n + l_n - least(m, l_m) - c)"
+
+    def enough(c: str) -> str:
+        return f"100 * (least(m, l_m) + {c}) >= {percent} * (n + l_n - least(m, l_m) - {c})"
 
     def left(df: DataFrame) -> DataFrame:
         return df.select(*(F.col(c).alias(f"l_{c}") for c in df.columns))
 
-    plain = groups.drop("novel")
-    inside = left(plain).join(plain.withColumn("c", F.lit(0)), F.expr(f"{same} and {enough}"))
-    terms = groups.withColumn("s", F.explode("novel")).drop("novel")
-    shared = terms.groupBy("hub", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub", "s")
-    terms = terms.join(shared, ["hub", "s"])
-    outside = left(terms).join(terms, F.expr(f"l_s = s and {same}")).groupBy("hub", "l_rep", "rep", "n", "l_n", "m", "l_m").agg(F.count("*").alias("c")).where(enough)
-    return inside.select(F.col("l_rep").alias("u"), F.col("rep").alias("v")).union(outside.select("l_rep", "rep")).distinct()
+    terms = groups.select("hub", "rep", F.explode("novel").alias("s"))
+    rare = terms.groupBy("hub", "s").agg(F.count("*").alias("often")).where(F.col("often") <= RARE)
+    terms = terms.join(rare, ["hub", "s"])
+    outside = terms.groupBy("hub", "rep").agg(F.count("*").alias("out"))
+    members = groups.drop("novel", "m").join(outside, ["hub", "rep"], "left").withColumn("m", F.col("n") - F.coalesce("out", F.lit(0))).drop("out")
+    members = cut(members)
+    inside = left(members).join(members, F.expr(f"{same} and {enough('0')}"))
+    met = terms.where("often > 1").select("hub", "rep", "s").join(members, ["hub", "rep"])
+    met = left(met).join(met, F.expr(f"l_s = s and {same}")).groupBy("hub", "l_rep", "rep", "n", "l_n", "m", "l_m").agg(F.count("*").alias("c")).where(enough("c"))
+    return inside.select(F.col("l_rep").alias("u"), F.col("rep").alias("v")).union(met.select("l_rep", "rep")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
