@@ -54,3 +54,10 @@ def test_cosine(spark):
         best = max(s for s, _ in scores)
         assert abs(got[line].similarity - best) < 2e-6
         assert got[line].licence == min(n for s, n in scores if s == best)
+
+
+def test_query(spark, tiny):
+    from tests.compare import assert_same
+    from tidemark.llm.queries import ORACLES, QUERIES
+
+    assert_same(QUERIES["op2_license_scan"](spark, tiny), ORACLES["op2_license_scan"], tiny)

@@ -16,7 +16,9 @@ an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tidemark.plans.lineage import cut
 
 LEAST = 0.6
 #: How licences are commonly named in a file's header or in a licence file.
@@ -49,9 +51,9 @@ def _term_rows(lines: DataFrame, *keys: str) -> DataFrame:
 
 def match_lines(lines: DataFrame, spark: SparkSession) -> DataFrame:
     """``line, licence, similarity``: the best template of each distinct line, with lines weighted by how often they occur."""
-    counted = lines.groupBy("line").agg(F.count("*").alias("n"))
+    counted = cut(lines.groupBy("line").agg(F.count("*").alias("n")))
     terms = _term_rows(counted, "line", "n")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
     df = terms.groupBy("term").agg(F.sum("n").alias("df"))
     templates = spark.createDataFrame(TEMPLATES, "licence string, line string")
     t_terms = _term_rows(templates, "licence").select("licence", "term", F.col("tf").alias("t_tf"))
@@ -59,10 +61,9 @@ def match_lines(lines: DataFrame, spark: SparkSession) -> DataFrame:
     def idf(n: Column, docs: Column) -> Column:
         return F.log((1 + docs) / (1 + n)) + 1
 
-    one = F.broadcast(total)  # a single row
-    t_weight = t_terms.join(df, "term", "left").crossJoin(one).select("licence", "term", (F.col("t_tf") * idf(F.coalesce("df", F.lit(0)), F.col("total"))).alias("tw"))
+    t_weight = t_terms.join(df, "term", "left").select("licence", "term", (F.col("t_tf") * idf(F.coalesce("df", F.lit(0)), total)).alias("tw"))
     t_norm = t_weight.groupBy("licence").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("t_norm"))
-    weight = terms.join(df, "term").crossJoin(one).select("line", "term", (F.col("tf") * idf(F.col("df"), F.col("total"))).alias("w"))
+    weight = terms.join(df, "term").select("line", "term", (F.col("tf") * idf(F.col("df"), total)).alias("w"))
     norm = weight.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = weight.join(F.broadcast(t_weight), "term").groupBy("line", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = dot.join(norm, "line").join(F.broadcast(t_norm), "licence")
@@ -89,7 +90,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     result = ("licence", "similarity", "licence_origin", "__dir", "__row", "__lines")
     keep = [c for c in files.columns if c not in result]
     rows = files.select(*keep, directory.alias("__dir"), lines.alias("__lines"))
-    named = rows.where(F.size("__lines") > 0).select("path", "__dir", F.explode("__lines").alias("line"))
+    named = cut(rows.where(F.size("__lines") > 0).select("path", "__dir", F.explode("__lines").alias("line")))
     matched = match_lines(named.select("line"), spark).where(F.col("similarity") >= least)
     hits = named.join(matched, "line")
     pick = F.min_by(F.struct("licence", "similarity"), F.struct(-F.col("similarity"), F.col("licence")))
