@@ -29,6 +29,8 @@ BIN_BITS = 6
 KEEP = 2
 #: Consecutive ids that share a window, as a power of two.
 GROUP_BITS = 8
+#: Groups' first ids, two longs each, that are broadcast rather than joined by a shuffle of the texts.
+BROADCAST = 200_000
 
 _POS = 24
 _LOW = (1 << _POS) - 1
@@ -129,10 +131,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order = following(ids.select("b"))
     # The first document of the next group follows the last one of a group.
     heads = ids.join(order.select(F.col("b").alias("for"), F.col("next").alias("b")), "b").select("for", "head")
+    if ids.count() <= BROADCAST:
+        heads = F.broadcast(heads)
     first = docs.join(heads, F.coalesce(docs["doc_id"], F.lit(none)) == heads["head"]).select("for", "text")
     first = with_signature(first.groupBy("for").agg(F.min_by("text", F.xxhash64("text")).alias("first_text")), "first_text", "first_sig")
 
-    known = with_signature(docs.withColumn("b", group), "text", "sig")
+    known = with_signature(docs.withColumn("b", group).repartition("b"), "text", "sig")  # texts are dealt out once; signatures aren't
     w = W.partitionBy("b").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     pairs = known.withColumn("after", F.lead(F.struct("text", "sig")).over(w)).join(first.withColumnRenamed("for", "b"), "b", "left")
     after = F.coalesce("after", F.struct(F.col("first_text").alias("text"), F.col("first_sig").alias("sig")))
