@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.sampling import smallest_hashes
+
 #: Pieces of more bytes than this are merged with a heap.
 LONG = 128
 #: A task forgets its table of pieces when it has so many, to bound its memory.
@@ -257,7 +259,7 @@ def _split_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str, text: str) -> Broadcast:
     """The most frequent pieces of a bounded sample, and their ids."""
-    sample = docs.select(key, text).orderBy(F.xxhash64(key)).limit(SAMPLE)
+    sample = smallest_hashes(docs.select(key, text), key, SAMPLE, F.xxhash64(text), of=docs.select(key))
     counts = _pieces(sample, pattern, key, text).select(F.explode("pieces").alias("piece")).where(F.octet_length("piece") <= LONG).groupBy("piece").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     got = top.mapInArrow(_split_bytes, "piece binary, bytes array<int>").select("piece", fold_merges(F.col("bytes"), ranks_path).cast("array<int>").alias("ids")).toArrow()

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm import words
+from tidemark.llm.sampling import smallest_hashes
 
 SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 24_000
@@ -203,9 +204,9 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
     """Fit on a bounded sample of the labelled rows outside the held-out fold; None if there are none."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(sample_docs)
+    rows = smallest_hashes(rows, "doc_id", sample_docs, "lang", F.xxhash64("text"), of=docs.select("doc_id"))
     counts = rows.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    got = counts.orderBy(F.xxhash64("word"), "lang").limit(sample_words).collect()
+    got = smallest_hashes(counts, "word", sample_words, "lang").collect()
     languages = sorted({r.lang for r in got})
     samples = [(r.word.encode(), languages.index(r.lang), r["count"] ** 0.5) for r in got]
     return train_network(samples, languages) if samples else None

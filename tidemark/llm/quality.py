@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm import words
+from tidemark.llm.sampling import smallest_hashes
 
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE = 4000
@@ -196,7 +197,7 @@ def held_out(key: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
     """Fit on at most ``sample`` labelled rows outside the held-out fold."""
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    rows = smallest_hashes(rows, "doc_id", sample, "label")
     known = docs.select("doc_id", "text", _n_chars(docs).alias("chars")).join(F.broadcast(rows), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
     got = known.select("text", "chars", "label").mapInArrow(_features, "ix array<int>, stats array<float>, label int").toArrow()
     ix = got["ix"].combine_chunks()

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidemark.llm.sampling import smallest_hashes
 from tidemark.plans.lineage import cut, new_table_path
 
 SAMPLE = 4096
@@ -150,7 +151,7 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS)
     """The index table, in annulus order and kept in the shared folder, and what a search needs to know of it."""
     known = vectors.agg(F.max(F.size("v")).alias("w"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))).alias("n")).first()
     width, norm2 = int(known.w or 0), float(known.n or 0.0)
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toArrow()
+    rows = smallest_hashes(vectors, "vec_id", sample, "v").toArrow()
     x = _matrix(rows["v"].combine_chunks(), width) if rows.num_rows else np.zeros((0, width), np.int64)
     facts = {"width": width, "norm2": norm2, "pivots": choose_pivots(_lift(x, norm2), pivots), "sample": x, "sample_ids": rows["vec_id"].to_numpy()}
     if not rows.num_rows:
