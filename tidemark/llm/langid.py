@@ -229,7 +229,7 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """The rows of ``docs``, with their columns, whose language is found with a score of ``least`` or more."""
     known = label(docs, train(docs), tuple(docs.columns))
     return known.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
