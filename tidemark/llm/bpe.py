@@ -37,12 +37,12 @@ from tidemark.llm.sampling import smallest_hashes
 #: Pieces of more bytes than this are merged with a heap.
 LONG = 128
 #: A task forgets its table of pieces when it has so many, to bound its memory.
-TABLE = 700_000
+TABLE = 500_000
 
 #: Documents in the sample for frequent pieces, those of the smallest key hashes, and most pieces kept of them.
-SAMPLE, FREQUENT = 8000, 1 << 18
+SAMPLE, FREQUENT = 4000, 1 << 16
 
-_BUCKETS, _SLOTS = 1 << 16, 1 << 18
+_BUCKETS, _SLOTS = 1 << 16, 1 << 17
 _M1, _M2 = 0x2C1B3C6D, 0x297A2D39
 _PLACES = 1 << 12  # positions in a piece that is folded
 
