@@ -40,7 +40,7 @@ LONG = 128
 TABLE = 500_000
 
 #: Documents in the sample for frequent pieces, those of the smallest key hashes, and most pieces kept of them.
-SAMPLE, FREQUENT = 4000, 1 << 16
+SAMPLE, FREQUENT = 6000, 1 << 17
 
 _BUCKETS, _SLOTS = 1 << 16, 1 << 17
 _M1, _M2 = 0x2C1B3C6D, 0x297A2D39
