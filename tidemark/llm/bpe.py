@@ -33,6 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.sampling import smallest_hashes
+from tidemark.plans.lineage import new_table_path
 
 #: Pieces of more bytes than this are merged with a heap.
 LONG = 128
@@ -261,10 +262,12 @@ def frequent_pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str, te
     """The most frequent pieces of a bounded sample, and their ids."""
     sample = smallest_hashes(docs.select(key, text), key, SAMPLE, F.xxhash64(text), of=docs.select(key))
     counts = _pieces(sample, pattern, key, text).select(F.explode("pieces").alias("piece")).where(F.octet_length("piece") <= LONG).groupBy("piece").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece").repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    got = top.mapInArrow(_split_bytes, "piece binary, bytes array<int>").select("piece", fold_merges(F.col("bytes"), ranks_path).cast("array<int>").alias("ids")).toArrow()
+    spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "pieces")
+    top = counts.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece")
+    top.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)  # so that the rank literals are planned once, without a shuffle
+    got = spark.read.parquet(path).mapInArrow(_split_bytes, "piece binary, bytes array<int>").select("piece", fold_merges(F.col("bytes"), ranks_path).cast("array<int>").alias("ids")).toArrow()
     ids = got["ids"].combine_chunks()
-    return docs.sparkSession.sparkContext.broadcast((got["piece"].to_pylist(), ids.flatten().to_numpy(), ids.value_lengths().to_numpy()))
+    return spark.sparkContext.broadcast((got["piece"].to_pylist(), ids.flatten().to_numpy(), ids.value_lengths().to_numpy()))
 
 
 def _frequent_ids(frequent: Broadcast) -> list[list[int]]:
