@@ -45,6 +45,19 @@ def test_labels_are_not_inputs(docs, labelled):
     assert a == langid.identify(docs(changed)).orderBy("doc_id").collect()
 
 
+@pytest.mark.parametrize("n", [400, 6000])
+def test_junk_is_not_identified(docs, n):
+    """Signs with a letter or two go by the margin (400); with held-out rows to learn from (6000), mixed languages go too. Clean ones stay."""
+    rng = random.Random(4)
+    clean = [(i, sentence(rng, lang), lang, "s") for i in range(n) for lang in [rng.choice(list(VOICES))]]
+    mixed = [" ".join(rng.sample([w for v in VOICES for w in sentence(rng, v).split()[:10]], 30)) for _ in range(5)]
+    signs = ["12 !! 34 " * 40 + "a", "%%% *** " * 50 + "x y", "0x1 0x2 " * 3 + "99 " * 90]
+    df = docs(clean + [(10_000 + i, t, None, "s") for i, t in enumerate(signs + (mixed if n == 6000 else []))])
+    kept = [r.doc_id for r in langid.keep_identified(df).select("doc_id").collect()]
+    assert not [i for i in kept if i >= 10_000]
+    assert len(kept) >= 0.995 * n
+
+
 def test_gradients():
     """Backpropagation through time agrees with finite differences."""
     rng = np.random.default_rng(0)

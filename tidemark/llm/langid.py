@@ -30,6 +30,11 @@ from tidemark.llm.sampling import smallest_hashes
 
 SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 24_000
+#: Held-out documents that the least evidence is taken from, the share of them that may fall below it, and its least
+#: distance from chance, as a share of the way to 1.
+HELD_DOCS = 8000
+LOST = 0.001
+MARGIN = 0.1
 #: Longest run of bytes that is read as one sequence.
 PIECE = 24
 HIDDEN = 12
@@ -229,7 +234,33 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language is found with a score of ``least`` or more."""
-    known = label(docs, train(docs), tuple(docs.columns))
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+def _evidence(languages: int) -> Column:
+    """The score, drawn to chance by the share of the text's characters that are no letters: digits and signs name no language."""
+    letters, shown = F.length(F.regexp_replace("row.text", r"[^\p{L}\p{M}]+", "")), F.length(F.regexp_replace("row.text", r"\s+", ""))
+    return F.lit(1 / languages) + (F.col("score") - 1 / languages) * letters / F.greatest(shown, F.lit(1))
+
+
+def least_evidence(docs: DataFrame, net: Network) -> float:
+    """What a document's evidence must reach, from the evidence of held-out rows that are labelled as they should be.
+
+    All but one in ``1 / LOST`` of those reach it, and it is at least ``MARGIN`` of the way from chance to 1. Where
+    there are too few of them to tell such a quantile, the margin decides. One language can't be told from others.
+    """
+    n = len(net.languages)
+    if n == 1:
+        return 0.0
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out()).select("doc_id", "lang", "text")
+    rows = smallest_hashes(rows, "doc_id", HELD_DOCS, "lang", F.xxhash64("text"))
+    right = label(rows, net, ("lang", "text")).where("row.lang = lang_pred").select(_evidence(n).alias("e"))
+    got = right.agg(F.count("*").alias("n"), F.expr(f"percentile_disc({LOST}) WITHIN GROUP (ORDER BY e)").alias("low")).first()
+    margin = 1 / n + MARGIN * (1 - 1 / n)
+    return max(margin, got.low) if got.n * LOST >= 1 else margin
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose language is found with as much evidence as ``least_evidence`` asks for."""
+    net = train(docs)
+    known = label(docs, net, tuple(docs.columns)).where("lang_pred <> 'und'")
+    if net is not None:
+        known = known.where(_evidence(len(net.languages)) >= least_evidence(docs, net))
+    return known.select("row.*")
