@@ -45,6 +45,23 @@ def test_labels_are_not_inputs(docs, labelled):
     assert a == langid.identify(docs(changed)).orderBy("doc_id").collect()
 
 
+def test_sparse_labels(spark, monkeypatch):
+    """The sample is as large among many rows without a label as it would be without them."""
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "case when id % 40 = 0 then 'aa' end AS lang", "'w' || cast(id as string) AS text")
+    seen = []
+    monkeypatch.setattr(langid, "train_network", lambda samples, languages: seen.append(samples))
+    langid.train(rows, sample_docs=100)
+    langid.train(rows.where("lang is not null"), sample_docs=100)
+    assert len(seen[0]) == 100 and seen[0] == seen[1]
+
+
+def test_long_words_are_learnt_whole(docs, monkeypatch):
+    word, seen = "ab" * langid.PIECE + "end", []
+    monkeypatch.setattr(langid, "train_network", lambda samples, languages: seen.extend(samples))
+    langid.train(docs([(i, word, "aa", "s") for i in range(8)]))
+    assert {s[0].decode() for s in seen} == {word[i : i + langid.PIECE] for i in range(0, len(word), langid.PIECE)}
+
+
 @pytest.mark.parametrize("n", [400, 6000])
 def test_junk_is_not_identified(docs, n):
     """Signs with a letter or two go by the margin (400); with held-out rows to learn from (6000), mixed languages go too. Clean ones stay."""

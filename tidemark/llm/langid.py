@@ -4,7 +4,7 @@ The network reads the bytes of a word forwards and backwards, labels every posit
 language probabilities, and a document's probabilities are the means over its positions. It
 is trained in numpy by backpropagation through time on the driver, on a bounded sample: at
 most ``SAMPLE_DOCS`` labelled documents, those with the smallest id hashes, and at most
-``SAMPLE_WORDS`` of their distinct (word, language) pairs.
+``SAMPLE_WORDS`` of their distinct (word or piece, language) pairs.
 
 A word always gets the same labels, so a task runs the network once for each distinct word
 and adds its sums for every occurrence; words of over ``PIECE`` bytes are read in pieces.
@@ -113,7 +113,7 @@ def _by_length(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Ite
 
 
 def train_network(samples: list[tuple[bytes, int, float]], languages: list[str], epochs: int = 6, rate: float = 0.01) -> Network:
-    """Backpropagation through time and Adam on ``(word, language, weight)``."""
+    """Backpropagation through time and Adam on ``(piece of a word, language, weight)``."""
     rng = np.random.default_rng(11)
 
     def direction() -> Direction:
@@ -124,8 +124,8 @@ def train_network(samples: list[tuple[bytes, int, float]], languages: list[str],
     net = Network(direction(), direction(), rng.normal(0, 0.3, (2 * HIDDEN, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32), languages)
     params = [net.forward.table, net.forward.hidden, net.forward.bias, net.backward.table, net.backward.hidden, net.backward.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    data = np.frombuffer(b"".join(s[0][:PIECE] for s in samples), np.uint8)
-    lengths = np.array([min(len(s[0]), PIECE) for s in samples])
+    data = np.frombuffer(b"".join(s[0] for s in samples), np.uint8)
+    lengths = np.array([len(s[0]) for s in samples])
     starts = np.cumsum(lengths) - lengths
     label, weight = np.array([s[1] for s in samples]), np.array([s[2] for s in samples], np.float32)
     weight /= weight.mean()
@@ -209,11 +209,14 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
     """Fit on a bounded sample of the labelled rows outside the held-out fold; None if there are none."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    rows = smallest_hashes(rows, "doc_id", sample_docs, "lang", F.xxhash64("text"), of=docs.select("doc_id"))
-    counts = rows.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
+    rows = smallest_hashes(rows, "doc_id", sample_docs, "lang", F.xxhash64("text"))
+    found = rows.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    word = "cast(word AS binary)"
+    pieces = F.expr(f"transform(sequence(1, length({word}), {PIECE}), i -> substring({word}, i, {PIECE}))")
+    counts = found.select("lang", F.explode(pieces).alias("word")).groupBy("lang", "word").count()
     got = smallest_hashes(counts, "word", sample_words, "lang").collect()
     languages = sorted({r.lang for r in got})
-    samples = [(r.word.encode(), languages.index(r.lang), r["count"] ** 0.5) for r in got]
+    samples = [(bytes(r.word), languages.index(r.lang), r["count"] ** 0.5) for r in got]
     return train_network(samples, languages) if samples else None
 
 
