@@ -1,4 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
+from tidemark.llm import mixing
 from tidemark.plans.lineage import new_table_path
 
 
@@ -20,3 +23,21 @@ def test_stages(spark, tiny):
 def test_run(spark, tiny):
     out = corpus_pipeline.run(spark, tiny)
     assert {"doc_id", "n_tokens"} <= set(out.columns) and out.count() > 0
+
+
+def test_null_and_repeated_ids_are_documents(spark, docs, tiny):
+    """Different texts stay, each once, whatever their ids; near copies go, whatever theirs."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1), "en", "a"), (None, text(2), "en", "a"), (7, text(3), "en", "a"), (7, text(4), "en", "b"), (8, text(5), "en", "b")]
+    copies = [(7, text(1), "en", "b"), (9, text(4), "en", "b"), (8, text(5), "en", "b"), (None, text(2) + " more", "en", "a")]
+    out = corpus_pipeline.dedup_stage(spark, docs(rows + copies), tiny)
+    got = sorted(r.text.removesuffix(" more") for r in out.collect())
+    assert got == [text(k) for k in range(1, 6)]
+
+
+def test_mix_by_row(spark, docs, tiny):
+    """Every row comes as often as its own share says: with one source all twice at a share of 2."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [(None, text(1), "en", "a"), (None, text(2), "en", "a"), (7, text(3), "en", "a"), (7, text(4), "en", "a"), (8, text(5), "en", "a"), (8, text(5), "en", "a"), (None, None, "en", "a")]
+    out = mixing.mixed_documents(docs(rows), share=2.0)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(2 * [r[:2] for r in rows if r[1]])

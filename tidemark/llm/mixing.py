@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.plans.lineage import cut
+from tidemark.plans.rows import row_key
 
 #: Words in a block.
 BLOCK = 512
@@ -129,7 +130,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each row of ``docs`` as often as the mix takes it, to the nearest whole number."""
-    times = mix(docs, **options).where("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__times")).where("__times > 0")
-    joined = docs.join(times.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(docs[c] for c in docs.columns))
+    """The mix as documents: each row of ``docs`` as often as the mix takes it, to the nearest whole number.
+
+    Rows go by ``row_key``, so null and repeated ids are documents of their own; rows that are equal in all columns
+    come as often as the mix takes them together.
+    """
+    keyed = docs.withColumn("__key", row_key(docs))
+    taken = mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text"), **options).where("size > 0")
+    times = taken.groupBy(F.col("doc_id").alias("__key")).agg(F.sum(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__times"), F.count("*").alias("__rows"))
+    times = cut(times.where("__times > 0"))
+    joined = keyed.join(times.where("__rows = 1"), "__key")
+    equal = times.where("__rows > 1")
+    if not equal.isEmpty():
+        joined = joined.unionByName(keyed.join(equal, "__key").dropDuplicates(["__key"]))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
