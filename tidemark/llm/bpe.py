@@ -3,12 +3,13 @@
 The texts are cut by the tokenizer's pattern in the JVM. Each task keeps a table of the
 distinct pieces it has met; only pieces new to it go, as byte arrays, through the fold,
 which merges the adjacent pair of lowest rank again and again by a rank map held in two
-literal arrays (a perfect hash of pairs). A step ranks only the two pairs that the merge
-before it made. A text's ids are then the table's entries in the order of its pieces. No text
-is shuffled, nothing comes to the driver, and a task that is lost is simply run again.
+literal arrays (a perfect hash of pairs). A text's ids are then the table's entries in the
+order of its pieces. No text is shuffled, and a task that is lost is simply run again.
 
-Distinct pieces are those of a task, not of the table: joining the ids of rare pieces back to
-their places would shuffle more than the input.
+Every task's table begins with the same frequent pieces: the ``FREQUENT`` most frequent of a
+sample of about ``SAMPLE`` documents, folded once and broadcast. They only save work; a piece
+that is not among them is folded in each task that has it, since joining the ids of rare
+pieces back to their places would shuffle more than the input.
 
 Decoding concatenates the byte strings of the ids.
 
@@ -29,16 +30,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.plans.lineage import new_table_path
+
 #: Pieces of more bytes than this are merged with a heap.
 LONG = 512
 #: A task forgets its table of pieces when it has so many, to bound its memory.
 TABLE = 500_000
+#: Documents in the sample for frequent pieces, and most pieces kept of them.
+SAMPLE, FREQUENT = 6000, 1 << 18
 
 _BUCKETS, _SLOTS = 1 << 16, 1 << 17
 _M1, _M2 = 0x2C1B3C6D, 0x297A2D39
-_EDGE = 0xFFFF  # stands before and after a piece; no pair with it merges
+_PLACES = 1 << 12  # positions in a piece that is folded
 
 
 @lru_cache(maxsize=4)
@@ -74,9 +80,9 @@ def _tables(path: str) -> tuple[str, str, str]:
         else:
             raise ValueError("no perfect hash of the merge pairs was found")
         taken[at] = True
-        slots[at] = (key[g] << 16) | [pairs[k] for k in key[g].tolist()]
+        slots[at] = (key[g] << 28) | (np.array([pairs[k] for k in key[g].tolist()]) << 12)
         shift[bucket[g[0]]] = d
-    slots[~taken] = 1 << 49  # no pair's
+    slots[~taken] = 1 << 61  # no pair's
     return tuple(",".join(map(str, x)) for x in ([ranks[bytes([b])] for b in range(256)], shift.tolist(), slots.tolist()))
 
 
@@ -89,45 +95,27 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_merges(piece: Column, ranks_path: str) -> Column:
-    """The ids of one piece, given as an array of byte values: each step merges the first pair of the lowest rank.
-
-    The state is the ids, the ranks of the pairs before and after those that are still to be ranked, and which these are.
-    """
+    """The ids of one piece, given as an array of byte values: each step merges the first pair of the lowest rank."""
     singles, shift, slots = map(_longs, _tables(ranks_path))
+    done = F.array(F.lit(-1).cast("long"))
 
-    def rank(a: Column, b: Column) -> Column:
-        """The rank of a pair that merges; 65536 or more for one that does not."""
-        k = F.shiftleft(a, 16).bitwiseOR(b)
-        at = (F.shiftright(k * _M2, 24) + F.get(shift, F.shiftright(k * _M1, 22).bitwiseAND(_BUCKETS - 1).cast("int"))).bitwiseAND(_SLOTS - 1)
-        return F.get(slots, at.cast("int")).bitwiseXOR(F.shiftleft(k, 16))
-
-    def state(ids: Column, before: Column, after: Column, start: Column, count: Column, live: Column) -> Column:
-        return F.struct(ids.alias("ids"), before.alias("before"), after.alias("after"), start.alias("start"), count.alias("count"), live.alias("live"))
+    def candidate(k: Column, i: Column) -> Column:
+        """The rank above 12 bits of place for a pair that merges; far more for one that does not."""
+        at = (F.shiftright(k * _M2, 24) + shift[F.shiftright(k * _M1, 22).bitwiseAND(_BUCKETS - 1)]).bitwiseAND(_SLOTS - 1)
+        return slots[at].bitwiseXOR(F.shiftleft(k, 28)).bitwiseOR(i)
 
-    none = F.array().cast("array<bigint>")
+    def step(ids: Column, _: Column) -> Column:
+        keys = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: F.shiftleft(a, 16).bitwiseOR(ids[i + 1]))
 
-    def step(s: Column, _: Column) -> Column:
-        ids, start = s["ids"], s["start"]
-        fresh = F.transform(F.slice(ids, start, s["count"]), lambda a, i: rank(a, F.get(ids, start + i)))
+        def merged(best: Column) -> Column:
+            at = best.bitwiseAND(_PLACES - 1).cast("int")
+            joined = F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(best, 12)), F.slice(ids, at + 3, F.size(ids)))
+            return F.when(best < (65536 << 12), joined).otherwise(F.concat(ids, done))
 
-        def lowest(ranks: Column) -> Column:
-            low = F.array_min(ranks)
-            return F.struct(ranks.alias("ranks"), low.alias("low"), F.array_position(ranks, low).cast("int").alias("at"))
+        live = (F.size(ids) > 1) & (ids[F.size(ids) - 1] >= 0)
+        return F.when(live, _let(F.array_min(F.transform(keys, candidate)), merged)).otherwise(ids)
 
-        def merged(found: Column) -> Column:
-            ranks, low, at = found["ranks"], found["low"], found["at"]
-            joined = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids)))
-            after = F.slice(ranks, at + 2, F.size(ranks))
-            return F.when(low < 65536, state(joined, F.slice(ranks, F.lit(1), at - 2), after, at - 1, F.lit(2), F.lit(True))).otherwise(
-                state(ids, none, none, F.lit(1), F.lit(0), F.lit(False))
-            )
-
-        return F.when(s["live"], _let(_let(F.concat(s["before"], fresh, s["after"]), lowest), merged)).otherwise(s)
-
-    edge = F.array(F.lit(_EDGE).cast("long"))
-    ids = F.concat(edge, F.transform(piece, lambda b: F.get(singles, b)), edge)
-    whole = state(ids, none, none, F.lit(1), F.size(piece) + 1, F.lit(True))
-    return F.aggregate(piece, whole, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
+    return F.aggregate(piece, F.transform(piece, lambda b: singles[b]), step, lambda ids: F.filter(ids, lambda x: x >= 0))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -163,18 +151,19 @@ def _byte_lists(pieces: list[bytes]) -> pa.Array:
 _INDEXED = "key long, ix array<int>, fresh int, new array<array<int>>, long array<binary>"
 
 
-def _index():
+def _index(frequent: Broadcast):
     """Replace pieces by places in the task's table; pieces new to it come with a batch's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[bytes, int] = {}
+        base = {p: k for k, p in enumerate(_frequent_table(frequent)["piece"].to_pylist())}
+        table = dict(base)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 lists = batch.column(1)
                 flat = lists.flatten().cast(pa.binary()).dictionary_encode()
                 if len(table) > TABLE:
-                    table = {}
+                    table = dict(base)
                 fresh, new, place = len(table), [], []
                 for p in flat.dictionary.to_pylist():
                     k = table.get(p)
@@ -202,14 +191,19 @@ def _index():
     return run
 
 
-def _digest(path: str):
+def _digest(path: str, frequent: Broadcast):
     ranks = load_ranks(path)  # read on the driver only; tasks get it with their code
     token = [b""] * (max(ranks.values()) + 1)
     for b, r in ranks.items():
         token[r] = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, raw, size = [], [], np.zeros(0, np.int64)
+        base = _frequent_table(frequent)["ids"].to_pylist()
+        base_text, base_raw = [" ".join(map(str, i)).encode() for i in base], [b"".join([token[k] for k in i]) for i in base]
+        base_size = np.fromiter(map(len, base), np.int64, len(base))
+        start = len(base)
+        del base
+        text, raw, size = list(base_text), list(base_raw), base_size
         for batch in batches:
             out: list[list] = [[], [], []]
             ix_all = batch.column(1)
@@ -217,8 +211,8 @@ def _digest(path: str):
             fresh = batch.column(2).to_numpy(zero_copy_only=False)
             for r in range(batch.num_rows):
                 if fresh[r] >= 0:
-                    if fresh[r] == 0:
-                        text, raw, size = [], [], np.zeros(0, np.int64)
+                    if fresh[r] == start:
+                        text, raw, size = list(base_text), list(base_raw), base_size
                     long = iter(batch.column(4)[r].as_py())
                     ids = [i or merge_long(next(long), ranks) for i in batch.column(3)[r].as_py()]
                     text += [" ".join(map(str, i)).encode() for i in ids]
@@ -234,16 +228,17 @@ def _digest(path: str):
     return run
 
 
-def _ids(path: str):
+def _ids(path: str, frequent: Broadcast):
     ranks = load_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: list[list[int]] = []
+        base = _frequent_table(frequent)["ids"].to_pylist()
+        table = list(base)
         for batch in batches:
             out = []
             for key_ix, fresh, new, long in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
                 if fresh >= 0:
-                    table = table if fresh else []
+                    table = list(base) if fresh == len(base) else table
                     rest = iter(long)
                     table += [i or merge_long(next(rest), ranks) for i in new]
                 out.append([t for k in key_ix for t in table[k]])
@@ -257,22 +252,48 @@ def _pieces(docs: DataFrame, pattern: str, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), pieces.alias("pieces"))
 
 
-def _pieces_encoded(docs: DataFrame, ranks_path: str, pattern: str, key: str, text: str) -> DataFrame:
-    indexed = _pieces(docs, pattern, key, text).mapInArrow(_index(), _INDEXED)
+def _split_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pieces = batch.column(0).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), _byte_lists(pieces)], names=["piece", "bytes"])
+
+
+def frequent_pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str, text: str) -> Broadcast:
+    """The most frequent pieces of a bounded sample and their ids, as an Arrow table in bytes."""
+    sample = docs.where(F.rand(5) < SAMPLE / max(1, docs.count()))
+    counts = _pieces(sample, pattern, key, text).select(F.explode("pieces").alias("piece")).where(F.octet_length("piece") <= LONG).groupBy("piece").agg(F.count("*").alias("n"))
+    spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "pieces")
+    top = counts.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece")
+    top.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)  # so that the rank literals are planned once, without a shuffle
+    got = spark.read.parquet(path).mapInArrow(_split_bytes, "piece binary, bytes array<int>").select("piece", fold_merges(F.col("bytes"), ranks_path).cast("array<int>").alias("ids")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, got.schema) as out:
+        out.write_table(got)
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _frequent_table(frequent: Broadcast) -> pa.Table:
+    return pa.ipc.open_file(pa.BufferReader(frequent.value)).read_all()
+
+
+def _pieces_encoded(docs: DataFrame, frequent: Broadcast, ranks_path: str, pattern: str, key: str, text: str) -> DataFrame:
+    indexed = _pieces(docs, pattern, key, text).mapInArrow(_index(frequent), _INDEXED)
     return indexed.withColumn("new", F.transform("new", lambda p: fold_merges(p, ranks_path).cast("array<int>")))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, ids)`` for every row: the token ids of its whole text."""
-    rows = _pieces_encoded(docs, ranks_path, pattern, key, text)
-    return rows.mapInArrow(_ids(ranks_path), "key long, ids array<int>").withColumnRenamed("key", key)
+    frequent = frequent_pieces(docs, ranks_path, pattern, key, text)
+    rows = _pieces_encoded(docs, frequent, ranks_path, pattern, key, text)
+    return rows.mapInArrow(_ids(ranks_path, frequent), "key long, ids array<int>").withColumnRenamed("key", key)
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)`` for every row: what its ids are and decode to."""
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    rows = _pieces_encoded(docs, ranks_path, pattern, key, text)
-    return rows.mapInArrow(_digest(ranks_path), schema).withColumnRenamed("key", key)
+    frequent = frequent_pieces(docs, ranks_path, pattern, key, text)
+    rows = _pieces_encoded(docs, frequent, ranks_path, pattern, key, text)
+    return rows.mapInArrow(_digest(ranks_path, frequent), schema).withColumnRenamed("key", key)
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
