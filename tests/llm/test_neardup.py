@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tidemark.llm import neardup
 from tidemark.llm.neardup import near_duplicates
 from tidemark.plans.components import connected_components
 
@@ -69,6 +70,43 @@ def test_repeated_rows_and_empty(docs):
     assert [r.component_id for r in near_duplicates(docs([(1, "")])).collect()] == [1]
 
 
+def test_null_and_repeated_ids(docs):
+    """Rows are told apart by themselves: texts under one id keep their own links, and null ids are documents."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(7, one), (7, two), (5, one + " x"), (9, two + " y"), (None, three), (None, three + " z"), (None, two), (3, "")] + [(8, two)] * 5
+    got = near_duplicates(docs(rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(3, 3), (5, 5), (7, 5), (7, 7), *[(8, 7)] * 5, (9, 7)]
+    none = [(r.component_id, r.kept) for r in got if r.doc_id is None]
+    assert sorted(none, key=str) == [(7, False), (None, False), (None, True)]
+    assert sum(r.kept for r in got) == 4
+
+
+@pytest.mark.parametrize("rare", [1, 8])
+def test_large_groups(docs, rare, monkeypatch):
+    """Groups of edited, of shortened, and of chained copies: every link counts, few pairs are looked at."""
+    monkeypatch.setattr(neardup, "RARE", rare)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for kind in range(3):
+        base = [word() for _ in range(100)]
+        for k in range(90):
+            copy = list(base)
+            if kind == 0:
+                for _ in range(rng.randint(0, 9)):
+                    copy[rng.randrange(100)] = word()
+            elif kind == 1:
+                copy = copy[: rng.randint(40, 100)]
+            else:
+                copy[k] = base[k] = word()
+            rows.append(" ".join(copy))
+    rows.append(" ".join(word() for _ in range(30_000)))
+    rows.append(rows[-1] + " end")
+    rows = list(enumerate(rows))
+    got = near_duplicates(docs(rows), shingle=4, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(rows, 4, 80)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(path, "u long, v long")).collect()}

@@ -6,25 +6,24 @@ largest value, so half the hash evaluations give a signature of the full length.
 the signature name buckets. Documents with equal sets are one class from the start, so
 copies never make pairs.
 
-Inside a bucket, members are first held only against one leader, the most central one: that
-whose buckets hold the most members, as the original of a group of edited copies does. Where
-that does not settle a bucket, a second round takes its ``LEADERS`` most central members as
-leaders of those in other components. What is left are pairs across components, of members
-that no leader has linked. For any set K, two such members x and y have at most
+A bucket is never expanded into pairs. Its most central member (whose buckets hold the most
+members, as the original of a group of edited copies does) leads it, and all others are held
+against that one. What is left are pairs across components. Let a shingle that more than
+``RARE`` of the documents concerned have be common, and m_x be the common ones of x; then
 
-    min(|x & K|, |y & K|) + |(x - K) & (y - K)|
+    |x & y| <= min(m_x, m_y) + (rare shingles that x and y share).
 
-shingles in common. With K the leader's set and all shingles that many of its bucket mates
-have, x - K is rare, and all pairs that can be linked are found by joining rare shingles and
-by comparing sizes; those pairs are confirmed, and the rest is proven apart. No
-pair within a component is needed, and no bucket is expanded into pairs. A pair is a
-candidate if the documents' sizes allow the similarity and at most ``BITS_APART`` of one bit
-of each signature value differ.
+Pairs that share rare shingles are found by joining those, at most ``RARE`` rows to a
+shingle. Any other pair can only be linked if both sizes fit both m, which rules out most
+documents of a bucket by its smallest size and largest m alone. Buckets that still hold
+several components get one leader more, then two, four and so on, until each is settled.
+Every pair of a bucket is so confirmed, or is proven apart, or lies in one component.
 
 Defined results: a null or empty text has an empty set, is in a class of its own and linked
-to nothing. ``doc_id`` names a document; rows that repeat it together with its text get the
-same result each. Ties cannot arise: components are named by their smallest id. Other
-columns are ignored. An empty table gives an empty one.
+to nothing. Rows are told apart by their own number, so null and repeated ids are documents
+of their own: ``component_id`` is the smallest id reachable, null if there is none, and then
+one row of the component is kept. Rows that share the id of the component are all kept.
+Extra columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,23 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.llm import words
 from tidemark.plans.components import connected_components
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import cut, new_table_path
 
 #: Hash functions; each gives a minimum and a maximum.
 PERMUTATIONS = 64
 #: Values of the signature in a band. With 128 values a pair at similarity 0.8 shares no
 #: band with probability (1 - 0.8^4)^32 < 5e-8.
 BAND = 4
-#: Of 128 bits, 12.8 differ on average at similarity 0.8; more than 33 with probability below 2e-7.
-BITS_APART = 33
-#: Members of a hub's group that may share a shingle outside the group's core.
-RARE = 32
-#: Leaders of a bucket in the second round.
-LEADERS = 8
+#: Most documents that share a rare shingle.
+RARE = 8
+#: Most row numbers that are broadcast to pick out texts; beyond, texts are shuffled.
+BROADCAST = 500_000
 
 _rng = np.random.default_rng(20240607)
 _MULT = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,22 +97,19 @@ def _sketch(shingle: int):
                 if some.any():
                     k1[some] = np.add.reduceat(words.mix(sh + np.uint64(1)), at[some])
                     k2[some] = np.add.reduceat(words.mix(sh ^ np.uint64(0x6A09E667F3BCC909)), at[some])
-                signatures = minmax_signatures(sh, n)
-                keys = band_keys(signatures)
-                bits = np.zeros((len(n), 2), np.uint64)
-                bits[some] = np.packbits((words.mix(signatures) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
+                keys = band_keys(minmax_signatures(sh, n))
                 width = keys.shape[1]
                 ends = np.concatenate(([0], np.cumsum(np.where(some, width, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
                         pa.array(n.astype(np.int64)),
                         pa.array(k1.view(np.int64)),
                         pa.array(k2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
-                        *(pa.array(bits[:, b].copy().view(np.int64)) for b in range(2)),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "s1", "s2"],
+                    names=["doc_id", "text", "n_shingles", "k1", "k2", "bands"],
                 )
 
     return run
@@ -147,130 +141,130 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def _profile(shingle: int):
-    """For pairs of a hub and a member, how many shingles they share and which of the member's the hub lacks."""
+def _terms(shingle: int):
+    """Each text's distinct shingles, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                runs = part.column(2).dictionary_encode()
-                hubs = _sets_of(runs.dictionary, shingle)
-                sets = _sets_of(part.column(3), shingle)
-                novel = [np.setdiff1d(x, hubs[k], assume_unique=True) for x, k in zip(sets, runs.indices.to_pylist())]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in novel]))).astype(np.int32)
-                flat = np.concatenate(novel).view(np.int64)
-                shared = np.array([len(x) - len(y) for x, y in zip(sets, novel)], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["u", "v", "m", "novel"])
+            data, offsets = words.utf8(batch.column(1))
+            for i, j in words.slices(offsets):
+                sh, n = distinct_sets(*words.shingles(words.split(data, offsets[i : j + 1]), shingle))
+                rep = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(sh.view(np.int64))], names=["rep", "s"])
 
     return run
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    members = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
-    full = members.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
-    return full.select("u", "v", "u_text", "v_text")
+def _texts_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``texts(row, text)`` of the numbers in ``rows(row)``, which are distinct."""
+    rows = cut(rows)
+    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST else rows, "row", "left_semi")
 
 
 def _confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``pairs(u, v)`` with the column ``linked``, decided on full sets."""
-    return _with_texts(pairs, texts).mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean")
+    pairs = cut(pairs)
+    used = _texts_of(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), texts)
+    both = pairs.join(used.withColumnsRenamed({"row": "v", "text": "v_text"}), "v").join(used.withColumnsRenamed({"row": "u", "text": "u_text"}), "u")
+    return cut(both.select("u", "v", "u_text", "v_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean"))
 
 
-def _unsettled(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) across components of a hub's group that may be linked by what they share inside and outside a core.
+def _left(df: DataFrame, *same: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(c if c in same else f"l_{c}") for c in df.columns))
 
-    The core is the hub with all shingles that more than ``RARE`` members of its group have; m counts a member's
-    shingles in the core and c what two members share outside it, so |x & y| <= min(m_x, m_y) + c. What lies outside
-    is rare, so joining it grows with the members, not with their pairs.
-    """
-    same = f"l_hub = hub and l_component <> component and l_rep < rep and bit_count(s1 ^ l_s1) + bit_count(s2 ^ l_s2) <= {BITS_APART}"
 
-    def enough(c: str) -> str:
-        return f"100 * (least(m, l_m) + {c}) >= {percent} * (n + l_n - least(m, l_m) - {c})"
+def _fits(n: str, other: str, percent: int) -> str:
+    return f"100 * least({n}, {other}) >= {percent} * greatest({n}, {other})"
+
+
+def _open(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the buckets that lie in several components, with the component of each."""
+    known = rows.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    return _mixed(cut(known.withColumn("component", F.coalesce("component", "rep"))))
+
 
-    def left(df: DataFrame) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"l_{c}") for c in df.columns))
+def _mixed(rows: DataFrame) -> DataFrame:
+    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return cut(rows.join(cut(keys), "key", "left_semi"))
 
-    terms = groups.select("hub", "rep", F.explode("novel").alias("s"))
-    rare = terms.groupBy("hub", "s").agg(F.count("*").alias("often")).where(F.col("often") <= RARE)
-    terms = terms.join(rare, ["hub", "s"])
-    outside = terms.groupBy("hub", "rep").agg(F.count("*").alias("out"))
-    members = groups.drop("novel", "m").join(outside, ["hub", "rep"], "left").withColumn("m", F.col("n") - F.coalesce("out", F.lit(0))).drop("out")
-    members = cut(members)
-    inside = left(members).join(members, F.expr(f"{same} and {enough('0')}"))
-    met = terms.where("often > 1").select("hub", "rep", "s").join(members, ["hub", "rep"])
-    met = left(met).join(met, F.expr(f"l_s = s and {same}")).groupBy("hub", "l_rep", "rep", "n", "l_n", "m", "l_m").agg(F.count("*").alias("c")).where(enough("c"))
-    return inside.select(F.col("l_rep").alias("u"), F.col("rep").alias("v")).union(met.select("l_rep", "rep")).distinct()
+
+def _rare_pairs(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that may be linked by the rare shingles that they share; and ``(rep, room)``: what a partner's size times ``percent`` may be if they share none."""
+    members = cut(rows.select("rep", "n", "component").distinct())
+    known = _texts_of(members.select(F.col("rep").alias("row")), texts).mapInArrow(_terms(shingle), "rep long, s long")
+    known = cut(known)
+    often = cut(known.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") <= RARE))
+    rare = known.join(often, "s")
+    outside = rare.groupBy("rep").agg(F.count("*").alias("out"))
+    members = cut(members.join(outside, "rep", "left").withColumn("m", F.col("n") - F.coalesce("out", F.lit(0))).drop("out"))
+    met = cut(rare.where("often > 1").select("s", "rep").join(members, "rep"))
+    pairs = _left(met, "s").join(met, "s").where(f"l_rep < rep and l_component <> component and {_fits('n', 'l_n', percent)}")
+    pairs = pairs.groupBy("l_rep", "rep", "n", "l_n", "m", "l_m").agg(F.count("*").alias("c"))
+    pairs = pairs.where(f"100 * (least(m, l_m) + c) >= {percent} * (n + l_n - least(m, l_m) - c)")
+    return pairs.select(F.col("l_rep").alias("u"), F.col("rep").alias("v")), members.select("rep", F.expr(f"(100 + {percent}) * m - {percent} * n").alias("room"))
+
+
+def _with_room(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows whose bucket may hold a partner that they share no rare shingle with."""
+    least = cut(rows.groupBy("key").agg(F.min("n").alias("least"), F.max("room").alias("most")))
+    return _mixed(cut(rows.join(least, "key").where(f"{percent} * least <= room and {percent} * n <= most").drop("least", "most")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, n_links`` for each row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets;
-    ``component_id`` is the smallest id reachable over links, ``kept`` marks that document
-    and ``n_links`` counts the confirmed links of the document's class.
+    ``component_id`` is the smallest id reachable over links, and ``kept`` marks that document.
     """
+    spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "sketches")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, s1 long, s2 long"))
+    sketches = docs.mapInArrow(_sketch(shingle), "doc_id long, text string, n_shingles long, k1 long, k2 long, bands array<long>")
+    sketches.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    base = spark.read.parquet(path)
+    texts = base.select("row", "text")
     full = base.where("n_shingles > 0")
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "s2")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    rows = cut(buckets.join(shared, "key"))
-    central = rows.groupBy("rep").agg(F.sum("members").alias("central"))
-    rows = cut(rows.join(central, "rep"))
 
-    def candidates(leaders: DataFrame, members: DataFrame, apart: Column) -> DataFrame:
-        """Pairs (u, v) of a leader and a member of the same bucket that may be similar."""
-        alike = F.expr(f"100 * least(n, l_n) >= {percent} * greatest(n, l_n) and bit_count(s1 ^ l_s1) + bit_count(s2 ^ l_s2) <= {BITS_APART}")
-        lead = leaders.select("key", *(F.col(c).alias(f"l_{c}") for c in leaders.columns if c != "key"))
-        found = lead.join(members, (lead["key"] == members["key"]) & (F.col("rep") != F.col("l_rep")) & alike & apart)
-        return found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = cut(full.groupBy("k1", "k2").agg(first.alias("f")).select("k1", "k2", F.col("f.row").alias("rep"), "f.doc_id"))
+    reps = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    buckets = reps.select(F.explode("bands").alias("key"), F.col("row").alias("rep"), F.col("n_shingles").alias("n"))
+    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    rows = cut(buckets.join(shared, "key"))
+    central = cut(rows.groupBy("rep").agg(F.sum("members").alias("central")))
+    rows = cut(rows.drop("members").join(central, "rep"))
 
     rank = F.struct("central", F.xxhash64("rep"))
-    leaders = rows.groupBy("key").agg(F.max_by(F.struct("rep", "n", "s1", "s2"), rank).alias("l")).select("key", "l.*")
-    checked = cut(_confirm_pairs(candidates(leaders, rows, F.lit(True)), docs, shingle, percent))
-    links = checked.where("linked").select("u", "v")
-    parts = connected_components(links)
-
-    def open_rows(led: int) -> DataFrame:
-        """Members of the buckets that still lie in several components and have more members than have led."""
-        labelled = rows.where(F.col("members") > led + 1).join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return cut(labelled.join(mixed, "key").select("key", "rep", "n", "s1", "s2", "component", "central"))
+    leaders = cut(rows.groupBy("key").agg(F.max_by(F.struct("rep", "n"), rank).alias("l")).select("key", F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n")))
+    found = rows.join(leaders, "key").where(f"rep <> l_rep and {_fits('n', 'l_n', percent)}")
+    checked = _confirm_pairs(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct(), texts, shingle, percent)
+    parts = connected_components(checked.where("linked").select("u", "v"))
 
     def settle(pairs: DataFrame) -> None:
-        nonlocal checked, links, parts
-        found = cut(_confirm_pairs(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"), docs, shingle, percent))
-        checked = checked.unionByName(found)
-        fresh = found.where("linked").select("u", "v")
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            parts = connected_components(links)
-
-    left = open_rows(1)
-    if not left.isEmpty():
-        place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("central"), F.desc(F.xxhash64("rep"))))
-        second = left.withColumn("place", place).where(F.col("place") <= LEADERS).drop("place", "central")
-        settle(candidates(second, left, F.col("component") != F.col("l_component")))
-        left = open_rows(LEADERS)
-    if not left.isEmpty():
-        hubs = leaders.select("key", F.col("rep").alias("hub"))
-        groups = left.drop("central").join(hubs, "key").drop("key").distinct()
-        profile = _with_texts(groups.select(F.col("hub").alias("u"), F.col("rep").alias("v")), docs).mapInArrow(_profile(shingle), "u long, v long, m long, novel array<long>")
-        groups = cut(groups.join(profile.select(F.col("u").alias("hub"), F.col("v").alias("rep"), "m", "novel"), ["hub", "rep"]))
-        settle(_unsettled(groups, percent))
-
-    degree = links.select(F.col("u").alias("rep")).union(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = (
-        classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree, "rep", "left")
-        .select("k1", "k2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    out = base.select("doc_id", "n_shingles", "k1", "k2")
-    linked = out.where("n_shingles > 0").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id", "n_links")
-    alone = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
+        nonlocal checked, parts
+        more = _confirm_pairs(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"), texts, shingle, percent)
+        checked = checked.unionByName(more)
+        if not more.where("linked").isEmpty():
+            parts = connected_components(checked.where("linked").select("u", "v"))
+
+    rows = _open(rows.join(leaders.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti"), parts)
+    if not rows.isEmpty():
+        pairs, room = _rare_pairs(rows, texts, shingle, percent)
+        settle(pairs)
+        rows, led = _with_room(_open(rows.join(room, "rep"), parts), percent), 1
+        while not rows.isEmpty():
+            place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("central"), F.desc(F.xxhash64("rep"))))
+            lead = cut(rows.withColumn("place", place).where(F.col("place") <= led).drop("place", "central"))
+            found = _left(lead, "key").join(rows, "key").where(f"component <> l_component and {_fits('n', 'l_n', percent)} and {percent} * n <= l_room and {percent} * l_n <= room")
+            settle(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct())
+            rest = rows.join(lead.select("key", "rep"), ["key", "rep"], "left_anti")
+            rows, led = _with_room(_open(rest, parts), percent), 2 * led
+
+    known = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = cut(known)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep"))
+    named = cut(known.groupBy("component").agg(first.alias("f")).select("component", F.col("f.doc_id").alias("component_id"), F.col("f.rep").alias("keeper")))
+    named = cut(known.drop("doc_id").join(named, "component").select("k1", "k2", "component_id", "keeper"))
+    out = base.select("doc_id", "n_shingles", "k1", "k2", "row")
+    linked = out.where("n_shingles > 0").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row") == F.col("keeper"))).alias("kept"))
+    alone = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
