@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ingest, search, tags
+from tidemark.operators import catalogue, ingest, search, tags
 from tidemark.operators.search import Criterion
 
 
@@ -14,18 +14,12 @@ def things(spark):
     return spark.createDataFrame([(1, "Red Cat", 5, 2.0), (2, "blue dog", 7, None), (3, None, 9, 4.5), (4, "cat-like dog", 5, 1.0)], "id long, t string, n int, x double")
 
 
-@pytest.mark.parametrize(
-    "q,want",
-    [("*:*", [1, 2, 3, 4]), ("cat", [1, 4]), ("cat AND dog", [4]), ("cat dog", [1, 2, 4]), ('"cat like"', [4]), ("NOT cat", [2, 3]), ("n:[6 TO *]", [2, 3]), ("bl*", [2]), ("(red OR blue) AND NOT dog", [1])],
-)
-def test_query_string(things, q, want):
-    assert ids(things.where(search.query_string(q, ["t"])).select("id")) == want
-
-
-def test_bad_query_string(things):
-    for q in ("(cat", "AND cat", "NOT"):
-        with pytest.raises(ValueError):
-            search.query_string(q, ["t"])
+def test_has_words(things):
+    got = lambda c: ids(things.where(c).select("id"))
+    assert got(search.has_words("t", "CAT")) == [1, 4]
+    assert got(search.has_words("t", "cat like")) == [4]
+    assert got(search.has_words("t", "ca")) == []
+    assert got(~search.has_words("t", "cat") | (F.col("n") == 9)) == [2, 3]
 
 
 def test_dialects(things):
@@ -83,6 +77,26 @@ def test_ingest(spark):
     assert tuple(ingest.counters(out).first()) == (1, 1, 3)
 
 
+def test_items_without_a_digest(spark):
+    items = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("d", "m")], "identifier string, md5 string")
+    have = spark.createDataFrame([("c", None)], "url string, md5 string")
+    failed = spark.createDataFrame([("b",)], "url string")
+    out = ingest.classify(items, have, failed)
+    assert {r.identifier: r.outcome for r in out.collect()} == {"a": "unread", "b": "bad", "c": "existing", "d": "new"}
+    assert tuple(ingest.counters(out).first()) == (2, 1, 1)
+
+
+def test_null_and_repeated_keys(spark):
+    schema = "image_id long, name string, source string, value string"
+    old = spark.createDataFrame([(1, "n", None, "a"), (2, "n", "s", "b")], schema)
+    new = spark.createDataFrame([(1, "n", None, "c"), (2, "n", "s", "x"), (2, "n", "s", "y"), (None, "n", "s", "z")], schema)
+    assert sorted(map(tuple, catalogue.upsert_metadata(old, new).collect()), key=str) == sorted([(1, "n", None, "c"), (2, "n", "s", "y"), (None, "n", "s", "z")], key=str)
+    rows = spark.createDataFrame([(1, "a"), (None, "b")], "id long, v string")
+    more = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "id long, v string")
+    got = ingest.update_fields(rows, more, "id", ["v"], nulls_overwrite=True).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "y", True), (None, "b", False)], key=str)
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")

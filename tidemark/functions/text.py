@@ -65,6 +65,21 @@ def sanitise_value(c: ColumnLike) -> Column:
     return F.when(v.isNull(), "").when(F.instr(v, "\0") > 0, F.base64(v.cast("binary"))).otherwise(F.trim(v))
 
 
+def part(c: ColumnLike, mark: str, n: int) -> Column:
+    """The n-th part of a text that is cut at a mark, empty beyond the last (FN8)."""
+    return F.split_part(col(c), F.lit(mark), F.lit(n))
+
+
+def url_decoded(c: ColumnLike) -> Column:
+    """Percent-encoded text in clear (FN26); null if malformed."""
+    return F.try_url_decode(col(c))
+
+
+def parsed(c: ColumnLike, schema: str) -> Column:
+    """JSON text as a struct (FN33); null if malformed."""
+    return F.from_json(col(c), schema)
+
+
 def as_flag(c: ColumnLike) -> Column:
     """Form values that mean true (FN41)."""
     return F.coalesce(F.lower(col(c).cast("string")).isin("true", "on"), F.lit(False))

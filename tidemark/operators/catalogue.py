@@ -10,16 +10,21 @@ METADATA_MAX = 8000
 PERIODS = (("last 30 days", 30), ("last 90 days", 90), ("last 365 days", 365))
 
 
-def match_licence(images: DataFrame, licences: DataFrame, mappings: DataFrame) -> DataFrame:
-    """``id, licence_id``: by acronym, name, url or image url, else by mapping, else null (JN10).
+def with_matched_licence(images: DataFrame, licences: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Images with ``recognised_license_id``: by acronym, name, url or image url, else by mapping, else null (JN10).
 
-    The four alternatives are exploded into one key column, so the join is an equality.
+    The four alternatives are exploded into one key column, so the joins with the small tables are equalities.
     """
     keys = licences.select("id", F.explode(F.array("acronym", "name", "url", "image_url")).alias("license")).where(F.col("license").isNotNull())
-    keys = keys.groupBy("license").agg(F.min("id").alias("direct"))
-    mapped = mappings.groupBy(F.col("value").alias("license")).agg(F.min("license_id").alias("mapped"))
-    rows = images.select("id", "license").join(keys, "license", "left").join(mapped, "license", "left")
-    return rows.select("id", F.coalesce("direct", "mapped").alias("licence_id"))
+    keys = keys.groupBy("license").agg(F.min("id").alias("__direct"))
+    mapped = mappings.groupBy(F.col("value").alias("license")).agg(F.min("license_id").alias("__mapped"))
+    rows = images.join(keys, "license", "left").join(mapped, "license", "left")
+    return rows.withColumn("recognised_license_id", F.coalesce("__direct", "__mapped")).drop("__direct", "__mapped")
+
+
+def match_licence(images: DataFrame, licences: DataFrame, mappings: DataFrame) -> DataFrame:
+    """``id, licence_id`` of each image (JN10)."""
+    return with_matched_licence(images, licences, mappings).select("id", F.col("recognised_license_id").alias("licence_id"))
 
 
 def rematch_licence(images: DataFrame, licences: DataFrame, mappings: DataFrame, current: str = "recognised_license_id") -> DataFrame:
@@ -37,6 +42,32 @@ def duplicates(images: DataFrame) -> DataFrame:
     return groups.where(F.col("n") > 1)
 
 
+def duplicates_page(images: DataFrame, size: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the groups of equal content, the largest first, with how many groups there are (AG5); null content is a group."""
+    groups = images.groupBy("content_md5").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    total = groups.agg(F.count("*").alias("t")).scalar()
+    return groups.orderBy(F.desc("n"), "content_md5").offset(offset).limit(size).withColumn("total", total)
+
+
+def counted_by_name(images: DataFrame, names: DataFrame) -> DataFrame:
+    """For each requested file name, how many images have it, 0 for a missing one (AG21)."""
+    have = images.groupBy(F.col("original_filename").alias("name")).agg(F.count("*").alias("n"))
+    return names.select("name").distinct().join(have, "name", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def configuration_report(locations: DataFrame) -> DataFrame:
+    """Lines of text: a header for each kind of location that exists, and a line for each location (AG19, SO1)."""
+    lines = []
+    for k, (kind, column) in enumerate((("fs", "base_path"), ("s3", "bucket"), ("swift", "container"))):
+        rows = locations.where(F.col("class") == kind)
+        header = rows.limit(1).select(F.lit(2 * k).alias("part"), F.lit(None).cast("long").alias("id"), F.lit(f"{kind}:").alias("line"))
+        lines += [header, rows.select(F.lit(2 * k + 1).alias("part"), "id", F.concat(F.lit("  "), column).alias("line"))]
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def repository_stats(images: DataFrame, licences: DataFrame) -> DataFrame:
     """Counts of images, deleted ones, those with a licence text, and licences (AG6, AG18)."""
     return images.agg(
@@ -58,6 +89,7 @@ def batch_rollup(uploads: DataFrame, files: DataFrame) -> DataFrame:
         *map(zero, ("record_count", "new_images", "metadata_updates", "error_count")),
         *map(status, ("COMPLETE", "LOADING", "QUEUED", "STOPPED")),
         F.bool_and(F.col("status") == "COMPLETE").alias("all_complete"),
+        F.bool_and(F.coalesce("record_count", F.lit(0)) == 0).alias("no_records"),
     )
     return uploads.select(F.col("id").alias("upload_id"), "resource").join(rolled, "upload_id")
 
@@ -98,10 +130,13 @@ def metadata_values(metadata: DataFrame, images: DataFrame, key: str, source: st
 
 
 def upsert_metadata(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Items by (image, name, source): new values replace old ones; blank or overlong new values are skipped (MU3, FN20)."""
+    """Items by (image, name, source): new values replace old ones; blank or overlong new values are skipped (MU3, FN20).
+
+    A null in a key equals a null. Of several new values of one key the largest is taken; items that repeat a key become one.
+    """
     new = incoming.select("image_id", "name", "source", text.sanitise_value("value").alias("new")).where((F.col("new") != "") & (F.length("new") <= METADATA_MAX))
-    joined = current.select("image_id", "name", "source", F.col("value").alias("old")).join(new, ["image_id", "name", "source"], "full")
-    return joined.select("image_id", "name", "source", F.coalesce("new", "old").alias("value"))
+    both = current.select("image_id", "name", "source", F.col("value").alias("old"), F.lit(None).cast("string").alias("new")).unionByName(new.withColumn("old", F.lit(None).cast("string")))
+    return both.groupBy("image_id", "name", "source").agg(F.coalesce(F.max("new"), F.max("old")).alias("value"))
 
 
 def delete_metadata(current: DataFrame, keys: DataFrame) -> DataFrame:
@@ -119,6 +154,14 @@ def usage_by_resource(events: DataFrame, now: Column) -> DataFrame:
     return _in_periods(events, now).groupBy("period", "resource_uid").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"))
 
 
+def usage_with_names(events: DataFrame, resources: DataFrame, now: Column) -> DataFrame:
+    """Events and users of each resource in each period and in all, with the resource's name, or its uid where it has none (AG9, JN19, SL15)."""
+    ever = events.groupBy("resource_uid").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users")).withColumn("period", F.lit("total"))
+    rows = usage_by_resource(events, now).unionByName(ever)
+    names = resources.select(F.col("uid").alias("resource_uid"), "name")
+    return rows.join(names, "resource_uid", "left").withColumn("name", F.coalesce("name", "resource_uid")).orderBy("name", "period")
+
+
 def _in_periods(events: DataFrame, now: Column) -> DataFrame:
     inside = F.array(*(F.when(F.col("ts") >= F.timestamp_add("DAY", F.lit(-days), now), F.lit(name)) for name, days in PERIODS))
     longest = max(days for _, days in PERIODS)
@@ -131,6 +174,19 @@ def failed_matching(failed: DataFrame, pattern: str) -> DataFrame:
     return failed.where(F.col("url").rlike(pattern))
 
 
+def failed_preview(failed: DataFrame, pattern: str, most: int = 100) -> DataFrame:
+    """The first of the failed URLs that contain a match, as they are shown before they are cleared (SL13)."""
+    return failed_matching(failed, pattern).orderBy("date_created", "url").limit(most)
+
+
+def recheck_failed(failed: DataFrame, reachable: DataFrame, now: Column, max_age: int) -> DataFrame:
+    """Failed URLs with what becomes of them (ST5): those of the last ``max_age`` days are checked, and go where they can be reached."""
+    found = reachable.select("url").distinct().withColumn("__found", F.lit(True))
+    due = F.coalesce(F.col("date_created") >= F.timestamp_add("DAY", F.lit(-max_age), now), F.lit(False))
+    action = F.when(~due, "kept unchecked").when(F.col("__found"), "removed").otherwise("kept")
+    return failed.join(found, "url", "left").withColumn("action", action).drop("__found")
+
+
 def known_failed(urls: DataFrame, failed: DataFrame) -> DataFrame:
     """URLs that failed before (FL26)."""
     return urls.join(failed.select("url"), "url", "left_semi")

@@ -25,17 +25,19 @@ def with_licence(images: DataFrame, licences: DataFrame, key: str = "recognised_
 
 def export_images(images: DataFrame, licences: DataFrame, base: str) -> DataFrame:
     """The catalogue in Darwin Core terms (PJ1); deleted images are included."""
+    lines = {c: text.one_line(c).alias(c) for c in ("creator", "title", "license", "rights", "description")}
     return with_licence(images, licences).select(
         F.col("data_resource_uid").alias("dataResourceUid"),
         F.col("occurrence_id").alias("occurrenceID"),
         text.joined(F.lit(f"{base}/image/proxyImageThumbnailLarge?imageId="), "image_identifier").alias("identifier"),
-        text.one_line("creator").alias("creator"),
-        text.one_line("title").alias("title"),
+        *lines.values(),
+        text.second("date_taken").alias("created"),
         F.col("mime_type").alias("format"),
-        text.one_line("license").alias("license"),
+        text.one_line("rights_holder").alias("rightsHolder"),
         text.joined(F.lit(f"{base}/image/"), "image_identifier").alias("references"),
-        text.one_line("description").alias("description"),
+        "extension",
         F.col("recognised_licence").alias("recognisedLicense"),
+        text.second("date_deleted").alias("dateDeleted"),
         F.col("content_md5").alias("md5hash"),
         F.col("file_size").alias("fileSize"),
         "width",
@@ -46,28 +48,32 @@ def export_images(images: DataFrame, licences: DataFrame, base: str) -> DataFram
 
 
 def export_index(images: DataFrame, licences: DataFrame) -> DataFrame:
-    """Documents of the search index (PJ2): live images, dates as text, cleaned text, facets."""
-    clean = lambda c: text.one_line(text.drop_first_marks(c))
+    """Documents of the search index (PJ2): live images, dates as text, cleaned text; then the facets that the index adds."""
+    clean = {c: text.one_line(text.drop_first_marks(c)) for c in ("creator", "title", "description", "rights", "rights_holder", "license")}
     return with_licence(live(images), licences).select(
         F.col("image_identifier").alias("imageIdentifier"),
-        F.col("content_md5").alias("contentMD5Hash"),
-        F.col("content_sha1").alias("contentSHA1Hash"),
+        F.col("content_md5").alias("contentmd5hash"),
+        F.col("content_sha1").alias("contentsha1hash"),
         F.col("mime_type").alias("format"),
-        F.col("original_filename").alias("originalFilename"),
+        F.col("original_filename").alias("originalfilename"),
+        "extension",
         text.day("date_uploaded").alias("dateUploaded"),
-        text.month("date_uploaded").alias("dateUploadedYearMonth"),
+        text.day("date_taken").alias("dateTaken"),
         F.col("file_size").alias("fileSize"),
         "height",
         "width",
         F.col("zoom_levels").alias("zoomLevels"),
         F.col("data_resource_uid").alias("dataResourceUid"),
-        clean("creator").alias("creator"),
-        clean("title").alias("title"),
-        clean("description").alias("description"),
-        clean("license").alias("license"),
+        *(clean[c].alias(c) for c in ("creator", "title", "description", "rights", "license")),
+        clean["rights_holder"].alias("rightsHolder"),
+        F.col("thumb_height").alias("thumbHeight"),
+        F.col("thumb_width").alias("thumbWidth"),
+        "harvestable",
         F.col("recognised_licence").alias("recognisedLicence"),
         F.col("occurrence_id").alias("occurrenceID"),
-        text.flag_text("harvestable").alias("harvestable"),
+        *("audience", "source", "contributor", "type", "created"),
+        F.col("dc_references").alias("references"),
+        text.month("date_uploaded").alias("dateUploadedYearMonth"),
         media.size_bucket("height", "width").alias("imageSize"),
         media.file_type("mime_type").alias("fileType"),
     )
@@ -84,7 +90,8 @@ def export_mapping(images: DataFrame) -> DataFrame:
 def export_dataset(images: DataFrame, data_resource_uid: str) -> DataFrame:
     """Live images of one data resource, a row for each URL, control characters removed (PJ4, FL15)."""
     rows = live(images).where(F.col("data_resource_uid") == data_resource_uid).withColumn("u", F.explode(all_urls()))
-    plain = {"audience": "audience", "creator": "creator", "description": "description", "mime_type": "format", "license": "license", "title": "title"}
+    plain = {c: c for c in ("audience", "contributor", "created", "creator", "description", "license", "publisher", "source", "title", "type")}
+    plain |= {"mime_type": "format", "dc_references": "references", "rights_holder": "rightsHolder"}
     return rows.select(
         F.col("image_identifier").alias("imageID"),
         text.strip_control(urls.drop_credentials("u")).alias("identifier"),
@@ -115,6 +122,28 @@ def image_info(images: DataFrame, base: str) -> DataFrame:
     )
 
 
+def searchable(images: DataFrame, fields: list[str], deny: tuple[str, ...] = ()) -> DataFrame:
+    """The fields that are searched, without those that are denied (PJ7, PJ12)."""
+    return images.select(*(f for f in fields if f not in deny))
+
+
+def one_column(images: DataFrame, key: str, value: object, column: str) -> DataFrame:
+    """A single column of the rows with a key (PJ6)."""
+    return images.where(F.col(key) == value).select(column)
+
+
+def legacy_names(hits: DataFrame) -> DataFrame:
+    """Names that older clients expect (PJ11)."""
+    return hits.withColumnsRenamed({"imageIdentifier": "imageId", "zoomLevels": "tileZoomLevels", "fileSize": "filesize"}).drop("contentmd5hash", "contentsha1hash")
+
+
+def harmonised(hits: DataFrame) -> DataFrame:
+    """Hits with one spelling of the original file name, without credentials (PJ10)."""
+    spellings = [c for c in ("originalFileName", "originalfilename", "originalFilename") if c in hits.columns]
+    name = urls.strip_credentials(F.coalesce(*map(F.col, spellings))) if spellings else F.lit(None).cast("string")
+    return hits.select(*(c for c in hits.columns if c not in spellings), name.alias("originalFileName"))
+
+
 def fill_from_resource(images: DataFrame, resources: DataFrame, columns: list[str], key: str = "data_resource_uid") -> DataFrame:
     """Blank values are filled from the data resource's metadata (JN18, SC24)."""
     r = resources.select(key, *(F.col(c).alias(f"__{c}") for c in columns))

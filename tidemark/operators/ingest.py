@@ -23,30 +23,31 @@ def flatten(records: DataFrame) -> DataFrame:
 
 
 def first_per_identifier(items: DataFrame, *order: str) -> DataFrame:
-    """One row of each identifier, the first by ``order`` (ST7, WN3)."""
-    n = F.row_number().over(W.partitionBy("identifier").orderBy(*(order or ("identifier",))))
+    """One row of each identifier, the first by ``order``, else by all columns (ST7, WN3)."""
+    n = F.row_number().over(W.partitionBy("identifier").orderBy(*(order or items.columns)))
     return items.withColumn("__n", n).where("__n = 1").drop("__n")
 
 
 def classify(items: DataFrame, catalogue: DataFrame, failed: DataFrame) -> DataFrame:
-    """``identifier, md5, outcome``: bad, existing by URL, duplicate by content, repeated in the batch, or new (MU1, MU2).
+    """``identifier, md5, outcome``: bad, existing by URL, unread, duplicate by content, repeated in the batch, or new (MU1, MU2).
 
     ``items`` has identifier and md5; ``catalogue`` has url and md5. Of new items with equal content, that of
-    the smallest URL becomes the image and the others are its alternate URLs.
+    the smallest URL becomes the image and the others are its alternate URLs. An item without a digest, whose download
+    failed, is unread unless its URL is known to be bad or is in the catalogue.
     """
     by_url = catalogue.select(F.col("url").alias("identifier")).distinct().withColumn("by_url", F.lit(True))
-    by_md5 = catalogue.select("md5").distinct().withColumn("by_md5", F.lit(True))
+    by_md5 = catalogue.select("md5").where(F.col("md5").isNotNull()).distinct().withColumn("by_md5", F.lit(True))
     bad = failed.select(F.col("url").alias("identifier")).distinct().withColumn("bad", F.lit(True))
-    first = items.groupBy("md5").agg(F.min("identifier").alias("first"))
-    rows = items.join(bad, "identifier", "left").join(by_url, "identifier", "left").join(by_md5, "md5", "left").join(first, "md5")
-    outcome = F.when(F.col("bad"), "bad").when(F.col("by_url"), "existing").when(F.col("by_md5"), "duplicate").when(F.col("identifier") != F.col("first"), "repeated").otherwise("new")
+    first = items.where(F.col("md5").isNotNull()).groupBy("md5").agg(F.min("identifier").alias("first"))
+    rows = items.join(bad, "identifier", "left").join(by_url, "identifier", "left").join(by_md5, "md5", "left").join(first, "md5", "left")
+    outcome = F.when(F.col("bad"), "bad").when(F.col("by_url"), "existing").when(F.col("md5").isNull(), "unread").when(F.col("by_md5"), "duplicate").when(F.col("identifier") != F.col("first"), "repeated").otherwise("new")
     return rows.select("identifier", "md5", outcome.alias("outcome"))
 
 
 def counters(outcomes: DataFrame) -> DataFrame:
     """Errors, new images and metadata updates of a batch (AG13)."""
     n = lambda *names: F.count_if(F.col("outcome").isin(*names))
-    return outcomes.agg(n("bad").alias("errors"), n("new").alias("new_images"), n("existing", "duplicate", "repeated").alias("metadata_updates"))
+    return outcomes.agg(n("bad", "unread").alias("errors"), n("new").alias("new_images"), n("existing", "duplicate", "repeated").alias("metadata_updates"))
 
 
 def with_alternates(items: DataFrame) -> DataFrame:
@@ -55,13 +56,36 @@ def with_alternates(items: DataFrame) -> DataFrame:
     return grouped.select("md5", "url", F.sort_array(F.array_except("all", F.array("url"))).alias("alternates"))
 
 
+def merge_content(images: DataFrame, items: DataFrame, alternates: bool = True) -> DataFrame:
+    """``md5, original_filename, alternate_filename, date_deleted, outcome`` after items of known content (MU2).
+
+    An image of the same content is restored, and gets the items' URLs as alternates where these are allowed and new to
+    it; content that no image has becomes one, named by its smallest URL. Items without a digest are left out.
+    """
+    none = F.array().cast("array<string>")
+    new = with_alternates(items.where(F.col("md5").isNotNull())).select("md5", "url", F.array_prepend("alternates", F.col("url")).alias("urls"), "alternates")
+    rows = images.select("md5", "original_filename", F.coalesce("alternate_filename", none).alias("alternate_filename"), "date_deleted", F.lit(True).alias("had"))
+    more = F.array_except("urls", F.array_append("alternate_filename", F.col("original_filename"))) if alternates else none
+    hit = F.col("urls").isNotNull()
+    outcome = F.when(F.col("had").isNull(), "new").when(hit & F.col("date_deleted").isNotNull(), "restored").when(hit, "duplicate").otherwise("kept")
+    return rows.join(new, "md5", "full").select(
+        "md5",
+        F.coalesce("original_filename", "url").alias("original_filename"),
+        F.when(F.col("had").isNull(), F.col("alternates")).when(hit, F.concat("alternate_filename", more)).otherwise(F.col("alternate_filename")).alias("alternate_filename"),
+        F.when(~hit, F.col("date_deleted")).alias("date_deleted"),
+        outcome.alias("outcome"),
+    )
+
+
 def update_fields(current: DataFrame, incoming: DataFrame, key: str, fields: list[str], nulls_overwrite: bool) -> DataFrame:
     """``current`` with the fields of matching ``incoming`` rows, and whether a row changed (MU5, MU6, MU19).
 
     Single updates take values that are set and differ, and skip protected fields; batch updates take nulls too.
+    Of incoming rows that repeat a key, the largest by its fields is taken; a null key matches nothing.
     """
     fields = [f for f in fields if f in current.columns and (nulls_overwrite or f not in PROTECTED)]
-    new = incoming.select(key, *(F.col(f).alias(f"__{f}") for f in fields), F.lit(True).alias("__hit"))
+    one = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*fields)).alias("__r"))
+    new = one.select(key, *(F.col(f"__r.{f}").alias(f"__{f}") for f in fields), F.lit(True).alias("__hit"))
     out, changed = current.join(new, key, "left"), F.lit(False)
     for f in fields:
         n, old = F.col(f"__{f}"), F.col(f)
@@ -78,6 +102,11 @@ def upsert(current: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
     return rest.unionByName(incoming.select(current.columns))
 
 
+def remove(current: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """Rows without those of some keys, as a document goes from the index (SK9)."""
+    return current.join(keys.select(*names).distinct(), list(names), "left_anti")
+
+
 def insert_missing(current: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
     """Rows of ``defaults`` whose key is not there yet are added (MU18, FL35)."""
     return current.unionByName(defaults.join(current.select(key), key, "left_anti").select(current.columns))
@@ -91,9 +120,13 @@ def soft_delete(images: DataFrame, ids: DataFrame, now: Column, children: dict[s
     return marked, {name: child.join(keys, link, "left_anti") for name, child in children.items()}
 
 
-def purge(images: DataFrame) -> DataFrame:
-    """Images without the soft-deleted ones (MU8, FL14)."""
-    return images.where(F.col("date_deleted").isNull())
+def purge(images: DataFrame, children: dict[str, DataFrame] | None = None, link: str = "image_id") -> DataFrame | tuple[DataFrame, dict[str, DataFrame]]:
+    """Images without the soft-deleted ones (MU8, FL14), and child tables without their rows if there are any."""
+    left = images.where(F.col("date_deleted").isNull())
+    if children is None:
+        return left
+    gone = images.where(F.col("date_deleted").isNotNull()).select(F.col("id").alias(link))
+    return left, {name: child.join(gone, link, "left_anti") for name, child in children.items()}
 
 
 def retained(uploads: DataFrame, files: DataFrame, now: Column, days: int) -> tuple[DataFrame, DataFrame]:
@@ -103,6 +136,69 @@ def retained(uploads: DataFrame, files: DataFrame, now: Column, days: int) -> tu
     return uploads.join(stay.select(F.col("upload_id").alias("id")), "id", "left_semi"), stay
 
 
+def stale_staged(files: DataFrame, now: Column, days: int) -> DataFrame:
+    """Staged files that nobody used for more than ``days`` (MU12)."""
+    return files.where(F.col("date_staged") < F.timestamp_add("DAY", F.lit(-days), now))
+
+
+def new_members(members: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Archive members whose digest the ledger doesn't have, one of each digest, so that sending them again does nothing (ST8, SC10)."""
+    fresh = members.join(ledger.select("md5").distinct(), "md5", "left_anti")
+    return fresh.groupBy("md5").agg(F.min(F.struct("archive", "member")).alias("m")).select("m.archive", "m.member", "md5")
+
+
+def upload_states(uploads: DataFrame, files: DataFrame) -> DataFrame:
+    """``upload_id, state`` from the files' (ST10): unpacked uploads wait until one file has been loaded or stopped, and are complete when all have been loaded."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    counts = files.groupBy("upload_id").agg(F.count("*").alias("n"), n("COMPLETE").alias("done"), n("LOADING").alias("loading"), n("QUEUED").alias("queued"), n("CORRUPT_AVRO_FILES").alias("corrupt"))
+    state = (
+        F.when(F.col("n").isNull(), "UNPACKING")
+        .when(F.col("corrupt") > 0, "CORRUPT_AVRO_FILES")
+        .when(F.col("done") == F.col("n"), "COMPLETE")
+        .when(F.col("loading") > 0, "LOADING")
+        .when(F.col("queued") == F.col("n"), "WAITING_PROCESSING")
+        .otherwise("PARTIALLY_COMPLETE")
+    )
+    return uploads.select(F.col("id").alias("upload_id")).join(counts, "upload_id", "left").select("upload_id", state.alias("state"))
+
+
+def after_restart(files: DataFrame) -> DataFrame:
+    """Files as they are after a restart: what was being loaded is stopped (ST10)."""
+    return files.withColumn("status", F.when(F.col("status") == "LOADING", "STOPPED").otherwise(F.col("status")))
+
+
+def import_field(kind: str, value: str, file_name: str = "filename") -> Column:
+    """The value of an import field (PJ18): a literal, or the first group of a pattern that the whole file name matches, else empty."""
+    if kind == "literal":
+        return F.lit(value)
+    whole = f"^(?:{value})$"
+    return F.when(F.col(file_name).rlike(whole), F.coalesce(F.regexp_extract(file_name, whole, 1), F.lit(""))).otherwise("")
+
+
+def staged_rows(files: DataFrame, data: DataFrame, definitions: list[tuple[str, str, str]]) -> DataFrame:
+    """Staged files with a column for each definition ``(name, kind, format)`` (PJ17, JN20).
+
+    A ``column`` definition takes the format's column (the definition's own, if blank) of the data file's row of the same file name.
+    """
+    wide = files.join(data.select("filename", *(F.col(c).alias(f"__{c}") for c in data.columns if c != "filename")), "filename", "left")
+    value = {
+        "literal": lambda name, fmt: F.lit(fmt),
+        "regex": lambda name, fmt: import_field("regex", fmt) if fmt else F.col("filename"),
+        "column": lambda name, fmt: F.coalesce(F.col(f"__{fmt or name}"), F.lit("")) if (fmt or name) in data.columns else F.lit(""),
+    }
+    return wide.select(*files.columns, *(value[kind](name, fmt).alias(name) for name, kind, fmt in definitions))
+
+
+def negated(rows: DataFrame, column: str) -> DataFrame:
+    """A boolean column turned round, as a migration does (MU15)."""
+    return rows.withColumn(column, ~F.col(column))
+
+
+def filled(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """A constant in a column where it is null (MU15)."""
+    return rows.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
+
+
 def overdue(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs older than their own expected duration in minutes (FL25, ST4)."""
     return jobs.where(F.timestamp_add("MINUTE", F.col("expected_minutes").cast("int"), F.col("date_created")) < now)

@@ -13,6 +13,7 @@ import functools
 import operator
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote_plus
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -91,86 +92,13 @@ def filter_queries(df: DataFrame, fq: list[str]) -> DataFrame:
     return df
 
 
-_TOKEN = re.compile(r'\s*(?:(\()|(\))|(AND|OR|NOT)\b|(?:([\w.]+):)?(?:"([^"]*)"|\[([^\]]*?) TO ([^\]]*?)\]|([^\s()":]+)))')
+def has_words(field: str, words: str) -> Column:
+    """Whether a field has these words next to each other, without regard to case; null has none (FL11).
 
-
-def query_string(q: str, fields: list[str]) -> Column:
-    """The common part of Lucene's query strings as a predicate (FL11).
-
-    Terms, ``field:term``, quotes, ``AND``, ``OR``, ``NOT``, brackets, ``*`` and ``[a TO b]``; terms
-    next to each other are alternatives. A term matches one of a field's lower-case words.
+    With Spark's own operators on columns this takes the place of a query language: ``has_words("title", "red cat") & ~(F.col("n") > 5)``.
     """
-    if not q or q.strip() == "*:*":
-        return F.lit(True)
-    tokens, at = [], 0
-    while at < len(q) and q[at:].strip():
-        m = _TOKEN.match(q, at)
-        if not m:
-            raise ValueError(f"cannot read the query at {q[at:]!r}")
-        tokens.append(m)
-        at = m.end()
-    place = 0
-
-    def peek():
-        return tokens[place] if place < len(tokens) else None
-
-    def leaf(m: re.Match) -> Column:
-        def on(field: str) -> Column:
-            c = F.col(field)
-            if m[6] is not None:
-                low, high = (None if x.strip() == "*" else x.strip() for x in (m[6], m[7]))
-                ok = F.lit(True)
-                ok = ok & (c >= low) if low is not None else ok
-                return ok & (c <= high) if high is not None else ok
-            words = F.split(F.lower(c.cast("string")), r"\W+")
-            if m[5] is not None:
-                return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(re.findall(r'\w+', m[5].lower()))} "))
-            term = m[8].lower()
-            if term == "*":
-                return c.isNotNull()
-            if "*" in term:
-                return F.exists(words, lambda w: w.like(term.replace("%", r"\%").replace("_", r"\_").replace("*", "%")))
-            return F.array_contains(words, term) | (F.lower(c.cast("string")) == term)
-
-        hit = functools.reduce(operator.or_, (on(f) for f in ([m[4]] if m[4] and m[4] != "*" else fields)))
-        return F.coalesce(hit, F.lit(False))
-
-    def factor() -> Column:
-        nonlocal place
-        m = peek()
-        if m is None:
-            raise ValueError("the query ends too early")
-        place += 1
-        if m[3] == "NOT":
-            return ~factor()
-        if m[1]:
-            inner = either()
-            if peek() is None or not peek()[2]:
-                raise ValueError("a bracket is not closed")
-            place += 1
-            return inner
-        if m[2] or m[3]:
-            raise ValueError(f"no term where {m[0].strip()!r} stands")
-        return leaf(m)
-
-    def both() -> Column:
-        nonlocal place
-        out = factor()
-        while peek() is not None and peek()[3] == "AND":
-            place += 1
-            out = out & factor()
-        return out
-
-    def either() -> Column:
-        nonlocal place
-        out = both()
-        while peek() is not None and not peek()[2]:
-            if peek()[3] == "OR":
-                place += 1
-            out = out | both()
-        return out
-
-    return either()
+    spaced = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"\W+", " ")), F.lit(" "))
+    return F.coalesce(F.contains(spaced(F.col(field).cast("string")), spaced(F.lit(words))), F.lit(False))
 
 
 def page(df: DataFrame, size: int | None = None, offset: int | None = None, newest: str = "date_uploaded", tie: str = "image_identifier") -> DataFrame:
@@ -182,6 +110,28 @@ def page(df: DataFrame, size: int | None = None, offset: int | None = None, newe
     return df.orderBy(F.desc(newest), tie).offset(offset).limit(size)
 
 
+def page_with_total(df: DataFrame, size: int | None = None, offset: int | None = None) -> DataFrame:
+    """A page of hits, each with the exact number of all hits (AG4)."""
+    return page(df, size, offset).withColumn("total", df.agg(F.count("*").alias("n")).scalar())
+
+
+def search_by_metadata(images: DataFrame, metadata: DataFrame, key: str, values: list[str], sort: str, order: str = "desc", size: int = 10, offset: int = 0) -> DataFrame:
+    """Images that have one of the values of a metadata key, by a column of the user's choice, descending unless ``asc`` is said (SL5)."""
+    rows = metadata.where((F.lower("name") == key.lower()) & F.lower("value").isin([v.lower() for v in values])).select(F.col("image_id").alias("id"))
+    by = F.asc(sort) if order == "asc" else F.desc(sort)
+    return images.join(rows, "id", "left_semi").orderBy(by, F.desc("id")).offset(offset).limit(size)
+
+
+def ordered(df: DataFrame, sort: str | None = None, order: str = "asc") -> DataFrame:
+    """Rows by a column, else by id, the newest first (SL6, SL9)."""
+    return df.orderBy(F.desc("id")) if sort is None else df.orderBy(F.desc(sort) if order == "desc" else F.asc(sort), F.desc("id"))
+
+
+def index_fields(index: DataFrame) -> DataFrame:
+    """Names and types of the index's fields (SC20)."""
+    return index.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in index.schema], "field string, kind string")
+
+
 def facets(df: DataFrame, fields: list[str], top: int = FACET_TOP) -> DataFrame:
     """``facet, value, n``: the most frequent values of each field, in one pass (AG1, AG3)."""
     pairs = F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in fields))
@@ -196,8 +146,8 @@ def facet(df: DataFrame, field: str, most: int = FACET_MAX) -> DataFrame:
 
 
 def grouped_by_value(df: DataFrame, field: str, values: list[str]) -> DataFrame:
-    """Hits of each value of a field (AG12)."""
-    return df.where(F.col(field).isin(values)).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("image_identifier")).alias("images"))
+    """Hits of each value of a field, a row each (AG12); ``facet`` counts them."""
+    return df.where(F.col(field).isin(values)).select(F.col(field).alias("value"), "image_identifier")
 
 
 def latest_for_url(images: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,8 +159,8 @@ def latest_for_url(images: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def by_file_name(images: DataFrame, name: str) -> DataFrame:
-    """By file name, with ``*`` and ``%`` as any text (FL17)."""
-    pattern = name.replace("*", "%")
+    """By file name, percent-encoded as in a URL (FN26), with ``*`` and then ``%`` as any text (FL17)."""
+    pattern = unquote_plus(name).replace("*", "%")
     return images.where(F.ilike(F.col("original_filename"), F.lit(pattern)) if "%" in pattern else F.col("original_filename") == pattern)
 
 

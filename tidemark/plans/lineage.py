@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share.
 
     It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    unset and Spark runs in one process (tests) a temporary folder takes its place.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None and current.isDefined():
         return current.get()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
     if current.isEmpty():
         sc.setCheckpointDir(named)

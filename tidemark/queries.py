@@ -54,8 +54,7 @@ MATCHED = """, matched AS (SELECT i.*, coalesce(
 
 
 def _recognised(c: Catalogue) -> DataFrame:
-    matched = catalogue.match_licence(c["image"], c["license"], c["license_mapping"]).withColumnRenamed("licence_id", "recognised_license_id")
-    return c["image"].join(matched, "id")
+    return catalogue.with_matched_licence(c["image"], c["license"], c["license_mapping"])
 
 
 @query(f"SELECT data_resource_uid, image_identifier AS \"imageID\", {NO_CREDENTIALS} AS url FROM ({LIVE_URLS}) WHERE data_resource_uid IS NOT NULL", "image")
@@ -63,9 +62,13 @@ def export_mapping(c):
     return exports.export_mapping(c["image"])
 
 
+DATASET = {c: c for c in ("audience", "contributor", "created", "creator", "description", "license", "publisher", "source", "title", "type")} | {"mime_type": "format", "dc_references": '"references"', "rights_holder": '"rightsHolder"'}
+
+
 @query(
-    f"SELECT image_identifier AS \"imageID\", nullif(regexp_replace({NO_CREDENTIALS}, '[\\x00-\\x1F\\x7F-\\x9F]', '', 'g'), '') AS identifier, {_control('audience', 'audience')}, {_control('creator', 'creator')}, "
-    f"{_control('description', 'description')}, {_control('mime_type', 'format')}, {_control('license', 'license')}, {_control('title', 'title')} FROM ({LIVE_URLS}) WHERE data_resource_uid = 'src3'",
+    f"SELECT image_identifier AS \"imageID\", nullif(regexp_replace({NO_CREDENTIALS}, '[\\x00-\\x1F\\x7F-\\x9F]', '', 'g'), '') AS identifier, "
+    + ", ".join(_control(c, name) for c, name in DATASET.items())
+    + f" FROM ({LIVE_URLS}) WHERE data_resource_uid = 'src3'",
     "image",
 )
 def export_dataset(c):
@@ -79,8 +82,9 @@ def export_dataset_mapping(c):
 
 @query(
     MATCHED + f""" SELECT data_resource_uid AS "dataResourceUid", occurrence_id AS "occurrenceID", concat('{HOST}/image/proxyImageThumbnailLarge?imageId=', image_identifier) AS identifier,
-    {_line('creator', 'creator')}, {_line('title', 'title')}, mime_type AS format, {_line('license', 'license')}, concat('{HOST}/image/', image_identifier) AS "references", {_line('description', 'description')},
-    l.acronym AS "recognisedLicense", content_md5 AS md5hash, file_size AS "fileSize", width, height, zoom_levels AS "zoomLevels", image_identifier AS "imageIdentifier"
+    {_line('creator', 'creator')}, strftime(date_taken, '%Y-%m-%d %H:%M:%S') AS created, {_line('title', 'title')}, mime_type AS format, {_line('license', 'license')}, {_line('rights', 'rights')},
+    {_line('rights_holder', '"rightsHolder"')}, concat('{HOST}/image/', image_identifier) AS "references", {_line('description', 'description')}, extension,
+    l.acronym AS "recognisedLicense", strftime(date_deleted, '%Y-%m-%d %H:%M:%S') AS "dateDeleted", content_md5 AS md5hash, file_size AS "fileSize", width, height, zoom_levels AS "zoomLevels", image_identifier AS "imageIdentifier"
     FROM (SELECT * RENAME (license AS licence_text) FROM matched) i LEFT JOIN (SELECT id AS lid, acronym FROM license) l ON l.lid = i.licence_id""".replace("regexp_replace(license,", "regexp_replace(licence_text,"),
     "image", "license", "license_mapping",
 )
@@ -89,10 +93,11 @@ def export_images(c):
 
 
 @query(
-    MATCHED + f""" SELECT image_identifier AS "imageIdentifier", content_md5 AS "contentMD5Hash", content_sha1 AS "contentSHA1Hash", mime_type AS format, original_filename AS "originalFilename",
+    MATCHED + f""" SELECT image_identifier AS "imageIdentifier", content_md5 AS contentmd5hash, content_sha1 AS contentsha1hash, mime_type AS format, original_filename AS originalfilename, extension, strftime(date_taken, '%Y-%m-%d') AS "dateTaken",
+    {_clean('rights', 'rights')}, {_clean('rights_holder', '"rightsHolder"')}, thumb_height AS "thumbHeight", thumb_width AS "thumbWidth", audience, source, contributor, type, created, dc_references AS "references",
     strftime(date_uploaded, '%Y-%m-%d') AS "dateUploaded", strftime(date_uploaded, '%Y-%m') AS "dateUploadedYearMonth", file_size AS "fileSize", height, width, zoom_levels AS "zoomLevels",
     data_resource_uid AS "dataResourceUid", {_clean('creator', 'creator')}, {_clean('title', 'title')}, {_clean('description', 'description')}, {_clean('licence_text', 'license')},
-    l.acronym AS "recognisedLicence", occurrence_id AS "occurrenceID", CAST(harvestable AS VARCHAR) AS harvestable,
+    l.acronym AS "recognisedLicence", occurrence_id AS "occurrenceID", harvestable,
     CASE WHEN height * width < 100 THEN 'less than 100' WHEN height * width < 1000 THEN 'less than 1k' WHEN height * width < 10000 THEN 'less than 10k' WHEN height * width < 100000 THEN 'less than 100k'
          WHEN height * width < 1000000 THEN 'less than 1m' ELSE CAST((height * width) // 1000000 AS VARCHAR) || 'm' END AS "imageSize",
     CASE WHEN mime_type LIKE 'image%' THEN 'image' WHEN mime_type LIKE 'audio%' THEN 'sound' WHEN mime_type LIKE 'video%' THEN 'video' ELSE 'document' END AS "fileType"
@@ -164,29 +169,28 @@ def search_criteria_index(c):
     "SELECT id FROM image WHERE (list_contains(string_split_regex(lower(license), '\\W+'), 'cc') OR lower(license) = 'cc') AND NOT (data_resource_uid = 'src3' AND data_resource_uid IS NOT NULL) AND width BETWEEN 100 AND 2500", "image"
 )
 def search_query_string(c):
-    return c["image"].where(search.query_string("license:cc AND NOT data_resource_uid:src3 AND width:[100 TO 2500]", ["title", "description"])).select("id")
+    return c["image"].where(search.has_words("license", "cc") & ~F.coalesce(F.col("data_resource_uid") == "src3", F.lit(False)) & F.col("width").between(100, 2500)).select("id")
 
 
 @query("SELECT id, image_identifier FROM image WHERE original_filename ILIKE 'HTTPS://%/1%'", "image")
 def by_file_name(c):
-    return search.by_file_name(c["image"], "HTTPS://*/1*").select("id", "image_identifier")
+    return search.by_file_name(c["image"], "HTTPS%3A//*/1*").select("id", "image_identifier")
 
 
 @query(
     "SELECT url, id, image_identifier FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY date_uploaded DESC, id DESC) AS r FROM "
     "(SELECT id, image_identifier, date_uploaded, unnest(list_distinct(list_append(coalesce(alternate_filename, []), original_filename))) AS url FROM image)) "
-    "WHERE r = 1 AND url IN (SELECT original_filename FROM image WHERE id < 400)",
+    "WHERE r = 1",
     "image",
 )
 def by_filename_or_alternate(c):
-    return search.latest_for_url(c["image"], c["image"].where("id < 400").select(F.col("original_filename").alias("url")))
+    urls_of = c["image"].select(F.explode(exports.all_urls()).alias("url"))
+    return search.latest_for_url(c["image"], urls_of)
 
 
-@query(
-    "SELECT data_resource_uid AS value, count(*) AS n, md5(string_agg(image_identifier, ',' ORDER BY image_identifier)) AS images FROM image WHERE data_resource_uid IN ('src0', 'src9') GROUP BY 1", "image"
-)
+@query("SELECT data_resource_uid AS value, image_identifier FROM image WHERE data_resource_uid IN ('src0', 'src9')", "image")
 def grouped_by_value(c):
-    return search.grouped_by_value(c["image"], "data_resource_uid", ["src0", "src9"]).withColumn("images", F.md5(F.array_join("images", ",")))
+    return search.grouped_by_value(c["image"], "data_resource_uid", ["src0", "src9"])
 
 
 @query("SELECT DISTINCT md5(CAST(n_nationkey * 70 AS VARCHAR)) AS image_identifier, md5(CAST(n_nationkey * 70 AS VARCHAR)) IN (SELECT image_identifier FROM image) AS found FROM nation", "image")
@@ -231,16 +235,16 @@ def counts_by_location(c):
     "SELECT u.id AS upload_id, u.resource, count(*) AS files, CAST(sum(coalesce(record_count, 0)) AS BIGINT) AS record_count, CAST(sum(coalesce(new_images, 0)) AS BIGINT) AS new_images, "
     "CAST(sum(coalesce(metadata_updates, 0)) AS BIGINT) AS metadata_updates, CAST(sum(coalesce(error_count, 0)) AS BIGINT) AS error_count, "
     + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in ("COMPLETE", "LOADING", "QUEUED", "STOPPED"))
-    + ", bool_and(status = 'COMPLETE') AS all_complete FROM batch_upload u JOIN batch_file f ON f.upload_id = u.id GROUP BY 1, 2",
+    + ", bool_and(status = 'COMPLETE') AS all_complete, bool_and(coalesce(record_count, 0) = 0) AS no_records FROM batch_upload u JOIN batch_file f ON f.upload_id = u.id GROUP BY 1, 2",
     "batch_upload", "batch_file",
 )
 def batch_rollup(c):
     return catalogue.batch_rollup(c["batch_upload"], c["batch_file"])
 
 
-@query("SELECT upload_id, file_no, status FROM batch_file WHERE status <> 'COMPLETE' ORDER BY CASE status WHEN 'LOADING' THEN 1 ELSE 0 END, upload_id, file_no LIMIT 100", "batch_file")
+@query("SELECT upload_id, file_no, status FROM batch_file WHERE status <> 'COMPLETE'", "batch_file")
 def batch_files_in_order(c):
-    return catalogue.files_in_order(c["batch_file"]).limit(100).select("upload_id", "file_no", "status")
+    return catalogue.files_in_order(c["batch_file"]).select("upload_id", "file_no", "status")
 
 
 @query("SELECT upload_id, file_no FROM batch_file WHERE status = 'QUEUED' ORDER BY date_completed, upload_id, file_no LIMIT 1", "batch_file")
@@ -267,17 +271,19 @@ def metadata_values(c):
     return catalogue.metadata_values(c["image_metadata"], c["image"].where("harvestable"), "toxic", "UserDefined")
 
 
-NEW_ITEMS = "SELECT image_id, name, source, CASE WHEN image_id % 3 = 0 THEN ' ' ELSE ' new ' || value END AS value FROM image_metadata WHERE image_id % 2 = 0 AND name <> 'Toxic'"
+NEW_ITEMS = "SELECT image_id, name, CASE WHEN image_id % 7 <> 0 THEN source END AS source, CASE WHEN image_id % 3 = 0 THEN ' ' ELSE ' new ' || value END AS value FROM image_metadata WHERE image_id % 2 = 0 AND name <> 'Toxic'"
 
 
 @query(
-    f", n AS (SELECT image_id, name, source, trim(value) AS new FROM ({NEW_ITEMS}) WHERE trim(value) <> '') SELECT image_id, name, source, coalesce(n.new, m.value) AS value FROM image_metadata m FULL JOIN n USING (image_id, name, source)",
+    f", old AS (SELECT image_id, name, CASE WHEN image_id % 7 <> 0 THEN source END AS source, value FROM image_metadata), n AS (SELECT image_id, name, source, trim(value) AS new FROM ({NEW_ITEMS}) WHERE trim(value) <> '') "
+    "SELECT coalesce(m.image_id, n.image_id) AS image_id, coalesce(m.name, n.name) AS name, coalesce(m.source, n.source) AS source, coalesce(n.new, m.value) AS value FROM old m FULL JOIN n "
+    "ON m.image_id = n.image_id AND m.name = n.name AND m.source IS NOT DISTINCT FROM n.source",
     "image_metadata",
 )
 def metadata_upsert(c):
-    rows = c["image_metadata"]
+    rows = c["image_metadata"].withColumn("source", F.expr("CASE WHEN image_id % 7 <> 0 THEN source END"))
     new = rows.where("image_id % 2 = 0 AND name <> 'Toxic'").withColumn("value", F.when(F.col("image_id") % 3 == 0, " ").otherwise(F.concat(F.lit(" new "), "value")))
-    return catalogue.upsert_metadata(rows, new)
+    return catalogue.upsert_metadata(rows, new.unionByName(new))
 
 
 @query("SELECT image_id, name, source, value FROM image_metadata WHERE NOT (name = 'quality' AND image_id % 5 = 0)", "image_metadata")
@@ -400,14 +406,14 @@ def images_by_keyword(c):
 
 
 @query(
-    """WITH b AS (SELECT 'u' || CAST(doc_id AS VARCHAR) AS identifier, md5(text) AS md5 FROM documents WHERE doc_id % 2 = 1 OR doc_id % 10 = 0),
-    cat AS (SELECT 'u' || CAST(doc_id AS VARCHAR) AS url, md5(text) AS md5 FROM documents WHERE doc_id % 2 = 0),
-    f AS (SELECT md5, min(identifier) AS first FROM b GROUP BY 1)
-    SELECT identifier, md5, CASE WHEN CAST(substr(identifier, 2) AS BIGINT) % 35 = 0 THEN 'bad' WHEN identifier IN (SELECT url FROM cat) THEN 'existing' WHEN md5 IN (SELECT md5 FROM cat) THEN 'duplicate'
-        WHEN identifier <> first THEN 'repeated' ELSE 'new' END AS outcome FROM b JOIN f USING (md5)"""
+    """WITH d AS (SELECT doc_id, 'u' || CAST(doc_id AS VARCHAR) AS identifier, CASE WHEN doc_id % 11 <> 0 THEN md5(text) END AS md5 FROM documents),
+    b AS (SELECT identifier, md5 FROM d WHERE doc_id % 2 = 1 OR doc_id % 10 = 0), cat AS (SELECT identifier AS url, md5 FROM d WHERE doc_id % 2 = 0),
+    f AS (SELECT md5, min(identifier) AS first FROM b WHERE md5 IS NOT NULL GROUP BY 1)
+    SELECT identifier, b.md5, CASE WHEN CAST(substr(identifier, 2) AS BIGINT) % 35 = 0 THEN 'bad' WHEN identifier IN (SELECT url FROM cat) THEN 'existing' WHEN b.md5 IS NULL THEN 'unread'
+        WHEN b.md5 IN (SELECT md5 FROM cat WHERE md5 IS NOT NULL) THEN 'duplicate' WHEN identifier <> first THEN 'repeated' ELSE 'new' END AS outcome FROM b LEFT JOIN f ON b.md5 = f.md5"""
 )
 def ingest_classify(c):
-    docs = c.spark.read.parquet(f"{c.sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("identifier"), F.md5("text").alias("md5"))
+    docs = c.spark.read.parquet(f"{c.sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("identifier"), F.when(F.col("doc_id") % 11 != 0, F.md5("text")).alias("md5"))
     current = docs.where("doc_id % 2 = 0").select(F.col("identifier").alias("url"), "md5")
     failed = docs.where("doc_id % 35 = 0").select(F.col("identifier").alias("url"))
     return ingest.classify(docs.where("doc_id % 2 = 1 OR doc_id % 10 = 0").select("identifier", "md5"), current, failed)
@@ -534,3 +540,239 @@ def avro_rows(c):
 @query("SELECT 'UPDATE image SET original_filename = ''' || replace(new_url, '''', '''''') || ''' WHERE image_identifier = ''' || image_identifier || ''';' AS statement FROM url_move", "url_move")
 def update_statements(c):
     return sinks.update_statements(c["url_move"])
+
+
+@query(
+    "SELECT id, image_identifier, (SELECT count(*) FROM image WHERE date_deleted IS NULL) AS total FROM image WHERE date_deleted IS NULL ORDER BY date_uploaded DESC, image_identifier LIMIT 25 OFFSET 3", "image"
+)
+def search_page_with_total(c):
+    return search.page_with_total(exports.live(c["image"]), 25, 3).select("id", "image_identifier", "total")
+
+
+@query(
+    "SELECT id, file_size FROM image WHERE id IN (SELECT image_id FROM image_metadata WHERE lower(name) = 'lang' AND lower(value) IN ('en', 'de')) ORDER BY file_size, id DESC LIMIT 40 OFFSET 2", "image", "image_metadata"
+)
+def metadata_search(c):
+    return search.search_by_metadata(c["image"], c["image_metadata"], "LANG", ["EN", "de"], "file_size", "asc", 40, 2).select("id", "file_size")
+
+
+@query("SELECT id FROM image ORDER BY id DESC LIMIT 20", "image")
+def newest_ids(c):
+    return search.ordered(c["image"]).limit(20).select("id")
+
+
+@query("SELECT id FROM image WHERE id = 12", "image")
+def by_number(c):
+    return search.by_id_or_identifier(c["image"], "12").select("id")
+
+
+@query("SELECT id FROM image WHERE image_identifier = md5('12')", "image")
+def by_identifier(c):
+    return search.by_id_or_identifier(c["image"], "c20ad4d76fe97759aa27a0c99bff6710").select("id")
+
+
+INDEXED = ("imageIdentifier", "format", "fileSize", "harvestable", "fileType")
+
+
+@query("SELECT * FROM (VALUES ('imageIdentifier', 'string'), ('format', 'string'), ('fileSize', 'bigint'), ('harvestable', 'boolean'), ('fileType', 'string')) t(field, kind)")
+def index_fields(c):
+    return search.index_fields(exports.export_index(_recognised(c), c["license"]).select(*INDEXED))
+
+
+@query(
+    "SELECT content_md5, n, (SELECT count(*) FROM (SELECT content_md5 FROM image GROUP BY 1 HAVING count(*) > 1)) AS total FROM (SELECT content_md5, count(*) AS n FROM image GROUP BY 1 HAVING count(*) > 1) "
+    "ORDER BY n DESC, content_md5 LIMIT 20 OFFSET 1",
+    "image",
+)
+def duplicates_page(c):
+    return catalogue.duplicates_page(c["image"], 20, 1)
+
+
+@query(
+    f", u AS (SELECT period, resource_uid, count(*) AS events, count(DISTINCT user_id) AS users FROM {_RECENT} GROUP BY 1, 2 UNION ALL SELECT 'total', resource_uid, count(*), count(DISTINCT user_id) FROM usage_event GROUP BY 2) "
+    "SELECT u.*, coalesce(r.name, u.resource_uid) AS name FROM u LEFT JOIN resource r ON r.uid = u.resource_uid",
+    "usage_event", "resource",
+)
+def usage_with_names(c):
+    return catalogue.usage_with_names(c["usage_event"], c["resource"], at(NOW))
+
+
+@query("WITH w AS (SELECT DISTINCT 'https://user:pw@files.example.org/' || CAST(n_nationkey * 40 AS VARCHAR) AS name FROM nation), " "image AS (SELECT 'https://user:pw@files.example.org/' || CAST(doc_id % 500 AS VARCHAR) AS f FROM documents) "
+       "SELECT name, count(f) AS n FROM w LEFT JOIN image ON f = name GROUP BY 1")
+def requested_names(c):
+    names = c.spark.read.parquet(f"{c.sf_dir}/nation.parquet").select(F.concat(F.lit("https://user:pw@files.example.org/"), (F.col("n_nationkey") * 40).cast("string")).alias("name"))
+    return catalogue.counted_by_name(c["image"], names)
+
+
+_PLACES = "(VALUES (1, 'fs', '/data/images', NULL, NULL, NULL, NULL), (2, 's3', NULL, 'r1', 'bucket-a', 'pre', NULL), (3, 's3', NULL, 'r1', 'bucket-b', 'x', NULL))"
+_PLACE_NAMES = "id, class, base_path, region, bucket, prefix, container"
+
+
+def _locations(c: Catalogue) -> DataFrame:
+    return c.spark.sql(f"SELECT cast(id AS bigint) AS id, class, base_path, region, bucket, prefix, cast(container AS string) AS container FROM {_PLACES} AS t({_PLACE_NAMES})")
+
+
+@query("SELECT * FROM (VALUES (0, NULL, 'fs:'), (1, 1, '  /data/images'), (2, NULL, 's3:'), (3, 2, '  bucket-a'), (3, 3, '  bucket-b')) t(part, id, line)")
+def configuration_report(c):
+    return catalogue.configuration_report(_locations(c))
+
+
+@query(
+    "SELECT id, CASE id % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'fs-data-images' WHEN 2 THEN 's3-r1-bucket-a-pre' ELSE 's3-r1-bucket-b-x' END AS storage_location_name FROM image", "image"
+)
+def storage_names(c):
+    rows = c["image"].select("id", (F.col("id") % 4).alias("storage_location_id"), F.when(F.col("id") % 4 == 0, "kept").alias("storage_location_name"))
+    return ingest.backfill(rows, _locations(c)).select("id", "storage_location_name")
+
+
+@query("SELECT u.id, u.resource, list(f.file_no ORDER BY f.file_no)::VARCHAR AS files FROM batch_upload u LEFT JOIN batch_file f ON f.upload_id = u.id GROUP BY 1, 2", "batch_upload", "batch_file")
+def batch_status(c):
+    rows = catalogue.batch_status(c["batch_upload"], c["batch_file"])
+    listed = F.concat(F.lit("["), F.array_join(F.transform("files", lambda f: f["file_no"].cast("string")), ", "), F.lit("]"))
+    return rows.select("id", "resource", F.when(F.col("files").isNull(), "[NULL]").otherwise(listed).alias("files"))
+
+
+@query(
+    ", n AS (SELECT upload_id, count(*) AS n, count(*) FILTER (status = 'COMPLETE') AS done, count(*) FILTER (status = 'LOADING') AS loading, count(*) FILTER (status = 'QUEUED') AS queued FROM batch_file GROUP BY 1) "
+    "SELECT u.id AS upload_id, CASE WHEN n IS NULL THEN 'UNPACKING' WHEN done = n THEN 'COMPLETE' WHEN loading > 0 THEN 'LOADING' WHEN queued = n THEN 'WAITING_PROCESSING' ELSE 'PARTIALLY_COMPLETE' END AS state "
+    "FROM batch_upload u LEFT JOIN n ON n.upload_id = u.id",
+    "batch_upload", "batch_file",
+)
+def upload_states(c):
+    return ingest.upload_states(c["batch_upload"], c["batch_file"])
+
+
+@query("SELECT upload_id, file_no, CASE status WHEN 'LOADING' THEN 'STOPPED' ELSE status END AS status FROM batch_file", "batch_file")
+def after_restart(c):
+    return ingest.after_restart(c["batch_file"]).select("upload_id", "file_no", "status")
+
+
+@query(
+    "WITH m AS (SELECT 'a' || CAST(doc_id % 9 AS VARCHAR) AS archive, 'm' || CAST(doc_id AS VARCHAR) AS member, md5(text) AS md5 FROM documents), l AS (SELECT md5 FROM m WHERE archive < 'a4' AND md5 IS NOT NULL) "
+    "SELECT arg_min(archive, archive || '/' || member) AS archive, arg_min(member, archive || '/' || member) AS member, md5 FROM m WHERE md5 IS NOT NULL AND md5 NOT IN (SELECT md5 FROM l) GROUP BY md5"
+)
+def resent_members(c):
+    members = c.spark.read.parquet(f"{c.sf_dir}/documents.parquet").where("text IS NOT NULL")
+    members = members.select(F.concat(F.lit("a"), (F.col("doc_id") % 9).cast("string")).alias("archive"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("member"), F.md5("text").alias("md5"))
+    return ingest.new_members(members, members.where("archive < 'a4'"))
+
+
+@query(
+    ", m AS (SELECT content_md5 AS md5, min(original_filename) AS f, max(date_deleted) AS d FROM image WHERE id % 3 <> 0 GROUP BY 1), i AS (SELECT content_md5 AS md5, min(original_filename) AS first, "
+    "list_sort(list_distinct(list(original_filename))) AS all_urls FROM image WHERE id % 2 = 0 GROUP BY 1) SELECT md5, coalesce(f, first) AS original_filename, "
+    "array_to_string(CASE WHEN f IS NULL THEN list_filter(all_urls, lambda x: x <> first) WHEN first IS NULL THEN [] ELSE list_filter(all_urls, lambda x: x <> f) END, ',') AS alternates, "
+    "CASE WHEN f IS NULL THEN 'new' WHEN first IS NULL THEN 'kept' WHEN d IS NULL THEN 'duplicate' ELSE 'restored' END AS outcome FROM m FULL JOIN i USING (md5)",
+    "image",
+)
+def content_merge(c):
+    have = c["image"].where("id % 3 <> 0").groupBy(F.col("content_md5").alias("md5")).agg(F.min("original_filename").alias("original_filename"), F.max("date_deleted").alias("date_deleted"))
+    have = have.withColumn("alternate_filename", F.lit(None).cast("array<string>"))
+    items = c["image"].where("id % 2 = 0").select(F.col("content_md5").alias("md5"), F.col("original_filename").alias("identifier"))
+    return ingest.merge_content(have, items).select("md5", "original_filename", F.array_join("alternate_filename", ",").alias("alternates"), "outcome")
+
+
+@query(
+    "SELECT id, 'f_' || CAST(id AS VARCHAR) || '_' || extension AS filename, CAST(id AS VARCHAR) AS number, 'fixed' AS kind, CASE WHEN id % 2 = 0 THEN coalesce(title, '') ELSE '' END AS title, '' AS missing, '' AS odd FROM image", "image"
+)
+def staged_files(c):
+    files = c["image"].select("id", F.concat(F.lit("f_"), F.col("id").cast("string"), F.lit("_"), "extension").alias("filename"))
+    data = c["image"].where("id % 2 = 0").select(F.concat(F.lit("f_"), F.col("id").cast("string"), F.lit("_"), "extension").alias("filename"), F.col("title").alias("name of it"))
+    wanted = [("number", "regex", r"f_(\d+)_.*"), ("kind", "literal", "fixed"), ("title", "column", "name of it"), ("missing", "column", ""), ("odd", "regex", r"(\d+)")]
+    return ingest.staged_rows(files, data, wanted)
+
+
+@query("SELECT id FROM image WHERE date_uploaded < timestamp '2024-01-31' - to_days(20)", "image")
+def stale_staged(c):
+    return ingest.stale_staged(c["image"].withColumnRenamed("date_uploaded", "date_staged"), at(NOW), 20).select("id")
+
+
+@query("SELECT image_identifier FROM image WHERE id % 8 <> 0", "image")
+def index_delete(c):
+    rows = c["image"].select("id", "image_identifier")
+    return ingest.remove(rows, rows.where("id % 8 = 0"), "image_identifier").select("image_identifier")
+
+
+@query("SELECT image_id, name, source, value FROM image_metadata WHERE image_id NOT IN (SELECT id FROM image WHERE date_deleted IS NOT NULL)", "image", "image_metadata")
+def purge_children(c):
+    return ingest.purge(c["image"], {"metadata": c["image_metadata"]})[1]["metadata"].select("image_id", "name", "source", "value")
+
+
+@query("SELECT image_identifier AS \"imageId\", file_size AS filesize, zoom_levels AS \"tileZoomLevels\", 'https://files.example.org/' || CAST(id % 500 AS VARCHAR) AS \"originalFileName\" FROM image WHERE date_deleted IS NULL", "image")
+def legacy_hits(c):
+    index = exports.export_index(_recognised(c), c["license"])
+    return exports.harmonised(exports.legacy_names(exports.searchable(index, ["imageIdentifier", "fileSize", "zoomLevels", "originalfilename", "contentmd5hash", "title"], ("title",))))
+
+
+@query("SELECT data_resource_uid FROM image WHERE image_identifier = md5('12')", "image")
+def one_column(c):
+    return exports.one_column(c["image"], "image_identifier", "c20ad4d76fe97759aa27a0c99bff6710", "data_resource_uid")
+
+
+@query("SELECT url, http_status FROM failed_upload WHERE regexp_matches(url, '/(en|fr)/') ORDER BY date_created, url LIMIT 100", "failed_upload")
+def failed_preview(c):
+    return catalogue.failed_preview(c["failed_upload"], "/(en|fr)/").select("url", "http_status")
+
+
+@query(
+    f"SELECT url, CASE WHEN date_created >= timestamp '{NOW}' - to_days(12) THEN CASE WHEN http_status % 2 = 0 THEN 'removed' ELSE 'kept' END ELSE 'kept unchecked' END AS action "
+    "FROM (SELECT url, min(date_created) AS date_created, max(http_status) AS http_status FROM failed_upload GROUP BY 1)",
+    "failed_upload",
+)
+def failed_recheck(c):
+    rows = c["failed_upload"].groupBy("url").agg(F.min("date_created").alias("date_created"), F.max("http_status").alias("http_status"))
+    return catalogue.recheck_failed(rows, rows.where("http_status % 2 = 0"), at(NOW), 12).select("url", "action")
+
+
+@query("SELECT id, NOT harvestable AS harvestable, coalesce(data_resource_uid, 'none') AS data_resource_uid FROM image", "image")
+def migrations(c):
+    return ingest.filled(ingest.negated(c["image"], "harvestable"), "data_resource_uid", "none").select("id", "harvestable", "data_resource_uid")
+
+
+@query("SELECT upload_id, file_no, CASE WHEN upload_id = 1 THEN 'QUEUED' ELSE status END AS status FROM batch_file", "batch_file")
+def status_update(c):
+    return ingest.set_status(c["batch_file"], "upload_id", 1, "QUEUED").select("upload_id", "file_no", "status")
+
+
+@query("SELECT id, split_part(original_filename, '//', 2) AS rest, 'a b/' || CAST(id AS VARCHAR) AS decoded, id AS parsed FROM image", "image")
+def text_parsing(c):
+    packed = F.concat(F.lit('{"n": '), F.col("id").cast("string"), F.lit(', "more": 1}'))
+    encoded = F.concat(F.lit("a+b%2F"), F.col("id").cast("string"))
+    return c["image"].select("id", text.part("original_filename", "//", 2).alias("rest"), text.url_decoded(encoded).alias("decoded"), text.parsed(packed, "n long")["n"].alias("parsed"))
+
+
+@query("SELECT id, path FROM tag WHERE '/asia/japan/tokyo' LIKE path || '/%'", "tag")
+def tag_ancestors(c):
+    return tags.ancestors_longest_first(c["tag"], "/asia/japan/tokyo").select("id", "path")
+
+
+@query("SELECT id, acronym, CASE acronym WHEN 'CC-BY' THEN 'new' ELSE name END AS name FROM license UNION ALL SELECT 9, 'CC0', 'zero'", "license")
+def licence_upsert(c):
+    new = c.spark.createDataFrame([(1, "CC-BY", "new"), (9, "CC0", "zero")], "id int, acronym string, name string")
+    return ingest.upsert(c["license"].select("id", "acronym", "name"), new, "acronym")
+
+
+@query("SELECT id, acronym FROM license UNION ALL SELECT 9, 'CC0'", "license")
+def licence_insert_missing(c):
+    new = c.spark.createDataFrame([(7, "CC-BY"), (9, "CC0")], "id int, acronym string")
+    return ingest.insert_missing(c["license"].select("id", "acronym"), new, "acronym")
+
+
+@query(
+    "SELECT identifier, min(title) AS title FROM (SELECT 'u' || CAST(doc_id % 50 AS VARCHAR) AS identifier, substr(text, 1, 20) AS title FROM documents WHERE doc_id % 50 <> 3) GROUP BY 1"
+)
+def batch_items(c):
+    docs = c.spark.read.parquet(f"{c.sf_dir}/documents.parquet")
+    name = F.when(F.col("doc_id") % 50 == 3, " ").otherwise(F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string")))
+    nested = docs.select(F.col("doc_id").cast("string").alias("id"), F.array(F.struct(name.alias("identifier"), F.substring("text", 1, 20).alias("title"))).alias("multimediaItems"))
+    return ingest.first_per_identifier(ingest.flatten(nested), "title").select("identifier", "title")
+
+
+@query(f"SELECT CAST(count(*) FILTER (id % 4 = 0) AS BIGINT) AS errors, CAST(count(*) FILTER (id % 4 = 1) AS BIGINT) AS new_images, CAST(count(*) FILTER (id % 4 > 1) AS BIGINT) AS metadata_updates FROM image", "image")
+def batch_counters(c):
+    names = F.array(*map(F.lit, ("bad", "new", "existing", "duplicate")))
+    return ingest.counters(c["image"].select(F.get(names, (F.col("id") % 4).cast("int")).alias("outcome")))
+
+
+@query("SELECT id, regexp_matches(original_filename, '^https://user') AS known, length(image_identifier) = 36 AS uuid, mime_type LIKE 'image/%' AS allowed FROM image", "image")
+def admission(c):
+    return c["image"].select("id", urls.starts_with_any("original_filename", ["https://user", "ftp://x"]).alias("known"), urls.is_uuid("image_identifier").alias("uuid"), media.is_class("mime_type", "image").alias("allowed"))

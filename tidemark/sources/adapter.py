@@ -20,7 +20,7 @@ def _image(dialect: str) -> str:
     text = "varchar" if dialect == "duckdb" else "string"
     return f"""
         SELECT doc_id AS id, md5(cast(doc_id AS {text})) AS image_identifier, md5(text) AS content_md5, sha1(text) AS content_sha1,
-            substr(text, 1, 60) AS title, substr(text, 1, 400) AS description, substr(text, 61, 40) AS creator,
+            substr(text, 1, 60) AS title, text AS description, substr(text, 61, 40) AS creator,
             CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source END AS data_resource_uid, cast(n_chars AS bigint) AS file_size,
             cast((doc_id * 53) % 4000 AS bigint) AS height, cast((doc_id * 37) % 4000 AS bigint) AS width,
             CASE doc_id % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'audio/mpeg' WHEN 3 THEN 'video/mp4' ELSE 'application/pdf' END AS mime_type,
@@ -30,7 +30,12 @@ def _image(dialect: str) -> str:
             CASE WHEN doc_id % 3 = 0 THEN {alt} END AS alternate_filename,
             doc_id % 4 = 0 AS harvestable, CASE WHEN doc_id % 2 = 0 THEN 'occ-' || cast(doc_id AS {text}) END AS occurrence_id,
             CASE WHEN doc_id % 6 = 0 THEN '' ELSE lang END AS audience, cast(doc_id % 8 AS bigint) AS zoom_levels,
-            'loc-' || cast(doc_id % 3 AS {text}) AS storage_location
+            'loc-' || cast(doc_id % 3 AS {text}) AS storage_location, CASE WHEN doc_id % 4 = 1 THEN 'by' || chr(10) || source END AS contributor,
+            cast(1990 + doc_id % 30 AS {text}) AS created, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'press ' || source END AS publisher,
+            'all|' || lang || '|rights' || chr(10) || 'reserved' AS rights, 'holder ' || source AS rights_holder, 'https://refs.example.org/' || cast(doc_id AS {text}) AS dc_references,
+            'camera ' || cast(doc_id % 7 AS {text}) AS source, CASE WHEN doc_id % 5 < 2 THEN 'StillImage' END AS type,
+            CASE doc_id % 5 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' WHEN 2 THEN 'mp3' WHEN 3 THEN 'mp4' ELSE 'pdf' END AS extension,
+            CASE WHEN doc_id % 3 = 1 THEN {_HOURS[dialect]} END AS date_taken, cast(doc_id % 300 AS bigint) AS thumb_height, cast(doc_id % 200 AS bigint) AS thumb_width
         FROM documents"""
 
 
@@ -59,6 +64,7 @@ def relations(dialect: str) -> dict[str, str]:
             SELECT d.doc_id AS image_id, 'lang' AS name, d.lang AS value, 'SystemDefined' AS source FROM documents d
             UNION ALL SELECT doc_id, 'quality', cast(quality AS {text}), 'UserDefined' FROM labels
             UNION ALL SELECT doc_id, 'Toxic', cast(toxic AS {text}), 'UserDefined' FROM labels""",
+        "resource": f"SELECT 'src' || cast(n_nationkey AS {text}) AS uid, 'Resource ' || n_name AS name FROM nation WHERE n_nationkey < 18",
         "tag": "SELECT cast(n_nationkey AS bigint) AS id, '/' || lower(r_name) || '/' || lower(n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey",
         "image_tag": "SELECT doc_id AS image_id, doc_id % 25 AS tag_id FROM documents",
         "usage_event": f"SELECT event_id, 'src' || cast(user_id % 20 AS {text}) AS resource_uid, event_type AS category, user_id, ts FROM events",

@@ -7,8 +7,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-_TEXT = ("audience", "contributor", "created", "creator", "description", "license", "publisher", "references", "rights", "rightsHolder", "source", "title", "type")
-ITEM = T.StructType([T.StructField("identifier", T.StringType()), *(T.StructField(n, T.StringType()) for n in _TEXT)])
+from tidemark.operators.ingest import FIELDS
+
+ITEM = T.StructType([T.StructField("identifier", T.StringType()), *(T.StructField(n, T.StringType()) for n in FIELDS)])
 #: Nested batch records; flat ones are ``ITEM``.
 RECORD = T.StructType([T.StructField("id", T.StringType()), T.StructField("multimediaItems", T.ArrayType(ITEM))])
 
@@ -55,6 +56,15 @@ def tag_paths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
 
 
+def size_on_disk(spark: SparkSession, *paths: str) -> DataFrame:
+    """Bytes of all files below each folder (AG17)."""
+    sizes = [listing(spark, p).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).select(F.lit(p).alias("path"), "bytes") for p in paths]
+    out = sizes[0]
+    for more in sizes[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files below a folder (SC21, AG17)."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -41,6 +45,21 @@ def download(df: DataFrame, path: str) -> None:
     write_csv(df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names)), path)
 
 
+def download_zip(df: DataFrame, path: str, member: str = "images.csv") -> None:
+    """A page of search results as one CSV in a zip archive (SK6); rows pass the driver one partition at a time."""
+    names = ["imageURL"] * ("imageURL" in df.columns) + sorted(c for c in df.columns if c != "imageURL")
+    rows = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open(member, "w") as raw, io.TextIOWrapper(raw, "utf-8", newline="") as f:
+        out = csv.writer(f, quoting=csv.QUOTE_ALL)
+        out.writerow(names)
+        out.writerows(rows.toLocalIterator())
+
+
+def as_jsonp(df: DataFrame, callback: str) -> DataFrame:
+    """JSON in a call of the client's function (SK12)."""
+    return as_json(df).select(F.concat(F.lit(f"{callback}("), "json", F.lit(")")).alias("json"))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """One JSON text a row (SK12)."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

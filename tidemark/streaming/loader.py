@@ -19,8 +19,9 @@ def incoming(spark: SparkSession, path: str, fmt: str = "json", files: int = 1)
 def load(stream: DataFrame, ledger: str, checkpoint: str, handle: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
     """Flatten each micro-batch, drop repeats in it, give it to ``handle``, and note it in a ledger (ST1, ST7 to ST10).
 
-    A micro-batch that the ledger has is skipped, so a restart does nothing twice. Without ``every`` the
-    stream ends when all files are loaded.
+    A micro-batch that the ledger has is skipped. If a run ends between ``handle`` and the ledger, the batch is handled
+    again after a restart, with the same number, so what ``handle`` writes should go by that number. Without ``every``
+    the stream ends when all files are loaded; ``stop()`` pauses it between two (ST11).
     """
 
     def run(batch: DataFrame, number: int) -> None:
