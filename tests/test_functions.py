@@ -164,3 +164,8 @@ def test_sanitise_column(spark):
 
     df = spark.createDataFrame([("<b>x",), (None,)], "t string")
     assert [r.x for r in df.select(sanitise("t").alias("x")).collect()] == ["<b>x</b>", None]
+
+
+def test_sensitive_parameters(spark):
+    df = spark.createDataFrame([("a=1&X-Amz-Signature=2",), ("apiKEY=3",), ("page=token",), ("",)], "q string")
+    assert [bool(r.x) for r in df.select(urls.has_sensitive_params("q").alias("x")).collect()] == [True, True, False, False]

@@ -52,6 +52,37 @@ def test_download(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "d"), header=True).columns == ["imageURL", "a", "b"]
 
 
+def test_download_zip(spark, tmp_path):
+    df = spark.createDataFrame([("u", None, 1), ('v"w', "x,y", 2)], "imageURL string, b string, a long")
+    sinks.download_zip(df, str(tmp_path / "d.zip"))
+    with zipfile.ZipFile(tmp_path / "d.zip") as z:
+        assert z.namelist() == ["images.csv"]
+        lines = z.read("images.csv").decode().splitlines()
+    assert lines[0] == '"imageURL","a","b"' and sorted(lines[1:]) == ['"u","1",""', '"v""w","2","x,y"']
+
+
+def test_records_and_lists(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"id": "1", "multimediaItems": [{"identifier": "u", "title": "t"}]}))
+    rows = readers.batch_records(spark, str(tmp_path / "r.json"), "json")
+    assert rows.select(F.inline("multimediaItems")).select("identifier", "title", "rights").first() == ("u", "t", None)
+    (tmp_path / "tags.csv").write_text("/a/b, c\n\n /d \n")
+    assert [r.path for r in readers.tag_paths(spark, str(tmp_path / "tags.csv")).collect()] == ["/a/b, c", "/d"]
+    assert [r.term for r in readers.rows_of(spark, ["title", "creator"], "term string").where(F.lower("term").contains("eat")).collect()] == ["creator"]
+    have = spark.range(3)
+    assert [r.id for r in readers.query(spark, "SELECT id FROM {have} WHERE id > :least", {"least": 1}, have=have).collect()] == [2]
+    assert readers.size_on_disk(spark, str(tmp_path)).first().bytes == sum(f.stat().st_size for f in tmp_path.iterdir())
+
+
+def test_index_and_audit(spark, tmp_path):
+    sinks.write_index(spark.range(3), str(tmp_path / "i"))
+    sinks.write_index(spark.range(2), str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i")).count() == 2
+    for _ in range(2):
+        sinks.append_audit(spark.createDataFrame([("m",)], "message string"), str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 2
+    assert sinks.as_jsonp(spark.range(1), "f").first().json == 'f({"id":0})'
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, urls in enumerate((["u1", "u2", "u1"], ["u1"])):

@@ -484,9 +484,9 @@ def file_size_label(c):
     return c["image"].select("id", media.human_size("file_size").alias("label"))
 
 
-@query("SELECT id, strftime(date_uploaded, '%Y-%m-%d') AS day, strftime(date_uploaded, '%Y-%m') AS month, translate(creator, '\"|''&', '') AS creator, coalesce(nullif(audience, ''), 'none') AS audience FROM image", "image")
+@query("SELECT id, strftime(date_uploaded, '%Y-%m-%d') AS day, strftime(date_uploaded, '%Y-%m') AS month, translate(creator, '\"|''&', '') AS creator, coalesce(nullif(audience, ''), 'none') AS audience, CAST(harvestable AS VARCHAR) AS flag FROM image", "image")
 def text_functions(c):
-    return c["image"].select("id", text.day("date_uploaded").alias("day"), text.month("date_uploaded").alias("month"), text.drop_marks("creator").alias("creator"), text.or_default("audience", "none").alias("audience"))
+    return c["image"].select("id", text.day("date_uploaded").alias("day"), text.month("date_uploaded").alias("month"), text.drop_marks("creator").alias("creator"), text.or_default("audience", "none").alias("audience"), text.flag_text("harvestable").alias("flag"))
 
 
 @query(

@@ -15,10 +15,8 @@ RECORD = T.StructType([T.StructField("id", T.StringType()), T.StructField("multi
 
 
 def query(spark: SparkSession, sql: str, args: dict | None = None, **views: DataFrame) -> DataFrame:
-    """A parameterised SQL query over named frames (SC1, SC2)."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=args or {})
+    """A parameterised SQL query over named frames, which it has in braces (SC1, SC2)."""
+    return spark.sql(sql, args=args or {}, **views)
 
 
 def jdbc(spark: SparkSession, url: str, table: str, fetch: int = 10_000, **options: str) -> DataFrame:
