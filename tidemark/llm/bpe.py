@@ -155,7 +155,7 @@ def _index(frequent: Broadcast):
     """Replace pieces by places in the task's table; pieces new to it come with a batch's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = {p: k for k, p in enumerate(_frequent_table(frequent)["piece"].to_pylist())}
+        base = _frequent_places(frequent.value)
         table = dict(base)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -193,16 +193,12 @@ def _index(frequent: Broadcast):
 
 def _digest(path: str, frequent: Broadcast):
     ranks = load_ranks(path)  # read on the driver only; tasks get it with their code
-    token = [b""] * (max(ranks.values()) + 1)
-    for b, r in ranks.items():
-        token[r] = b
+    by_rank = {r: b for b, r in ranks.items()}
+    token = tuple(by_rank.get(r, b"") for r in range(max(by_rank) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = _frequent_table(frequent)["ids"].to_pylist()
-        base_text, base_raw = [" ".join(map(str, i)).encode() for i in base], [b"".join([token[k] for k in i]) for i in base]
-        base_size = np.fromiter(map(len, base), np.int64, len(base))
-        start = len(base)
-        del base
+        base_text, base_raw, base_size = _frequent_strings(frequent.value, token)
+        start = len(base_text)
         text, raw, size = list(base_text), list(base_raw), base_size
         for batch in batches:
             out: list[list] = [[], [], []]
@@ -221,8 +217,8 @@ def _digest(path: str, frequent: Broadcast):
                 ix = flat[ends[r] : ends[r + 1]]
                 places = ix.tolist()
                 out[0].append(int(size[ix].sum()))
-                out[1].append(hashlib.sha256(b" ".join([text[k] for k in places])).hexdigest())
-                out[2].append(hashlib.sha256(b"".join([raw[k] for k in places])).hexdigest())
+                out[1].append(hashlib.sha256(b" ".join(map(text.__getitem__, places))).hexdigest())
+                out[2].append(hashlib.sha256(b"".join(map(raw.__getitem__, places))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), *map(pa.array, (out[1], out[2]))], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -232,7 +228,7 @@ def _ids(path: str, frequent: Broadcast):
     ranks = load_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = _frequent_table(frequent)["ids"].to_pylist()
+        base = [i.tolist() for i in _frequent_ids(frequent.value)]
         table = list(base)
         for batch in batches:
             out = []
@@ -272,8 +268,23 @@ def frequent_pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str, te
     return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
-def _frequent_table(frequent: Broadcast) -> pa.Table:
-    return pa.ipc.open_file(pa.BufferReader(frequent.value)).read_all()
+@lru_cache(maxsize=1)  # a Python worker runs many tasks
+def _frequent_places(data: bytes) -> dict[bytes, int]:
+    table = pa.ipc.open_file(pa.BufferReader(data)).read_all()
+    return {p: k for k, p in enumerate(table["piece"].to_pylist())}
+
+
+@lru_cache(maxsize=1)
+def _frequent_ids(data: bytes) -> list[np.ndarray]:
+    ids = pa.ipc.open_file(pa.BufferReader(data)).read_all()["ids"].combine_chunks()
+    return np.split(ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())[:-1]) if len(ids) else []
+
+
+@lru_cache(maxsize=1)
+def _frequent_strings(data: bytes, tokens: tuple[bytes, ...]) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """What the frequent pieces' ids are as text, what they decode to, and how many there are."""
+    ids = [i.tolist() for i in _frequent_ids(data)]
+    return [" ".join(map(str, i)).encode() for i in ids], [b"".join([tokens[k] for k in i]) for i in ids], np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 def _pieces_encoded(docs: DataFrame, frequent: Broadcast, ranks_path: str, pattern: str, key: str, text: str) -> DataFrame:
