@@ -2,18 +2,21 @@
 
 Each source's documents are laid end to end in a shuffled order and cut into blocks of
 ``BLOCK`` words. The schedule is a sequence of slots: slot i takes the source into whose
-stretch of cumulative weight the golden-ratio point frac(i / phi) falls. Slots are ranked
-within their source; the slot of rank r takes block r modulo the source's blocks. A
-document's share is what the slots take of the blocks that it lies in. Each source's last
-slot is cut so that its words meet its target to the word.
+stretch of cumulative weight the golden-ratio point frac((i + 1) / phi) falls. Slots are
+ranked within their source; the slot of rank r takes block r modulo the source's blocks. A
+document's share is what the slots take of the blocks that it lies in.
+
+The sequence alone says how many slots a source has. Golden-ratio points fall into a stretch
+as often as its length says, but for a few, so a source's words miss its target by a few
+blocks at most. Slots beyond ``cap`` passes over a source take nothing.
 
 Ranks and offsets are prefix sums over about sqrt(n) groups of about sqrt(n) rows each, so
-neither a hot source nor the whole table is ever one window.
+neither a hot source nor the whole table is ever one window. The sources are a table too.
 
 Defined results: a null or empty text has size 0 and is taken 0 times. Null is a source of
 its own, the last. Rows that repeat an id count as documents of their own. Extra columns
-do not matter. An empty table gives an empty one. The sources themselves (not their rows)
-are listed on the driver: more than ``SOURCES`` of them raise an error.
+do not matter. An empty table gives an empty one. Reruns agree: the shuffled order goes by
+hashes, and rows that tie in all that is asked for are alike.
 """
 
 from __future__ import annotations
@@ -29,115 +32,125 @@ from tidemark.plans.lineage import cut
 from tidemark.plans.rows import row_key
 
 #: Words in a block.
-BLOCK = 512
-#: Most sources that a mix may have.
-SOURCES = 100_000
+BLOCK = 32
+#: Most sources (a few numbers each) that are broadcast; beyond, rows are shuffled by source.
+BROADCAST = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
-_GOLDEN = (math.sqrt(5) - 1) / 2
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # 2^64 / phi
+
+
+def golden_points(slots: np.ndarray) -> np.ndarray:
+    """frac((i + 1) / phi) of each slot, in whole numbers up to the last step, so that it stays exact for long schedules."""
+    return (((slots.astype(np.uint64) + np.uint64(1)) * _GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _golden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(golden_points(batch.column(0).to_numpy()))], names=["slot", "point"])
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, marked for broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST else table
+
 
+def _running(table: DataFrame, *columns: str) -> DataFrame:
+    """``table``, in its order of partitions and of ``at`` in them, with the sums of ``columns`` over all rows before."""
+    inside = W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    parts = table.groupBy("part").agg(*(F.sum(c).alias(f"all_{c}") for c in columns))
+    over = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    parts = cut(parts.select("part", *(F.coalesce(F.sum(f"all_{c}").over(over), F.lit(0)).alias(f"first_{c}") for c in columns)))
+    table = table.join(F.broadcast(parts), "part")
+    sums = [(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"first_{c}")).alias(f"before_{c}") for c in columns]
+    return table.select(*(c for c in table.columns if not c.startswith("first_")), *sums)
 
-def targets(sizes: Sequence[int], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> list[float]:
-    """Words to take from each source: ``share`` of all, by weights that repeat; no more than ``cap`` times a source's size.
 
-    What a source cannot take is shared among the rest by weight, until none is above its cap.
+def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``s, source, n, target, part, at`` for each row of ``sizes(source, n)``: the words to take from each source.
+
+    Sources by code point, null last, weigh as ``weights`` say, repeating; together they take ``share`` of all words.
+    Targets stop at ``cap`` times a source's size; what such a source cannot take is shared among the rest by weight,
+    until none is above its cap. Each turn raises the words for a unit of weight and is one aggregate over the sources.
     """
-    w = [float(weights[i % len(weights)]) for i in range(len(sizes))]
-    out = [0.0] * len(sizes)
-    left, free = share * sum(sizes), set(range(len(sizes)))
-    while free:
-        unit = left / sum(w[i] for i in free)
-        full = {i for i in free if unit * w[i] > cap * sizes[i]}
-        if not full:
-            for i in free:
-                out[i] = unit * w[i]
+    ordered = sizes.withColumn("none", F.col("source").isNull()).repartitionByRange("none", "source").sortWithinPartitions("none", "source")
+    ordered = cut(ordered.select("source", "n", F.monotonically_increasing_id().alias("id"), F.lit(1).alias("one")))
+    ordered = ordered.select("source", "n", "one", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at"))
+    ordered = _running(ordered, "one").withColumnRenamed("before_one", "s").drop("one")
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("s") % len(weights)).cast("int"))
+    ordered = cut(ordered.withColumn("w", weight))
+    unit, full = 0.0, -1
+    while True:
+        over = F.lit(unit) * F.col("w") > F.lit(cap) * F.col("n")
+        got = ordered.agg(F.sum("n").alias("n"), F.sum(F.when(over, F.col("n"))).alias("capped"), F.sum(F.when(~over, F.col("w"))).alias("w"), F.count(F.when(over, 1)).alias("full")).first()
+        if got.full == full or not got.w:
             break
-        for i in full:
-            out[i] = cap * sizes[i]
-            left -= out[i]
-        free -= full
-    return out
-
-
-def _golden(bounds: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = batch.column(0).to_numpy()
-            point = np.modf((i + 1) * _GOLDEN)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(bounds, point, side="right").astype(np.int32))], names=["slot", "s"])
-
-    return run
-
-
-def schedule(spark, slots: Sequence[int]) -> DataFrame:
-    """``(slot, s, rank)``: an order of ``slots[s]`` slots of each source s, evenly spread."""
-    total = sum(slots)
-    bounds = np.cumsum(np.asarray(slots, float))[:-1] / max(total, 1)
-    chunk = max(1, math.isqrt(total))
-    points = spark.range(total).select(F.col("id").alias("slot")).mapInArrow(_golden(bounds), "slot long, s int")
-    points = points.withColumn("chunk", F.floor(F.col("slot") / chunk))
+        full, unit = got.full, (share * got.n - cap * (got.capped or 0)) / got.w
+    return ordered.withColumn("target", F.least(F.lit(unit) * F.col("w"), F.lit(cap) * F.col("n"))).drop("w")
+
+
+def schedule(stretches: DataFrame, total: int) -> DataFrame:
+    """``(slot, s, rank)`` of ``total`` slots over ``stretches(s, lo, hi)``, which divide the numbers from 0 to 1."""
+    spark = stretches.sparkSession
+    cells = max(1, 4 * stretches.count())
+    reach = F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))
+    touched = _small(cut(stretches.where("lo < hi").select("s", "lo", "hi", F.explode(reach).alias("cell"))))
+    points = spark.range(total).select(F.col("id").alias("slot")).mapInArrow(_golden, "slot long, point double")
+    points = points.withColumn("cell", F.floor(F.col("point") * cells))
+    points = points.join(touched, "cell").where("lo <= point and point < hi").select("slot", "s")
+    points = points.withColumn("chunk", F.floor(F.col("slot") / max(1, math.isqrt(total))))
     before = points.groupBy("s", "chunk").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.sum("n").over(W.partitionBy("s").orderBy("chunk")) - F.col("n"))
+    before = before.select("s", "chunk", (F.sum("n").over(W.partitionBy("s").orderBy("chunk")) - F.col("n")).alias("before"))
     inside = F.row_number().over(W.partitionBy("s", "chunk").orderBy("slot")) - 1
-    ranked = points.withColumn("inside", inside).join(before.drop("n"), ["s", "chunk"]).select("slot", "s", (F.col("before") + F.col("inside")).alias("rank"))
-    # The points of a source may be a few more or fewer than its slots.
-    need = spark.createDataFrame([(i, int(n)) for i, n in enumerate(slots)], "s int, need long")
-    have = before.groupBy("s").agg(F.sum("n").alias("have"))
-    short = need.join(have, "s", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
-    rest = short.select("s", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
-    rest = rest.select((F.lit(total) + F.col("rank")).alias("slot"), "s", "rank")
-    return ranked.join(F.broadcast(need), "s").where("rank < need").select("slot", "s", "rank").unionByName(rest)
+    return points.withColumn("inside", inside).join(before, ["s", "chunk"]).select("slot", "s", (F.col("before") + F.col("inside")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for each row of ``docs(doc_id, source, text)``."""
-    spark = docs.sparkSession
+def _mix(docs: DataFrame, weights: Sequence[float], share: float, cap: float, block: int) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
     base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
     base = base.withColumn("row", F.monotonically_increasing_id())
-    sums = base.groupBy("source").agg(F.sum("size").alias("n")).limit(SOURCES + 1).collect()
-    if len(sums) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    sums.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r.n for r in sums]
-    target = targets(sizes, weights, share, cap)
-    words = [min(round(t), math.floor(cap * n)) for t, n in zip(target, sizes)]
-    blocks = [-(-n // block) for n in sizes]
-    # A pass over a source takes all its blocks; what is left of its words ends inside one.
-    slots = [w // n * k + -(-(w % n) // block) if n else 0 for w, n, k in zip(words, sizes, blocks)]
-    table = spark.createDataFrame(
-        [(i, r.source, n, t, k, s, w % n % block if n and w % n % block else block) for i, (r, n, t, k, s, w) in enumerate(zip(sums, sizes, target, blocks, slots, words))],
-        "s int, source string, source_size long, target double, blocks long, slots long, last long",
-    )
-    table = F.broadcast(table)
-    known = base.join(table, base["source"].eqNullSafe(table["source"])).drop(table["source"])
-
-    cells = max(1, math.isqrt(sum(1 for _ in sums) and base.count()))
+    sources = source_targets(base.groupBy("source").agg(F.sum("size").alias("n")), weights, share, cap)
+    # A pass over a source takes all its blocks, of which the last may be short; the rest of its target ends inside one.
+    blocks = F.ceil(F.col("n") / block)
+    passes = F.floor(F.col("target") / F.col("n"))
+    need = F.when(F.col("n") > 0, passes * blocks + (F.col("target") - passes * F.col("n")) / block).otherwise(F.lit(0.0))
+    sources = cut(_running(sources.withColumn("blocks", blocks).withColumn("need", need), "need"))
+    total = sources.agg(F.sum("need")).first()[0] or 0.0
+    slots = round(total)
+    ends = (F.col("before_need") / (total or 1.0), (F.col("before_need") + F.col("need")) / (total or 1.0))
+    plan = schedule(sources.select("s", ends[0].alias("lo"), F.when(ends[1] > 1 - 1e-12, 1.0).otherwise(ends[1]).alias("hi")), slots)
+
+    table = _small(sources.select("s", F.col("source").alias("of"), F.col("n").alias("source_size"), "target", "blocks"))
+    known = base.join(table, base["source"].eqNullSafe(table["of"])).drop("of")
+    cells = max(1, math.isqrt(base.count()))
     placed = known.where("size > 0").select("row", "s", "size", F.xxhash64(F.lit("cell"), "doc_id").alias("h"), "doc_id").withColumn("cell", F.pmod("h", F.lit(cells)))
     totals = placed.groupBy("s", "cell").agg(F.sum("size").alias("n"))
-    totals = totals.withColumn("before", F.sum("n").over(W.partitionBy("s").orderBy("cell")) - F.col("n")).drop("n")
+    totals = totals.select("s", "cell", (F.sum("n").over(W.partitionBy("s").orderBy("cell")) - F.col("n")).alias("before"))
     inside = F.sum("size").over(W.partitionBy("s", "cell").orderBy("h", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     offset = placed.withColumn("inside", inside).join(totals, ["s", "cell"]).select("row", "s", "size", (F.col("before") + F.col("inside")).alias("lo"))
-    pieces = offset.withColumn("hi", F.col("lo") + F.col("size")).withColumn("block", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")))
-    pieces = pieces.select(
-        "row", "s", "block", F.greatest(F.col("lo") - F.col("block") * block, F.lit(0)).alias("lo"), F.least(F.col("hi") - F.col("block") * block, F.lit(block)).alias("hi")
-    )
-    plan = schedule(spark, slots).join(table.select("s", "blocks", "slots", "last"), "s")
-    plan = plan.select("s", (F.col("rank") % F.col("blocks")).alias("block"), F.when(F.col("rank") == F.col("slots") - 1, F.col("last")).otherwise(F.lit(block)).alias("upto"))
-    took = pieces.join(plan, ["s", "block"]).select("row", F.greatest(F.least("hi", "upto") - F.col("lo"), F.lit(0)).alias("n"))
-    took = took.groupBy("row").agg(F.sum("n").cast("long").alias("taken"))
+    pieces = offset.withColumn("hi", F.col("lo") + F.col("size")).select("row", "s", "lo", "hi", F.posexplode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")).alias("nth", "block"))
+    pieces = pieces.select("row", "s", "nth", "block", (F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block)).alias("n"))
+
+    plan = plan.join(table.select("s", "blocks"), "s").where(F.col("rank") < F.floor(F.col("blocks") * F.lit(cap)))
+    taking = plan.groupBy("s", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
+    took = pieces.join(taking, ["s", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("times")).cast("long").alias("taken"), F.max(F.when(F.col("nth") == 0, F.col("times"))).cast("int").alias("times"))
     out = known.join(took, "row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("times", F.lit(0)).alias("times"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` for each row of ``docs(doc_id, source, text)``."""
+    return _mix(docs, weights, share, cap, block).drop("times")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each row of ``docs`` as often as the mix takes it, to the nearest whole number.
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """The mix as documents: each row of ``docs`` as often as the schedule takes the block that its first word lies in.
 
     Rows go by ``row_key``, so null and repeated ids are documents of their own; rows that are equal in all columns
-    come as often as the mix takes them together.
+    come as often as the mix takes them together. Documents without words are in no block and never come.
     """
     keyed = docs.withColumn("__key", row_key(docs))
-    taken = mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text"), **options).where("size > 0")
-    times = taken.groupBy(F.col("doc_id").alias("__key")).agg(F.sum(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__times"), F.count("*").alias("__rows"))
+    taken = _mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text"), weights, share, cap, block)
+    times = taken.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
     times = cut(times.where("__times > 0"))
     joined = keyed.join(times.where("__rows = 1"), "__key")
     equal = times.where("__rows > 1")
