@@ -24,6 +24,7 @@ def test_inheritance(spark):
     rows = licences.scan(df).collect()
     assert len(rows) == len(FILES)
     got = {r.path: (r.licence, r.licence_origin) for r in rows if r.path}
+    assert sorted((r.licence or "", r.licence_origin or "") for r in rows if r.path is None) == [("", ""), ("MIT", "own")]
     assert got == {
         "a/LICENSE": ("MIT", "own"),
         "a/b/LICENSE.txt": ("Apache-2.0", "own"),
@@ -38,22 +39,54 @@ def test_inheritance(spark):
     assert licences.scan(df.limit(0)).collect() == []
 
 
-def test_cosine(spark):
-    lines = ["Released under the MIT License.", "Released under the MIT License.", "released under some other license", "Licensed under the Apache License"]
-    got = {r.line: r for r in licences.match_lines(spark.createDataFrame([(x,) for x in lines], "line string"), spark).collect()}
+def similarities(passage):
+    """The cosine of a passage to each template, term by term."""
     terms = lambda t: Counter(re.findall(licences._TERM, t.lower()))
-    df = Counter(w for x in lines for w in terms(x))
-    weigh = lambda t: {w: n * (math.log((1 + len(lines)) / (1 + df[w])) + 1) for w, n in terms(t).items()}
-    for line in set(lines):
-        v = weigh(line)
-        scores = []
-        for name, template in licences.TEMPLATES:
-            u = weigh(template)
-            dot = sum(x * u.get(w, 0) for w, x in v.items())
-            scores.append((round(dot / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values())), 6), name))
-        best = max(s for s, _ in scores)
-        assert abs(got[line].similarity - best) < 2e-6
-        assert got[line].licence == min(n for s, n in scores if s == best)
+    all_terms = [terms(t) for _, t in licences.TEMPLATES]
+    df = Counter(w for t in all_terms for w in t)
+    weigh = lambda t: {w: (1 + math.log(n)) * (math.log((1 + len(all_terms)) / (1 + df[w])) + 1) for w, n in t.items()}
+    v = weigh(terms(passage))
+    for (name, _), t in zip(licences.TEMPLATES, all_terms):
+        u = weigh(t)
+        dot = sum(x * u.get(w, 0) for w, x in v.items())
+        yield dot / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values()) or 1), name
+
+
+def test_cosine(spark):
+    passages = ["Released under the MIT License.", "released under some other license", "Licensed under the Apache License", "x y z of the", licences._MIT_GRANT[:200]]
+    df = spark.createDataFrame([(k, 0, x) for k, x in enumerate(passages)], "p1 long, p2 long, passage string")
+    got = {r.p1: r for r in licences.match_passages(df).collect()}
+    for k, passage in enumerate(passages):
+        best = max(s for s, _ in similarities(passage))
+        assert abs(got[k].similarity - best) < 2e-6
+        assert got[k].licence == min(n for s, n in similarities(passage) if abs(s - best) < 1e-9)
+
+
+def test_anchors_lose_no_match():
+    """Without any anchor no passage reaches the least similarity, however it is made up of template terms."""
+    found = set(licences.anchors(licences.LEAST))
+    for _, text in licences.TEMPLATES:
+        rest = " ".join(w for w in re.findall(licences._TERM, text.lower()) if w not in found)
+        assert not rest or max(s for s, _ in similarities(rest)) < licences.LEAST
+
+
+def test_headers_and_licence_files(spark):
+    mit = "Copyright (c) 2021 Jo Doe\n\n" + licences._MIT_GRANT.replace(", ", ",\n") + "\n\n" + licences._MIT_REST.replace(". ", ".\n")
+    bsd = "# Copyright 2020\n#\n# " + licences._BSD_TWO.replace(". ", ".\n# ") + "\n#\nimport os\n"
+    gpl = "/*\n * " + licences._GNU.format(what="program", name="", version="3").replace(", ", ",\n * ") + "\n */\nint main;\n"
+    files = [
+        ("a/LICENSE", mit, "MIT"),
+        ("a/x.py", bsd, "BSD-2-Clause"),
+        ("a/y.c", gpl, "GPL-3.0"),
+        ("a/z.rs", "// SPDX-License-Identifier: Apache-2.0\nfn main() {}", "Apache-2.0"),
+        ("a/w.rs", "/* SPDX-License-Identifier: MIT */", "MIT"),
+        (None, "// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+        ("b/q.txt", "We were granted a licence to use, copy and sell the wine of this house.", None),
+        ("b/r.txt", "Licensed under the Fair Harvest Agreement, edition four.", None),
+    ]
+    rows = licences.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()
+    got = {r.text: r.licence for r in rows}
+    assert [got[t] for _, t, _ in files] == [want for *_, want in files]
 
 
 def test_query(spark, tiny):
