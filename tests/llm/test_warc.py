@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import assert_same
 from tidemark.llm import warc
@@ -25,6 +26,8 @@ def test_archive(spark, pages, tmp_path):
     for r in rows:
         assert bytes(r.payload) == html[r.page_id] and r.payload_bytes == len(html[r.page_id])
         assert r.payload_digest == hashlib.sha1(html[r.page_id]).hexdigest()
+        assert bytes(r.record) == r.header.encode() + (bytes(r.payload) if r.record_type == "response" else b"")
+        assert r.record_sha256 == hashlib.sha256(bytes(r.record)).hexdigest()
     kinds = {r.page_id: (r.record_type, r.refers_to) for r in rows}
     assert kinds == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), **{i: ("response", None) for i in (4, 5, 6, 7, 9)}, None: ("revisit", 9)}
     warc.write_files(archive, str(tmp_path / "f"))
@@ -43,6 +46,15 @@ def test_damage_is_found(spark, pages, tmp_path):
         warc.read_archive(spark, str(tmp_path / "b")).collect()
 
 
+def test_wrong_length_is_found(spark, pages, tmp_path):
+    warc.write_archive(pages, str(tmp_path / "a"))
+    records = spark.read.parquet(str(tmp_path / "a/records"))
+    records.withColumn("header", F.concat("header", F.lit("X-More: 1"))).write.parquet(str(tmp_path / "b/records"))
+    spark.read.parquet(str(tmp_path / "a/payloads")).write.parquet(str(tmp_path / "b/payloads"))
+    with pytest.raises(Exception, match="another length"):
+        warc.read_archive(spark, str(tmp_path / "b")).collect()
+
+
 def test_empty(spark, pages, tmp_path):
     warc.write_archive(pages.limit(0), str(tmp_path / "e"))
     assert warc.read_archive(spark, str(tmp_path / "e")).collect() == []

@@ -47,7 +47,7 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record, written to an archive and read back."""
     path = new_table_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_sha256")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,62 +96,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_LICENCE_VALUES = ", ".join(f"('{name}', '{line}')" for name, line in licences.TEMPLATES)
+_TEMPLATE_VALUES = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(licences.TEMPLATES))
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": f"""
         WITH f AS (
-            SELECT doc_id, text, {FILE_PATH.replace(" div ", " // ").replace("as string", "AS VARCHAR")} AS path FROM documents
+            SELECT doc_id, coalesce(text, '') AS text, {FILE_PATH.replace(" div ", " // ").replace("as string", "AS VARCHAR")} AS path FROM documents
         ), d AS (
-            SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f
-        ), named AS (
-            SELECT path, dir, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{licences._MAY_NAME}'))) AS line FROM d
-        ), counted AS (
-            SELECT line, count(*) AS n FROM named GROUP BY 1
-        ), total AS (
-            SELECT coalesce(sum(n), 0) AS total FROM counted
-        ), terms AS (
-            SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest(regexp_extract_all(lower(line), '{licences._TERM}')) AS term FROM counted) GROUP BY ALL
-        ), df AS (
-            SELECT term, sum(n) AS df FROM terms GROUP BY 1
-        ), t_terms AS (
-            SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(line), '{licences._TERM}')) AS term FROM (VALUES {_LICENCE_VALUES}) t(licence, line)) GROUP BY ALL
+            SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences._LICENCE_FILE}') AS named FROM f
+        ), parts AS (
+            SELECT DISTINCT text, named, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{licences._GAP}'), CASE WHEN named THEN [text] ELSE [] END)) AS passage FROM d
+        ), t AS (
+            SELECT k, licence, term, count(*) AS n FROM (SELECT k, licence, unnest(regexp_extract_all(lower(body), '{licences._TERM}')) AS term FROM (VALUES {_TEMPLATE_VALUES}) v(k, licence, body)) GROUP BY ALL
+        ), idf AS (
+            SELECT term, ln((1 + (SELECT count(DISTINCT k) FROM t)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY 1
         ), tw AS (
-            SELECT licence, term, tf * (ln((1 + total) / (1 + coalesce(df, 0))) + 1) AS w FROM t_terms LEFT JOIN df USING (term), total
+            SELECT k, licence, term, (1 + ln(n)) * idf AS w, sqrt(sum(((1 + ln(n)) * idf) ** 2) OVER (PARTITION BY k)) AS t_norm FROM t JOIN idf USING (term)
+        ), pt AS (
+            SELECT passage, term, count(*) AS n FROM (SELECT passage, unnest(regexp_extract_all(lower(passage), '{licences._TERM}')) AS term FROM (SELECT DISTINCT passage FROM parts)) GROUP BY ALL
         ), w AS (
-            SELECT line, term, tf * (ln((1 + total) / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), total
+            SELECT passage, term, (1 + ln(n)) * coalesce(idf, ln(1 + (SELECT count(DISTINCT k) FROM t)) + 1) AS w FROM pt LEFT JOIN idf USING (term)
+        ), norms AS (
+            SELECT passage, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1
         ), scores AS (
-            SELECT line, licence, round(sum(w.w * tw.w) / (any_value(norm) * any_value(t_norm)), 6) AS similarity
-            FROM w JOIN tw USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) USING (line) JOIN (SELECT licence, sqrt(sum(w * w)) AS t_norm FROM tw GROUP BY 1) USING (licence)
-            GROUP BY 1, 2
-        ), best AS (
-            SELECT line, licence, similarity FROM scores QUALIFY row_number() OVER (PARTITION BY line ORDER BY similarity DESC, licence) = 1
+            SELECT passage, licence, round(sum(w.w * tw.w / t_norm) / any_value(norm), 6) AS similarity FROM w JOIN tw USING (term) JOIN norms USING (passage) GROUP BY passage, licence, k
         ), own AS (
-            SELECT path, dir, licence, similarity FROM named JOIN best USING (line) WHERE similarity >= {licences.LEAST}
-            QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, licence) = 1
+            SELECT text, named, licence, similarity FROM parts JOIN scores USING (passage) WHERE similarity >= {licences.LEAST}
+            QUALIFY row_number() OVER (PARTITION BY text, named ORDER BY similarity DESC, licence) = 1
         ), licensed AS (
-            SELECT dir AS ancestor, arg_min(licence, path) AS licence, arg_min(similarity, path) AS similarity FROM own
-            WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences._LICENCE_FILE}') GROUP BY 1
+            SELECT dir AS ancestor, arg_min(licence, path) AS licence, arg_min(similarity, path) AS similarity FROM d JOIN own USING (text, named) WHERE d.named GROUP BY 1
         ), up AS (
             SELECT dir, ancestor, licence, similarity FROM (SELECT DISTINCT dir FROM d) JOIN licensed ON dir = ancestor OR starts_with(dir, ancestor || '/')
             QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(ancestor) DESC) = 1
         )
         SELECT doc_id, d.path, coalesce(own.licence, up.licence) AS licence, coalesce(own.similarity, up.similarity) AS similarity,
                CASE WHEN own.licence IS NOT NULL THEN 'own' ELSE ancestor END AS licence_origin
-        FROM d LEFT JOIN own USING (path) LEFT JOIN up ON up.dir = d.dir
+        FROM d LEFT JOIN own ON own.text = d.text AND own.named = d.named LEFT JOIN up ON up.dir = d.dir
     """,
     "op4_warc_archive": """
         WITH p AS (
-            SELECT page_id, coalesce(html, '') AS html FROM pages
+            SELECT page_id, coalesce(html, '') AS html, replace(replace(replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A'), chr(9), '%09'), ' ', '%20') AS url FROM pages
         ), d AS (
-            SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+            SELECT page_id, url, html, 'HTTP/1.1 200 OK@Content-Type: text/html; charset=utf-8@Content-Length: ' || strlen(html) || '@@' AS http, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
         ), g AS (
             SELECT payload_digest, max(page_id) AS largest FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest
+        ), r AS (
+            SELECT d.*, CASE WHEN g.largest = d.page_id THEN NULL ELSE g.largest END AS refers_to FROM d LEFT JOIN g USING (payload_digest)
         )
-        SELECT d.page_id, d.payload_bytes, d.payload_digest,
-               CASE WHEN g.largest IS NULL OR g.largest = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN g.largest = d.page_id THEN NULL ELSE g.largest END AS refers_to
-        FROM d LEFT JOIN g USING (payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
+               sha256(replace('WARC/1.1@WARC-Type: ' || CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END || '@WARC-Record-ID: <urn:x-page:' || page_id || '>@WARC-Date: 1970-01-01T00:00:00Z@WARC-Target-URI: ', '@', chr(13) || chr(10))
+                   || url || replace('@WARC-Payload-Digest: sha1:' || payload_digest || '@WARC-Payload-Length: ' || payload_bytes || '@' || CASE WHEN refers_to IS NULL THEN '' ELSE
+                   'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest@WARC-Refers-To: <urn:x-page:' || refers_to || '>@' END || 'Content-Type: application/http;msgtype=response@Content-Length: '
+                   || (strlen(http) + 2 * (length(http) - length(replace(http, '@', ''))) - (length(http) - length(replace(http, '@', ''))) + CASE WHEN refers_to IS NULL THEN payload_bytes ELSE 0 END) || '@@' || http, '@', chr(13) || chr(10))
+                   || CASE WHEN refers_to IS NULL THEN html ELSE '' END) AS record_sha256
+        FROM r
     """,
     "op9_exact_top_k": """
         WITH v AS (

@@ -3,7 +3,8 @@
 Writing keeps two tables below a folder: ``payloads`` holds each distinct payload once, by
 its SHA-256; ``records`` holds the exact header of every record (WARC and HTTP fields, as
 they stand in the archive) and the digest of its payload. Reading checks every stored
-payload against its digest and rebuilds the original records by a join. ``write_files``
+payload against its digest, rebuilds the original records by a join, and holds the length
+of each record's block against its ``Content-Length``. ``write_files``
 and ``read_files`` do the same with plain ``.warc`` files.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest page_id
@@ -89,9 +90,11 @@ def _field(name: str) -> Column:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, url, record_type, refers_to, header, payload, payload_bytes, payload_digest`` of every record.
+    """``page_id, url, record_type, refers_to, header, payload, payload_bytes, payload_digest, record, record_sha256`` of every record.
 
-    A stored payload that does not have its digest, or a record whose digest or length is not its payload's, is an error.
+    ``record`` is the original record, without the blank lines that end it. A stored payload that does not have its
+    digest, a record whose digest or length is not its payload's, or one whose block has another length than it says, is
+    an error.
     """
     store = spark.read.parquet(f"{path}/payloads")
     same = F.sha2("payload", 256) == F.col("sha256")
@@ -104,6 +107,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/records").join(store, "sha256", "left")
     kept = (F.col("payload_digest") == _field("WARC-Payload-Digest")) & (F.col("payload_bytes") == _field("WARC-Payload-Length").cast("long"))
     digest = F.when(kept, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record without its payload: "), "header")))
+    start = F.instr("header", "\r\n\r\n") + 4  # the block begins after the first empty line
+    head = F.encode("header", "UTF-8")
+    record = F.concat(head, F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b"")))
+    before = F.octet_length(F.substring(F.col("header"), F.lit(1), start - 1))
+    fits = F.octet_length(record) - before == _field("Content-Length").cast("long")
+    rows = rows.withColumn("record", F.when(fits, record).otherwise(F.raise_error(F.concat(F.lit("record of another length: "), "header"))))
     number = lambda name: F.nullif(_field(name), F.lit("")).cast("long")
     return rows.select(
         number("WARC-Record-ID").alias("page_id"),
@@ -114,18 +123,17 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "payload",
         "payload_bytes",
         digest.alias("payload_digest"),
+        "record",
+        F.sha2("record", 256).alias("record_sha256"),
     )
 
 
-def record_text(archive: DataFrame) -> DataFrame:
-    """``page_id, record``: the original records, without the blank lines that end them."""
-    body = F.when(F.col("record_type") == "response", F.decode("payload", "UTF-8")).otherwise("")
-    return archive.select("page_id", F.concat("header", body).alias("record"))
+def write_files(archive: DataFrame, path: str, per_file: int = 1000) -> None:
+    """Write the records of ``read_archive`` as plain WARC files; the text sink's line separator is the records' end.
 
-
-def write_files(archive: DataFrame, path: str, per_file: int = 10_000) -> None:
-    """Write the records of ``read_archive`` as plain WARC files; the text sink's line separator is the records' end."""
-    record_text(archive).select("record").write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    A file is read as a whole, so it holds few records.
+    """
+    archive.select(F.decode("record", "UTF-8").alias("record")).write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
