@@ -1,11 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tests.compare import assert_same
 from tidemark.llm.queries import ORACLES, QUERIES
-from tidemark.llm.topk import top_k
+from tidemark.llm.topk import kth_best, top_k
 
 
 def brute_force(rows, k, every):
@@ -25,10 +26,26 @@ def test_brute_force(spark, scale):
     rows += [(400 + i, rows[0][1]) for i in range(60)] + [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (600, [float("inf")] * 8), (700, [0.0] * 8)]
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    got = top_k(df, k=10, every=100).collect()
+    got = top_k(df, k=10, every=100, batch=3).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_force(rows, 10, 100)
 
 
+def test_repeated_ids_and_batches(spark):
+    """Rows that repeat an id are candidates each, and a sample of one id has pivots all the same."""
+    rows = [(7, [float(k % 5), 1.0]) for k in range(40_000)] + [(0, [1.0, 0.5]), (100, [2.0, 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, every=100, batch=1).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.score // 1024) for r in got} == {(0, k, 7, 4608) for k in (1, 2, 3)} | {(100, k, 7, 8192) for k in (1, 2, 3)}
+
+
+def test_kth_best():
+    rng = np.random.default_rng(1)
+    q, x = rng.integers(-9, 9, (300, 4)), rng.integers(-9, 9, (50, 4))
+    got = kth_best(np.arange(300), q, np.arange(50), x, 5)
+    for k in range(300):
+        assert got[k] == sorted((int(q[k] @ x[j]) for j in range(50) if j != k), reverse=True)[4]
+    assert (kth_best(np.arange(3), q[:3], np.arange(2), x[:2], 5) == -(1 << 63)).all()
+
+
 def test_few(spark):
     make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert top_k(make([])).collect() == []

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def smallest_hashes(rows: DataFrame, key: str, limit: int, *ties: Column | str, of: DataFrame | None = None) -> DataFrame:
-    """The ``limit`` rows whose keys have the smallest hashes.
+def smallest_hashes(rows: DataFrame, key: str, limit: int, *ties: Column | str) -> DataFrame:
+    """The ``limit`` distinct rows whose keys, with ``ties``, have the smallest hashes; all of them if there are no more.
 
-    A threshold on the hash, from the count of ``of`` (``rows``, unless a cheaper table that is no smaller is given),
-    leaves a few times ``limit`` rows, so what a single task orders does not grow with the input or its partitions.
+    A threshold on the hash leaves a few times ``limit`` rows, so what a single task orders does not grow with the
+    input. Where rows repeat so often that it leaves too few, it is raised until it leaves enough.
     """
-    h = F.xxhash64(key)
-    n = (rows if of is None else of).count()
-    if n > 8 * limit:
-        rows = rows.where(h < int(4 * limit / n * 2.0**64) - (1 << 63))
-    return rows.orderBy(h, key, *ties).limit(limit)
+    h = F.xxhash64(key, *ties)
+    share = 4 * limit / max(1, rows.count())
+    found = rows.distinct()
+    while share < 1:
+        some = rows.where(h < int(share * 2.0**64) - (1 << 63)).distinct()
+        if some.count() >= limit:
+            found = some
+            break
+        share *= 8
+    return found.orderBy(h, key, *ties).limit(limit)

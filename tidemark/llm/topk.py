@@ -75,6 +75,16 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(q.astype(object) @ x.astype(object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
+def kth_best(ids: np.ndarray, q: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """For each query, its k-th best score among the sample's rows; the least long where there are fewer."""
+    out = np.full(len(ids), -(1 << 63), np.int64)
+    for at in range(0, len(ids) if len(sample) >= k else 0, 256):
+        s = _products(q[at : at + 256], sample)
+        s[ids[at : at + 256, None] == sample_ids[None, :]] = -(1 << 63)
+        out[at : at + 256] = np.partition(s, len(sample) - k, axis=1)[:, len(sample) - k]
+    return out
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first pivots of a sample."""
     if not len(sample):
@@ -121,6 +131,8 @@ def _assign(pivots: np.ndarray, width: int, norm2: float):
 
 def _search(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, pivots: np.ndarray, width: int, norm2: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(ids):
+            return
         lifted = np.column_stack((q.astype(np.float64), np.zeros(len(q))))
         to_pivot = _distances(lifted, pivots)
         q2 = (lifted * lifted).sum(axis=1)
@@ -154,28 +166,25 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS)
     rows = smallest_hashes(vectors, "vec_id", sample, "v").toArrow()
     x = _matrix(rows["v"].combine_chunks(), width) if rows.num_rows else np.zeros((0, width), np.int64)
     facts = {"width": width, "norm2": norm2, "pivots": choose_pivots(_lift(x, norm2), pivots), "sample": x, "sample_ids": rows["vec_id"].to_numpy()}
-    if not rows.num_rows:
+    if not rows.num_rows:  # then there are no vectors
         return vectors.select("vec_id", "v", F.lit(0).alias("pivot"), F.lit(0.0).alias("dist")), facts
     keyed = vectors.mapInArrow(_assign(facts["pivots"], width, norm2), "vec_id long, v array<long>, pivot int, dist double")
     return cut(keyed.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")), facts
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, batch: int = BATCH) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose vec_id is divisible by ``every``, its k best others."""
     spark = vectors.sparkSession
     index, facts = build_index(integers(vectors, scale))
     queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    batches = max(1, -(-queries.count() // BATCH))
+    batches = max(1, -(-queries.count() // batch))
     path = new_table_path(spark, "top-k")
     for part in range(batches):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == part).toArrow()
         ids = rows["vec_id"].to_numpy()
         q = _matrix(rows["v"].combine_chunks(), facts["width"]) if rows.num_rows else np.zeros((0, facts["width"]), np.int64)
-        seed = _Best(np.full(len(ids), -(1 << 63), np.int64), k)
-        s = _products(q, facts["sample"])
-        i, j = np.nonzero(ids[:, None] != facts["sample_ids"][None, :])
-        seed.add(i, s[i, j], facts["sample_ids"][j])
-        found = index.mapInArrow(_search(ids, q, seed.floor, facts["pivots"], facts["width"], facts["norm2"], k), "query_id long, vec_id long, score long")
+        floor = kth_best(ids, q, facts["sample_ids"], facts["sample"], k)
+        found = index.mapInArrow(_search(ids, q, floor, facts["pivots"], facts["width"], facts["norm2"], k), "query_id long, vec_id long, score long")
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         best = found.withColumn("rank", place).where(F.col("rank") <= k)
         best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
