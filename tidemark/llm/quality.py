@@ -8,7 +8,8 @@ The machine's score is
 
 so all pairwise interactions cost time linear in the features. It is trained in numpy on the
 driver by Adam, on a bounded sample of labelled rows: the ``SAMPLE`` rows whose ids have the
-smallest hashes. Scoring runs in tasks, vectorised over slices of a batch.
+smallest hashes; of each text only its distinct hashed words come to the driver, at most
+``WORDS``, with their counts. Scoring runs in tasks, vectorised over slices of a batch.
 
 Defined results: a null or empty text has statistics of zero and is scored all the same; so
 is every row, repeated or not. Null labels are not learnt. Without any label, or with labels
@@ -86,18 +87,22 @@ class FactorisationMachine:
         cols = range(stats.shape[1])
         return np.stack([WORDS + c * BINS + np.searchsorted(self.bounds[c], stats[:, c], side="right") for c in cols], axis=1)
 
-    def sums(self, ix: np.ndarray, counts: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Linear part, sum of v x, and sum of v^2 x^2 for each row."""
+    def sums(self, ix: np.ndarray, counts: np.ndarray, bins: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Linear part, sum of v x, and sum of v^2 x^2 for each row, which has ``counts`` of ``ix``, each occurring ``times`` (once)."""
         line = self.linear[bins].sum(axis=1)
         vx = self.factors[bins].sum(axis=1)
         v2 = (self.factors[bins] ** 2).sum(axis=1)
         some = counts > 0
         if some.any():
             at, n = (np.cumsum(counts) - counts)[some], counts[some].astype(np.float32)
-            v = self.factors[ix]
-            line[some] += np.add.reduceat(self.linear[ix], at) / n
+            w, v = self.linear[ix], self.factors[ix]
+            square = v * v
+            if times is not None:
+                n = np.add.reduceat(times, at).astype(np.float32)
+                w, v, square = w * times, v * times[:, None], square * times[:, None]
+            line[some] += np.add.reduceat(w, at) / n
             vx[some] += np.add.reduceat(v, at, axis=0) / n[:, None]
-            v2[some] += np.add.reduceat(v * v, at, axis=0) / (n * n)[:, None]
+            v2[some] += np.add.reduceat(square, at, axis=0) / (n * n)[:, None]
         return line, vx, v2
 
     def score(self, ix: np.ndarray, counts: np.ndarray, stats: np.ndarray) -> np.ndarray:
@@ -106,8 +111,8 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
 
 
-def fit(docs: list[np.ndarray], stats: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4) -> FactorisationMachine:
-    """Train by Adam on the logistic loss. ``docs``: each row's hashed words."""
+def fit(docs: list[np.ndarray], often: list[np.ndarray], stats: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4) -> FactorisationMachine:
+    """Train by Adam on the logistic loss. ``docs``: each row's distinct hashed words, and ``often`` how often each occurs."""
     rng = np.random.default_rng(7)
     size = WORDS + len(STATISTICS) * BINS
     m = FactorisationMachine(0.0, np.zeros(size, np.float32), rng.normal(0, 0.05, (size, FACTORS)).astype(np.float32), np.zeros((len(STATISTICS), BINS - 1), np.float32))
@@ -127,14 +132,16 @@ def fit(docs: list[np.ndarray], stats: np.ndarray, label: np.ndarray, epochs: in
             rows = order[at : at + 128]
             counts = np.array([len(docs[r]) for r in rows])
             ix = np.concatenate([docs[r] for r in rows]) if counts.sum() else np.zeros(0, np.int64)
-            line, vx, v2 = m.sums(ix, counts, bins[rows])
+            times = np.concatenate([often[r] for r in rows]).astype(np.float32) if counts.sum() else np.zeros(0, np.float32)
+            total = np.array([often[r].sum() for r in rows], np.float32)
+            line, vx, v2 = m.sums(ix, counts, bins[rows], times)
             z = m.bias + line + 0.5 * (vx * vx - v2).sum(axis=1)
             g = ((1 / (1 + np.exp(-z)) - label[rows]) / len(rows)).astype(np.float32)
-            x = np.repeat(1 / np.maximum(counts, 1), counts).astype(np.float32)
+            x = np.repeat(1 / np.maximum(total, 1), counts).astype(np.float32)
             of = np.concatenate((np.repeat(np.arange(len(rows)), counts), np.repeat(np.arange(len(rows)), bins.shape[1])))
             ids = np.concatenate((ix, bins[rows].ravel()))
             x = np.concatenate((x, np.ones(bins[rows].size, np.float32)))
-            gx = g[of] * x
+            gx = g[of] * x * np.concatenate((times, np.ones(bins[rows].size, np.float32)))
             gw = np.bincount(ids, gx, size).astype(np.float32)
             gv = np.stack([np.bincount(ids, gx * (vx[of, f] - m.factors[ids, f] * x), size) for f in range(FACTORS)], axis=1).astype(np.float32)
             t += 1
@@ -157,15 +164,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = batch.column(1).to_numpy(zero_copy_only=False)
         for i, j in words.slices(offsets):
             w = words.split(data, offsets[i : j + 1])
-            ends = np.concatenate(([0], np.cumsum(w.counts))).astype(np.int32)
+            key, times = np.unique(w.doc * WORDS + _hashed(w), return_counts=True)
+            ends = np.searchsorted(key, np.arange(j - i + 1) * WORDS).astype(np.int32)
             stats = statistics(w, chars[i:j])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(_hashed(w).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array((key % WORDS).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32))),
                     pa.array(list(stats), pa.list_(pa.float32())),
                     batch.column(2).slice(i, j - i),
                 ],
-                names=["ix", "stats", "label"],
+                names=["ix", "times", "stats", "label"],
             )
 
 
@@ -199,11 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
     rows = smallest_hashes(rows, "doc_id", sample, "label")
     known = docs.select("doc_id", "text", _n_chars(docs).alias("chars")).join(F.broadcast(rows), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-    got = known.select("text", "chars", "label").mapInArrow(_features, "ix array<int>, stats array<float>, label int").toArrow()
+    got = known.select("text", "chars", "label").mapInArrow(_features, "ix array<int>, times array<int>, stats array<float>, label int").toArrow()
     ix = got["ix"].combine_chunks()
-    flat, counts = ix.flatten().to_numpy().astype(np.int64), ix.value_lengths().to_numpy()
+    flat, ends = ix.flatten().to_numpy().astype(np.int64), np.cumsum(ix.value_lengths().to_numpy())[:-1]
+    times = got["times"].combine_chunks().flatten().to_numpy()
     stats = np.asarray(got["stats"].combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, len(STATISTICS))
-    return fit(np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else [], stats, got["label"].to_numpy().astype(np.float32))
+    return fit(np.split(flat, ends), np.split(times, ends), stats, got["label"].to_numpy().astype(np.float32)) if len(ix) else fit([], [], stats, np.zeros(0, np.float32))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
