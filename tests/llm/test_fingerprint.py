@@ -44,6 +44,15 @@ def test_order_and_occurrences(spark):
     assert near(base, double) < 1
 
 
+def test_scripts_without_spaces(spark):
+    """A character more at the start leaves most of the text's tuples alone."""
+    rng = random.Random(4)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600))
+    base, more, other = signature(spark, text, "x" + text, text[::-1])
+    near = lambda x, y: len(set(x) & set(y)) / max(len(x), len(y))
+    assert near(base, more) > 0.9 and near(base, other) < 0.1
+
+
 def test_against_python(spark):
     """Numbering, bins, text order and tuples, step by step."""
     text = words(3, 60) + " a b c a b c a b c a b c"

@@ -1,5 +1,8 @@
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm import mixing
 from tidemark.plans.lineage import new_table_path
@@ -41,3 +44,33 @@ def test_mix_by_row(spark, docs, tiny):
     rows = [(None, text(1), "en", "a"), (None, text(2), "en", "a"), (7, text(3), "en", "a"), (7, text(4), "en", "a"), (8, text(5), "en", "a"), (8, text(5), "en", "a"), (None, None, "en", "a")]
     out = mixing.mixed_documents(docs(rows), share=2.0)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(2 * [r[:2] for r in rows if r[1]])
+
+
+ODD = [(1, None, None, None), (2, "", "en", "a"), (None, None, "en", "b"), (3, " \n\t", None, "a"), (4, "word " * 30_000, "en", "a"), (5, "the cat sat", "en", "a"), (5, "the cat sat", "en", "a"), (6, "the cat sat", "en", "b")]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_odd_rows(spark, docs, tiny, k):
+    """Null and empty texts, null and repeated ids, a very long text, ties, clashing columns, and no rows at all."""
+    name, stage = corpus_pipeline.STAGES[k]
+    clash = ("label", "score", "kept", "size", "key", "ids", "taken", "component_id", "__x")
+    df = docs(ODD)
+    for c in clash:
+        df = df.withColumn(c, F.lit(c))
+    for rows in (df, df.limit(0)):
+        path = new_table_path(spark, "odd")
+        stage(spark, rows, tiny).write.parquet(path)
+        out = spark.read.parquet(path)
+        if k < 4:
+            assert out.columns == df.columns, name
+            assert all(r[c] == c for r in out.collect() for c in clash)
+            assert {(r.doc_id, r.text) for r in out.collect()} <= {r[:2] for r in ODD}
+        else:
+            assert out.count() == rows.count()
+        if rows is not df:
+            assert out.count() == 0
+    kept = Counter((r.doc_id, r.text) for r in stage(spark, df, tiny).collect()) if k in (1, 2) else None
+    if k == 1:
+        assert not any(t is None or not t.strip() for _, t in kept)
+    if k == 2:
+        assert kept == Counter([r[:2] for r in ODD[:5]] + [(5, "the cat sat")]) or kept == Counter([r[:2] for r in ODD[:5]] + [(6, "the cat sat")])

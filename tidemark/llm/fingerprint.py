@@ -12,8 +12,8 @@ steps back along a run.
 
 Defined results: a null text is empty, and an empty one has no tuples; two documents without
 tuples have likeness 1. A text of fewer than K tokens is one k-mer. Texts are read whole;
-runs of over 24 characters without white space are tokens of 24; positions beyond 2^24
-tokens count as 2^24. Every row has its own fingerprint. Null ids come after all others, and
+a token is a run without white space, but characters of scripts that write words without spaces
+are tokens each; positions beyond 2^24 tokens count as 2^24. Every row has its own fingerprint. Null ids come after all others, and
 rows that repeat an id follow each other in the order of their texts' hashes. Extra columns
 are ignored. An empty table gives an empty one.
 """
@@ -35,7 +35,9 @@ BROADCAST = 200_000
 _POS = 24
 _LOW = (1 << _POS) - 1
 _HASH_BITS = 64 - BIN_BITS - _POS
-_TOKEN = r"[^\x20\x09-\x0D]{1,24}"
+#: Blocks of scripts that write words without spaces (Thai, Lao, Burmese, Khmer, kana, Han).
+_ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+_TOKEN = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]+"
 
 
 def _bin(x: Column) -> Column:
