@@ -14,10 +14,10 @@ against that one. What is left are pairs across components. Let a shingle that m
     |x & y| <= min(m_x, m_y) + (rare shingles that x and y share).
 
 Pairs that share rare shingles are found by joining those, at most ``RARE`` rows to a
-shingle. Any other pair can only be linked if both sizes fit both m, which rules out most
-documents of a bucket by its smallest size and largest m alone. Buckets that still hold
-several components get one leader more, then two, four and so on, until each is settled.
-Every pair of a bucket is so confirmed, or is proven apart, or lies in one component.
+shingle. Any other pair can only be linked if both sizes fit each other and both m. Buckets are
+divided by size, and the smallest size and the largest m in the other components of its bucket
+rule out most documents. Buckets that are still open get ``LEADERS`` leaders more, members of the
+smallest components first, then that many times as many, until each is settled. Every pair of a bucket is so confirmed, or is proven apart, or lies in one component.
 
 Defined results: a null or empty text has an empty set, is in a class of its own and linked
 to nothing. Rows are told apart by their own number, so null and repeated ids are documents
@@ -28,6 +28,7 @@ Extra columns are ignored. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ PERMUTATIONS = 64
 BAND = 4
 #: Most documents that share a rare shingle.
 RARE = 8
+#: Leaders of a bucket that the first leader and the rare shingles leave open.
+LEADERS = 8
 #: Most row numbers that are broadcast to pick out texts; beyond, texts are shuffled.
 BROADCAST = 500_000
 
@@ -155,16 +158,18 @@ def _terms(shingle: int):
     return run
 
 
-def _texts_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``texts(row, text)`` of the numbers in ``rows(row)``, which are distinct."""
-    rows = cut(rows)
-    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST else rows, "row", "left_semi")
+def _texts_of(rows: DataFrame, most: int, texts: DataFrame) -> DataFrame:
+    """``texts(row, text)`` of the numbers in ``rows(row)``, which are distinct and ``most`` at most."""
+    return texts.join(F.broadcast(rows) if most <= BROADCAST else rows, "row", "left_semi")
 
 
 def _confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``pairs(u, v)`` with the column ``linked``, decided on full sets."""
+    """Those of ``pairs(u, v)`` whose full sets are similar, with ``linked``, and the others."""
     pairs = cut(pairs)
-    used = _texts_of(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), texts)
+    n = pairs.count()
+    if n == 0:
+        return pairs.withColumn("linked", F.lit(False))
+    used = _texts_of(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), 2 * n, texts)
     both = pairs.join(used.withColumnsRenamed({"row": "v", "text": "v_text"}), "v").join(used.withColumnsRenamed({"row": "u", "text": "u_text"}), "u")
     return cut(both.select("u", "v", "u_text", "v_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean"))
 
@@ -177,39 +182,50 @@ def _fits(n: str, other: str, percent: int) -> str:
     return f"100 * least({n}, {other}) >= {percent} * greatest({n}, {other})"
 
 
-def _open(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of the buckets that lie in several components, with the component of each."""
-    known = rows.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    return _mixed(cut(known.withColumn("component", F.coalesce("component", "rep"))))
+def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    rows = rows.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    return cut(rows.withColumn("component", F.coalesce("component", "rep")))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the buckets that lie in several components, with the component of each."""
+    rows = _labelled(rows, parts)
     keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return cut(rows.join(cut(keys), "key", "left_semi"))
 
 
+def _open(rows: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Rows whose bucket may hold a partner in another component: one that is small enough, and has room enough.
+
+    Of buckets with the same rows, one is enough. ``size`` is that of a row's component in its bucket.
+    """
+    rows = _labelled(rows.drop("size"), parts)
+    groups = cut(rows.groupBy("key", "component").agg(F.min("n").alias("least"), F.max("room").alias("most"), F.count("*").alias("size")))
+    ends = groups.groupBy("key").agg(F.min(F.struct("least", "component")).alias("a"), F.max(F.struct("most", "component")).alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    others = groups.join(ends, "key").groupBy("key", "a", "b").agg(F.expr("min(least) FILTER (WHERE component <> a.component)").alias("a2"), F.expr("max(most) FILTER (WHERE component <> b.component)").alias("b2"))
+    least, most = F.expr("if(component = a.component, a2, a.least)"), F.expr("if(component = b.component, b2, b.most)")
+    known = rows.join(cut(others), "key").withColumn("least", least).withColumn("most", most)
+    known = cut(known.where(f"{percent} * least <= room and {percent} * n <= most").select(rows.columns).join(groups.select("key", "component", "size"), ["key", "component"]))
+    same = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit("row"), "rep")).alias("y"), F.count("*").alias("c")]
+    keys = known.groupBy("key").agg(*same).groupBy("x", "y", "c").agg(F.min("key").alias("key"))
+    return cut(known.join(cut(keys.select("key")), "key", "left_semi"))
+
+
 def _rare_pairs(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that may be linked by the rare shingles that they share; and ``(rep, room)``: what a partner's size times ``percent`` may be if they share none."""
     members = cut(rows.select("rep", "n", "component").distinct())
-    known = _texts_of(members.select(F.col("rep").alias("row")), texts).mapInArrow(_terms(shingle), "rep long, s long")
-    known = cut(known)
+    known = cut(_texts_of(members.select(F.col("rep").alias("row")), members.count(), texts).mapInArrow(_terms(shingle), "rep long, s long"))
     often = cut(known.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") <= RARE))
-    rare = known.join(often, "s")
+    rare = cut(known.join(often, "s"))
     outside = rare.groupBy("rep").agg(F.count("*").alias("out"))
     members = cut(members.join(outside, "rep", "left").withColumn("m", F.col("n") - F.coalesce("out", F.lit(0))).drop("out"))
-    met = cut(rare.where("often > 1").select("s", "rep").join(members, "rep"))
+    met = rare.where("often > 1").select("s", "rep").join(members, "rep")
     pairs = _left(met, "s").join(met, "s").where(f"l_rep < rep and l_component <> component and {_fits('n', 'l_n', percent)}")
     pairs = pairs.groupBy("l_rep", "rep", "n", "l_n", "m", "l_m").agg(F.count("*").alias("c"))
     pairs = pairs.where(f"100 * (least(m, l_m) + c) >= {percent} * (n + l_n - least(m, l_m) - c)")
     return pairs.select(F.col("l_rep").alias("u"), F.col("rep").alias("v")), members.select("rep", F.expr(f"(100 + {percent}) * m - {percent} * n").alias("room"))
 
 
-def _with_room(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows whose bucket may hold a partner that they share no rare shingle with."""
-    least = cut(rows.groupBy("key").agg(F.min("n").alias("least"), F.max("room").alias("most")))
-    return _mixed(cut(rows.join(least, "key").where(f"{percent} * least <= room and {percent} * n <= most").drop("least", "most")))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -246,18 +262,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         if not more.where("linked").isEmpty():
             parts = connected_components(checked.where("linked").select("u", "v"))
 
-    rows = _open(rows.join(leaders.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti"), parts)
+    rows = _mixed(rows.join(leaders.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti"), parts)
     if not rows.isEmpty():
         pairs, room = _rare_pairs(rows, texts, shingle, percent)
         settle(pairs)
-        rows, led = _with_room(_open(rows.join(room, "rep"), parts), percent), 1
+        cell = F.floor(F.log("n") / (1.0001 * math.log(100 / percent)))  # sizes of similar sets are in one cell or in two next to each other
+        rows = rows.join(room, "rep").withColumn("key", F.explode(F.array(F.xxhash64("key", cell), F.xxhash64("key", cell + 1))))
+        rows, led = _open(rows, parts, percent), LEADERS
         while not rows.isEmpty():
-            place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("central"), F.desc(F.xxhash64("rep"))))
+            place = F.row_number().over(W.partitionBy("key").orderBy("size", F.desc("central"), F.desc(F.xxhash64("rep"))))
             lead = cut(rows.withColumn("place", place).where(F.col("place") <= led).drop("place", "central"))
             found = _left(lead, "key").join(rows, "key").where(f"component <> l_component and {_fits('n', 'l_n', percent)} and {percent} * n <= l_room and {percent} * l_n <= room")
             settle(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct())
             rest = rows.join(lead.select("key", "rep"), ["key", "rep"], "left_anti")
-            rows, led = _with_room(_open(rest, parts), percent), 2 * led
+            rows, led = _open(rest, parts, percent), LEADERS * led
 
     known = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = cut(known)
