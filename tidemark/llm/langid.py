@@ -190,7 +190,7 @@ def _labeller(net: Network, keep: tuple[str, ...]):
                         known = np.concatenate((known, here[~old]))
                         order = np.argsort(known, kind="stable")
                         known, sums = known[order], np.concatenate((sums, fresh))[order]
-                total = np.stack([np.bincount(w.doc, value[place, c], len(w.counts)) for c in range(len(net.languages))], axis=1)
+                total = np.stack([np.bincount(w.doc, value[place, c], len(w.counts)) for c in range(len(net.languages))], axis=1).astype(np.float64)
                 total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
                 best = total.argmax(axis=1)
                 ok = letters[i:j]
