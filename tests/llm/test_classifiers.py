@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import langid, quality
+from tidemark.llm import langid, quality, words
 
 VOICES = {"aa": "kalo mira sentu", "bb": "zchwü öpfen strag", "cc": "ñanda quillo vera"}
 
@@ -134,3 +135,48 @@ def test_sum_of_squares_identity():
     z = m.bias + sum(m.linear[i] * x for i, x in feats)
     z += sum(float(m.factors[i] @ m.factors[j]) * x * y for a, (i, x) in enumerate(feats) for j, y in feats[a + 1 :])
     assert m.score(ix, np.array([6]), stats)[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+
+
+def test_language_scores_by_a_plain_loop(docs, labelled):
+    """The query's rows, byte by byte: every word forwards and backwards, labels at each position, means over the document."""
+    texts = labelled[:12] + [(500, "kalo  zchwü\tñandañanda" * 3 + " 7", None, "s")]
+    net = langid.train(docs(labelled))
+    n = langid.HIDDEN
+
+    def states(d, data):
+        h, out = np.zeros(n), []
+        for byte in data:
+            a, b = d.table[byte].astype(float), h @ d.hidden + d.bias
+            gates = 1 / (1 + np.exp(-(a[: 2 * n] + b[: 2 * n])))
+            z, r = gates[:n], gates[n:]
+            h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    got = {r.row.doc_id: r for r in langid.label(docs(texts), net).collect()}
+    for i, text, *_ in texts:
+        total = np.zeros(len(net.languages))
+        for word in text.encode().split():
+            for at in range(0, len(word), langid.PIECE):
+                piece = word[at : at + langid.PIECE]
+                for f, b in zip(states(net.forward, piece), reversed(states(net.backward, piece[::-1]))):
+                    e = np.exp(np.concatenate((f, b)) @ net.out + net.out_bias)
+                    total += e / e.sum()
+        total /= total.sum()
+        assert got[i].lang_pred == net.languages[int(total.argmax())]
+        assert got[i].score == pytest.approx(total.max(), abs=1e-3)
+
+
+def test_quality_scores_by_a_plain_loop(spark, docs, graded):
+    """The query's scores, pair by pair: every two features of a document."""
+    labels = spark.createDataFrame([(r[0], r[4], 0) for r in graded], "doc_id long, quality int, toxic int")
+    df = docs([r[:4] for r in graded])
+    m = quality.train(df, labels)
+    got = {r.doc_id: r.score for r in quality.classify(df, labels).where("doc_id < 8").collect()}
+    for i, text, *_ in graded[:8]:
+        w = words.split(*words.utf8(pa.array([text])))
+        bins = m.features(quality.statistics(w, np.array([len(text)])))[0]
+        feats = [(k, 1 / len(w.hashes)) for k in quality._hashed(w)] + [(k, 1.0) for k in bins]
+        z = m.bias + sum(float(m.linear[k]) * x for k, x in feats)
+        z += sum(float(m.factors[k] @ m.factors[j]) * x * y for a, (k, x) in enumerate(feats) for j, y in feats[a + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-3)

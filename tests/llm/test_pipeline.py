@@ -1,10 +1,16 @@
+import hashlib
+import re
+import unicodedata
 from collections import Counter
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import mixing
+from tests.llm.test_neardup import brute_force
+from tidemark.llm import bpe, langid, mixing
 from tidemark.plans.lineage import new_table_path
 
 
@@ -74,3 +80,42 @@ def test_odd_rows(spark, docs, tiny, k):
         assert not any(t is None or not t.strip() for _, t in kept)
     if k == 2:
         assert kept == Counter([r[:2] for r in ODD[:5]] + [(5, "the cat sat")]) or kept == Counter([r[:2] for r in ODD[:5]] + [(6, "the cat sat")])
+
+
+def test_brute_force(spark, tiny):
+    """What each stage makes of what the one before kept: groups by comparing all pairs, shares by hand, ids by the library."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    seen = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        path = new_table_path(spark, "stage")
+        stage(spark, seen[-1], tiny).write.parquet(path)
+        seen.append(spark.read.parquet(path))
+    _, good, known, unique, mixed, encoded = seen
+
+    net = langid.train(good)
+    least = langid.least_evidence(good, net)
+    rows = {r.row.doc_id: r for r in langid.label(good, net, ("doc_id", "text")).collect()}
+
+    def evidence(r):
+        letters, shown = (sum(f(c) for c in r.row.text) for f in (lambda c: unicodedata.category(c)[0] in "LM", lambda c: c not in " \t\n\x0b\f\r"))
+        return 1 / len(net.languages) + (r.score - 1 / len(net.languages)) * letters / max(shown, 1)
+
+    assert {r.doc_id for r in known.collect()} == {i for i, r in rows.items() if r.lang_pred != "und" and evidence(r) >= least}
+
+    texts = {r.doc_id: r.text for r in known.collect()}
+    groups = brute_force(list(texts.items()), 5, 80)
+    kept = [groups[r.doc_id][1] for r in unique.collect()]
+    assert sorted(kept) == sorted({g for _, g in groups.values()})
+
+    times = Counter(r.doc_id for r in mixed.collect())
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in unique.collect()}
+    assert set(times) <= set(words) and max(times.values()) <= 2
+    total = sum(words[i] * n for i, n in times.items())
+    assert abs(total - 1.5 * sum(words.values())) < 0.1 * sum(words.values())
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for i, n in times.items():
+        ids = library.encode_ordinary(texts[i])
+        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] = n
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in encoded.collect()) == want
