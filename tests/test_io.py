@@ -26,6 +26,12 @@ def test_header_and_last(spark, tmp_path):
     assert sorted(map(tuple, readers.last_per_file_name(df, "v").collect())) == [("a", "2"), ("b", "3")]
 
 
+def test_malformed_rows(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
+    assert [tuple(r) for r in readers.csv_with_header(spark, str(tmp_path / "m.csv")).collect()] == [("1", "2")]
+    assert sorted(r.line for r in readers.malformed_rows(spark, str(tmp_path / "m.csv")).collect()) == ["3", "4,5,6"]
+
+
 def test_zip_and_blobs(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("a.avro", b"one")

@@ -43,6 +43,14 @@ def csv_with_header(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
+def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``csv_with_header`` drops, as they stand (SC13)."""
+    names = spark.read.csv(path, header=True, quote='"', escape='"').columns
+    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("__line", T.StringType())])
+    df = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', columnNameOfCorruptRecord="__line")
+    return df.where(F.col("__line").isNotNull()).withColumnRenamed("__line", "line")
+
+
 def last_per_file_name(df: DataFrame, order: str) -> DataFrame:
     """The last row of each file name by an order column (SC14)."""
     rest = [c for c in df.columns if c != "filename"]
