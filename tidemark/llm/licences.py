@@ -132,6 +132,11 @@ for _id, _fill in (
     TEMPLATES += [(_id, _GNU.format(**_fill)), (_id, f"{_GNU} {_GNU_REST}".format(**_fill))]
 TEMPLATES += [(re.sub("-(only|or-later)$", "", _id), f"SPDX-License-Identifier: {_id}") for _id in SPDX]
 
+#: Words so common that as anchors they would let through most lines of any text.
+COMMON = frozenset(
+    "all and any are but can damage deal even file files for from have however into its law list loss may met more must name names nor not one other out over see sell shall should such that "
+    "the their there these they this those use used was way were what which will with work would you your".split()
+)
 _LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _GAP = r"\n[^\pL\pN\n]*\n"
@@ -155,7 +160,7 @@ def anchors(least: float) -> list[str]:
     found: set[str] = set()
     for weights in WEIGHTS:
         rest = norm = sum(w * w for w in weights.values())
-        for t in sorted(weights, key=lambda t: (-IDF[t], -len(t), t)):
+        for t in sorted(weights, key=lambda t: (t in COMMON or len(t) < 3, -IDF[t], -len(t), t)):
             if rest < 0.999 * least * least * norm:
                 break
             rest -= weights[t] ** 2
