@@ -38,9 +38,9 @@ from tidemark.plans.lineage import new_table_path
 #: Pieces of more bytes than this are merged with a heap.
 LONG = 512
 #: A task forgets its table of pieces when it has so many, to bound its memory.
-TABLE = 500_000
+TABLE = 350_000
 #: Documents in the sample for frequent pieces, and most pieces kept of them.
-SAMPLE, FREQUENT = 6000, 1 << 18
+SAMPLE, FREQUENT = 6000, 3 << 16
 
 _BUCKETS, _SLOTS = 1 << 16, 1 << 17
 _M1, _M2 = 0x2C1B3C6D, 0x297A2D39
@@ -155,7 +155,7 @@ def _index(frequent: Broadcast):
     """Replace pieces by places in the task's table; pieces new to it come with a batch's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = _frequent_places(frequent.value)
+        base = {p: k for k, p in enumerate(_frequent_table(frequent)[0])}
         table = dict(base)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -197,8 +197,10 @@ def _digest(path: str, frequent: Broadcast):
     token = tuple(by_rank.get(r, b"") for r in range(max(by_rank) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_text, base_raw, base_size = _frequent_strings(frequent.value, token)
-        start = len(base_text)
+        base = _frequent_table(frequent)[1]
+        base_text, base_raw = [" ".join(map(str, i)).encode() for i in base], [b"".join([token[k] for k in i]) for i in base]
+        base_size, start = np.fromiter(map(len, base), np.int64, len(base)), len(base)
+        del base
         text, raw, size = list(base_text), list(base_raw), base_size
         for batch in batches:
             out: list[list] = [[], [], []]
@@ -228,7 +230,7 @@ def _ids(path: str, frequent: Broadcast):
     ranks = load_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = [i.tolist() for i in _frequent_ids(frequent.value)]
+        base = _frequent_table(frequent)[1]
         table = list(base)
         for batch in batches:
             out = []
@@ -268,23 +270,11 @@ def frequent_pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str, te
     return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
-@lru_cache(maxsize=1)  # a Python worker runs many tasks
-def _frequent_places(data: bytes) -> dict[bytes, int]:
-    table = pa.ipc.open_file(pa.BufferReader(data)).read_all()
-    return {p: k for k, p in enumerate(table["piece"].to_pylist())}
-
-
-@lru_cache(maxsize=1)
-def _frequent_ids(data: bytes) -> list[np.ndarray]:
-    ids = pa.ipc.open_file(pa.BufferReader(data)).read_all()["ids"].combine_chunks()
-    return np.split(ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())[:-1]) if len(ids) else []
-
-
-@lru_cache(maxsize=1)
-def _frequent_strings(data: bytes, tokens: tuple[bytes, ...]) -> tuple[list[bytes], list[bytes], np.ndarray]:
-    """What the frequent pieces' ids are as text, what they decode to, and how many there are."""
-    ids = [i.tolist() for i in _frequent_ids(data)]
-    return [" ".join(map(str, i)).encode() for i in ids], [b"".join([tokens[k] for k in i]) for i in ids], np.fromiter(map(len, ids), np.int64, len(ids))
+def _frequent_table(frequent: Broadcast) -> tuple[list[bytes], list[list[int]]]:
+    table = pa.ipc.open_file(pa.BufferReader(frequent.value)).read_all()
+    ids = table["ids"].combine_chunks()
+    ends, flat = np.cumsum(ids.value_lengths().to_numpy()).tolist(), ids.flatten().to_pylist()
+    return table["piece"].to_pylist(), [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _pieces_encoded(docs: DataFrame, frequent: Broadcast, ranks_path: str, pattern: str, key: str, text: str) -> DataFrame:
