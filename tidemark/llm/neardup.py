@@ -47,7 +47,7 @@ BAND = 4
 #: Most documents that share a rare shingle.
 RARE = 8
 #: Leaders of a bucket that the first leader and the rare shingles leave open.
-LEADERS = 8
+LEADERS = 64
 #: Most row numbers that are broadcast to pick out texts; beyond, texts are shuffled.
 BROADCAST = 500_000
 
@@ -255,27 +255,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     checked = _confirm_pairs(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct(), texts, shingle, percent)
     parts = connected_components(checked.where("linked").select("u", "v"))
 
-    def settle(pairs: DataFrame) -> None:
-        nonlocal checked, parts
+    fresh = False  # links that the components don't have yet
+
+    def settle(pairs: DataFrame, join: bool) -> None:
+        nonlocal checked, parts, fresh
         more = _confirm_pairs(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"), texts, shingle, percent)
         checked = checked.unionByName(more)
-        if not more.where("linked").isEmpty():
-            parts = connected_components(checked.where("linked").select("u", "v"))
+        fresh = fresh or not more.where("linked").isEmpty()
+        if join and fresh:
+            parts, fresh = connected_components(checked.where("linked").select("u", "v")), False
 
     rows = _mixed(rows.join(leaders.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti"), parts)
     if not rows.isEmpty():
         pairs, room = _rare_pairs(rows, texts, shingle, percent)
-        settle(pairs)
+        settle(pairs, join=False)
         cell = F.floor(F.log("n") / (1.0001 * math.log(100 / percent)))  # sizes of similar sets are in one cell or in two next to each other
         rows = rows.join(room, "rep").withColumn("key", F.explode(F.array(F.xxhash64("key", cell), F.xxhash64("key", cell + 1))))
         rows, led = _open(rows, parts, percent), LEADERS
         while not rows.isEmpty():
+            keys = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # a document has two for each band at most
+            wide = cut(rows.join(keys, "rep"))
             place = F.row_number().over(W.partitionBy("key").orderBy("size", F.desc("central"), F.desc(F.xxhash64("rep"))))
-            lead = cut(rows.withColumn("place", place).where(F.col("place") <= led).drop("place", "central"))
-            found = _left(lead, "key").join(rows, "key").where(f"component <> l_component and {_fits('n', 'l_n', percent)} and {percent} * n <= l_room and {percent} * l_n <= room")
-            settle(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct())
+            lead = cut(wide.withColumn("place", place).where(F.col("place") <= led).drop("place", "central"))
+            fits = f"component <> l_component and {_fits('n', 'l_n', percent)} and {percent} * n <= l_room and {percent} * l_n <= room"
+            found = _left(lead, "key").join(wide, "key").where(f"{fits} and array_min(array_intersect(keys, l_keys)) = key")  # each pair in one bucket only
+            settle(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct(), join=True)
             rest = rows.join(lead.select("key", "rep"), ["key", "rep"], "left_anti")
             rows, led = _open(rest, parts, percent), LEADERS * led
+        if fresh:
+            parts = connected_components(checked.where("linked").select("u", "v"))
 
     known = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = cut(known)
