@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, extract, fingerprint, langid, licences, mixing, neardup, quality, topk, warc
+from tidemark.llm import bpe, extract, fingerprint, langid, licences, mixing, neardup, quality, topk, trie, warc, whiten
 from tidemark.plans.lineage import new_table_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -80,6 +80,16 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, heads shared."""
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_exact_top_k,
         op10_order_minhash,
+        op12_embedding_whitening,
+        op13_conversation_trie,
     )
 }
 
@@ -166,4 +178,29 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_conversation_trie": f"""
+        WITH own AS (
+            SELECT conv_id, list(sha256(length(role) || ':' || role || text)[1:{trie.DIGEST}] ORDER BY turn IS NOT NULL, turn, sha256(length(role) || ':' || role || text)) AS d,
+                   list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) ORDER BY turn IS NOT NULL, turn, sha256(length(role) || ':' || role || text)) AS w
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+        ), hashed AS (
+            -- the CRC-32 of the decimal id: each byte is followed by eight shifts
+            SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(conv_id AS VARCHAR), '')])),
+                lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END), CAST(4294967295 AS BIGINT)) % 4 AS h FROM own
+        ), rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(b.d, [])[1:c.h], c.d[c.h + 1:]) AS d, list_concat(coalesce(b.w, [])[1:c.h], c.w[c.h + 1:]) AS w
+            FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+        ), member AS (
+            SELECT conv_id, k AS depth, array_to_string(d[1:k], '') AS key, array_to_string(d[1:k - 1], '') AS above, CASE WHEN k = 0 THEN 0 ELSE w[k] END AS words, k = len(d) AS ends FROM rebuilt, unnest(range(len(d) + 1)) r(k)
+        ), node AS (
+            SELECT depth, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM member GROUP BY depth, key
+        ), family AS (
+            SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM node c WHERE c.depth = n.depth + 1 AND c.above = n.key) AS n_children
+            FROM node n LEFT JOIN node p ON p.depth = n.depth - 1 AND p.key = n.above
+        ), below AS (
+            SELECT substr(key, 1, {trie.DIGEST} * k) AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens FROM family, unnest(range(depth + 1)) r(k) GROUP BY 1
+        )
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM family JOIN below USING (key)
+    """,
 }
