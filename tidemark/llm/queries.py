@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, extract, fingerprint, langid, licences, mixing, neardup, quality, topk, trie, warc, whiten
+from tidemark.llm import bpe, extract, fingerprint, langid, licences, mixing, neardup, quality, topk, trie, urlwords, warc, whiten
 from tidemark.plans.lineage import new_table_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -80,6 +80,12 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every page's url; words are counted in the pages' own texts."""
+    pages = _table(spark, sf_dir, "pages")
+    return urlwords.judge(pages, urlwords.corpus_words(pages), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of every embedding."""
     return whiten.whiten(_table(spark, sf_dir, "embeddings"))
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_exact_top_k,
         op10_order_minhash,
+        op11_host_words,
         op12_embedding_whitening,
         op13_conversation_trie,
     )
