@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from tidemark.sources import readers, sinks
+from tidemark.sources import avro, readers, sinks
 from tidemark.streaming import loader
 
 
@@ -46,8 +46,8 @@ def test_zip_and_blobs(spark, tmp_path):
 def test_formats(spark, tmp_path):
     df = spark.sql("SELECT 1 AS id, timestamp'2024-02-03 04:05:06' AS t, date'2024-02-03' AS d, cast(null AS decimal(5,2)) AS n, array('a', 'b') AS l")
     assert tuple(sinks.avro_ready(df).first()) == (1, "03-Feb-2024 04:05:06", "03-Feb-2024", None, "a,b")
-    sinks.write_avro(df, str(tmp_path / "p"), "parquet")
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+    sinks.write_avro(df, str(tmp_path / "p"))
+    assert avro.read(spark, str(tmp_path / "p")).count() == 1
     assert json.loads(sinks.as_json(df).first().json)["l"] == ["a", "b"]
     assert "<id>1</id>" in sinks.as_xml(df).first().xml
     assert [r.line for r in sinks.shell_lines(df, [F.lit("x"), F.concat(F.lit("y"), F.col("id"))], "id").collect()] == ["x", "y1"]

@@ -76,6 +76,19 @@ def relations(dialect: str) -> dict[str, str]:
                 CASE WHEN l_returnflag = 'R' THEN cast(1 AS bigint) ELSE cast(0 AS bigint) END AS error_count,
                 CASE l_linestatus WHEN 'F' THEN 'COMPLETE' ELSE CASE l_linenumber % 3 WHEN 0 THEN 'LOADING' WHEN 1 THEN 'QUEUED' ELSE 'STOPPED' END END AS status, l_shipdate AS date_completed
             FROM lineitem""",
+        "metadata_log": f"""
+            SELECT event_id AS id, user_id AS image_id, event_type AS name, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 11 = 0 THEN NULL ELSE event_type || ' ' || cast(event_id % 1000 AS {text}) END AS value,
+                CASE event_id % 5 WHEN 0 THEN 'Embedded' WHEN 1 THEN 'UserDefined' ELSE 'SystemDefined' END AS source FROM events""",
+        "batch_log": f"""
+            SELECT event_id AS id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS image_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS audience,
+                CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'press ' || cast(event_id % 2 AS {text}) END AS publisher FROM events""",
+        "partner": f"SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 3 THEN NULL ELSE 'src' || cast(s_nationkey AS {text}) END AS uid, s_name AS name FROM supplier",
+        "status_event": """
+            SELECT event_id AS id, user_id AS upload, CASE event_id % 9 WHEN 0 THEN 'UNZIPPED' WHEN 1 THEN 'WAITING_PROCESSING' WHEN 2 THEN 'LOADING' WHEN 3 THEN 'PARTIALLY_COMPLETE' WHEN 4 THEN 'COMPLETE'
+                WHEN 5 THEN 'CORRUPT_AVRO_FILES' WHEN 6 THEN 'LOADING' WHEN 7 THEN 'no such state' END AS status FROM events""",
+        "deep_tag": """
+            SELECT min(p_partkey) AS id, path FROM (SELECT p_partkey, '/' || lower(p_type) || CASE WHEN p_partkey % 1000 = 1 THEN '' WHEN p_partkey % 11 = 1 THEN '/' || split_part(p_name, ' ', 1)
+                ELSE '/' || split_part(p_name, ' ', 1) || '/' || split_part(p_name, ' ', 2) END AS path FROM part) t GROUP BY path""",
         "failed_upload": f"""
             SELECT url, ts AS date_created, cast(400 + page_id % 120 AS bigint) AS http_status FROM pages
             JOIN events ON event_id = page_id WHERE page_id % 2 = 0""",

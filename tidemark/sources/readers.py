@@ -8,6 +8,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators.ingest import FIELDS
+from tidemark.sources import avro
 
 ITEM = T.StructType([T.StructField("identifier", T.StringType()), *(T.StructField(n, T.StringType()) for n in FIELDS)])
 #: Nested batch records; flat ones are ``ITEM``.
@@ -24,8 +25,9 @@ def jdbc(spark: SparkSession, url: str, table: str, fetch: int = 10_000, **optio
     return spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=str(fetch), **options).load()
 
 
-def batch_records(spark: SparkSession, path: str, fmt: str = "avro", nested: bool = True) -> DataFrame:
-    """Batch records (SC8). Avro needs Spark's avro package; JSON and Parquet of the same shape do not."""
+def batch_records(spark: SparkSession, path: str, fmt: str = avro.FORMAT, nested: bool = True) -> DataFrame:
+    """Batch records (SC8), from Avro containers or from another format of the same shape."""
+    spark.dataSource.register(avro.AvroContainer)
     return spark.read.format(fmt).schema(RECORD if nested else ITEM).load(path)
 
 
@@ -83,21 +85,27 @@ def blobs(spark: SparkSession, path: str, start: int = 0, length: int | None = N
     return df.select("path", content.alias("content"), F.md5("content").alias("md5"), F.sha1("content").alias("sha1"))
 
 
-def zip_members(spark: SparkSession, path: str, suffix: str = ".avro") -> DataFrame:
-    """Members of zip archives with their digests (SC10, ST8); each archive is opened in a task."""
+def unzipped(archives: DataFrame, suffix: str = ".avro") -> DataFrame:
+    """``archive, member, content, md5``, and ``sent`` if it is there, of the members of archives ``(path, content)``; a frame or a stream."""
+    sent = ["sent"] if "sent" in archives.columns else []
 
     def unpack(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = []
-            for archive, content in zip(pdf["path"], pdf["content"]):
+            for k, (archive, content) in enumerate(zip(pdf["path"], pdf["content"])):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(archive, n, z.read(n)) for n in sorted(z.namelist()) if n.endswith(suffix)]
-            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                    for n in sorted(z.namelist()):
+                        if n.endswith(suffix):
+                            yield pd.DataFrame([(archive, n, z.read(n), *(pdf[c].iloc[k] for c in sent))], columns=["archive", "member", "content", *sent])
+
+    shape = "archive string, member string, content binary" + ", sent timestamp" * len(sent)
+    return archives.select("path", "content", *sent).mapInPandas(unpack, shape).withColumn("md5", F.md5("content"))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unpack, "archive string, member string, content binary").withColumn("md5", F.md5("content"))
+
+def zip_members(spark: SparkSession, path: str, suffix: str = ".avro") -> DataFrame:
+    """Members of zip archives with their digests (SC10, ST8); each archive is opened in a task, a member at a time."""
+    return unzipped(spark.read.format("binaryFile").load(path), suffix)
 
 
 def rows_of(spark: SparkSession, values: list, schema: str) -> DataFrame:

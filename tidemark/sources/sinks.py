@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.sources import avro, zips
+
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", escape: str = '"', gzip: bool = False) -> None:
     """CSV with a header and every field quoted (SK1 to SK3, SK11, SK16, SK17); arrays become text."""
@@ -34,9 +32,9 @@ def avro_ready(df: DataFrame) -> DataFrame:
     return df.select(*map(ready, df.schema))
 
 
-def write_avro(df: DataFrame, path: str, fmt: str = "avro") -> None:
-    """Avro rows (SK4); the avro format needs Spark's avro package, another format may take its place."""
-    avro_ready(df).write.mode("overwrite").format(fmt).save(path)
+def write_avro(df: DataFrame, path: str, codec: str = "deflate") -> None:
+    """Avro rows as containers (SK4)."""
+    avro.write(avro_ready(df), path, mode="overwrite", codec=codec)
 
 
 def download(df: DataFrame, path: str) -> None:
@@ -46,13 +44,11 @@ def download(df: DataFrame, path: str) -> None:
 
 
 def download_zip(df: DataFrame, path: str, member: str = "images.csv") -> None:
-    """A page of search results as one CSV in a zip archive (SK6); rows pass the driver one partition at a time."""
-    names = ["imageURL"] * ("imageURL" in df.columns) + sorted(c for c in df.columns if c != "imageURL")
-    rows = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names))
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open(member, "w") as raw, io.TextIOWrapper(raw, "utf-8", newline="") as f:
-        out = csv.writer(f, quoting=csv.QUOTE_ALL)
-        out.writerow(names)
-        out.writerows(rows.toLocalIterator())
+    """Search results as one CSV in a zip archive (SK6), deflated in tasks; the driver copies the finished bytes, a block at a time."""
+    parts = f"{path}.parts"
+    zips.join(parts, zips.write_zip(df, parts, member), path)
+    fs, root = avro._filesystem(parts)
+    fs.delete_dir(root)
 
 
 def as_jsonp(df: DataFrame, callback: str) -> DataFrame:
