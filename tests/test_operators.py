@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalogue, ingest, search, tags
+from tidemark.operators import catalogue, ingest, merge, search, tags
 from tidemark.operators.search import Criterion
 
 
@@ -100,8 +100,8 @@ def test_null_and_repeated_keys(spark):
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
-    assert sorted(map(tuple, ingest.upsert(old, new, "id").collect())) == [(1, "a"), (2, "c"), (3, "d")]
-    assert sorted(map(tuple, ingest.insert_missing(old, new, "id").collect())) == [(1, "a"), (2, "b"), (3, "d")]
+    assert sorted(map(tuple, merge.upsert(old, new, "id").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, merge.insert_missing(old, new, "id").collect())) == [(1, "a"), (2, "b"), (3, "d")]
     assert sorted(map(tuple, ingest.set_status(old.withColumn("status", F.lit("x")), "id", 1, "y").select("id", "status").collect())) == [(1, "y"), (2, "x")]
 
 

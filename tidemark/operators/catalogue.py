@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.functions import text
 
 METADATA_MAX = 8000
+#: Most columns of the harvest table, and the sources whose items it shows.
+HARVEST_MAX, HARVESTED = 2000, ("SystemDefined", "UserDefined")
 PERIODS = (("last 30 days", 30), ("last 90 days", 90), ("last 365 days", 365))
 
 
@@ -117,12 +119,44 @@ def metadata_keys(metadata: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def metadata_pivot(images: DataFrame, metadata: DataFrame, names: list[str]) -> DataFrame:
-    """Harvestable images with one column for each metadata name (AG10, JN7); blanks are skipped, the last value wins."""
+    """Harvestable images with a column for each of some metadata names (JN7); blanks are skipped, the largest value is taken.
+
+    Where items have an order, ``harvest`` finds the names and takes the last values.
+    """
     rows = metadata.where(F.trim("value") != "")
     wide = rows.groupBy("image_id").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
     return images.where("harvestable").select("id", "image_identifier").join(wide, F.col("id") == F.col("image_id"), "left").drop("image_id")
 
 
+def harvestable_items(images: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Metadata items with a value, of harvestable images, that the system or a user has defined."""
+    rows = metadata.where(F.col("source").isin(*HARVESTED) & (F.coalesce("value", F.lit("")) != ""))
+    return rows.join(images.where("harvestable").select(F.col("id").alias("image_id")), "image_id", "left_semi")
+
+
+def harvest_names(images: DataFrame, metadata: DataFrame, order: str) -> DataFrame:
+    """``name, place``: the columns of the harvest table, in the order in which they are first met, image by image and item by item (AG10)."""
+    first = harvestable_items(images, metadata).groupBy("name").agg(F.min(F.struct("image_id", order)).alias("first"))
+    return first.select("name", F.row_number().over(W.orderBy("first", "name")).alias("place"))  # a row a name
+
+
+def harvest(images: DataFrame, metadata: DataFrame, order: str, url: Column, most: int = HARVEST_MAX) -> DataFrame:
+    """``imageUrl, occurrenceId`` of each harvestable image, and a column for each name that its metadata have (AG10, SK13).
+
+    Names come from the data, in the order of ``harvest_names``; of the values of one name the last by ``order`` is taken,
+    an image without one has an empty text. More than ``most`` names are an error, since each is a column.
+    """
+    names = [r.name for r in harvest_names(images, metadata, order).orderBy("place").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"the metadata have more than {most} names, each of which would be a column")
+    fixed = images.where("harvestable").select("id", url.alias("imageUrl"), F.col("image_identifier").alias("occurrenceId"))
+    if not names:
+        return fixed.drop("id")
+    wide = harvestable_items(images, metadata).groupBy(F.col("image_id").alias("id")).pivot("name", names).agg(F.max_by("value", order))
+    wide = wide.toDF("id", *(f"__{k}" for k in range(len(names))))
+    return fixed.join(wide, "id", "left").select("imageUrl", "occurrenceId", *(F.coalesce(f"__{k}", F.lit("")).alias(n) for k, n in enumerate(names)))
+
+
 def metadata_values(metadata: DataFrame, images: DataFrame, key: str, source: str) -> DataFrame:
     """A metadata value of each of some images (JN4)."""
     rows = metadata.where((F.lower("name") == key.lower()) & (F.col("source") == source))

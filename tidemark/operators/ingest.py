@@ -51,8 +51,11 @@ def counters(outcomes: DataFrame) -> DataFrame:
 
 
 def with_alternates(items: DataFrame) -> DataFrame:
-    """One row of each content: its first URL, and the others as alternates (MU2, SO4)."""
-    grouped = items.groupBy("md5").agg(F.min("identifier").alias("url"), F.collect_set("identifier").alias("all"))
+    """One row of each content: its first URL, and the others as alternates (MU2, SO4). Items without a digest are left out.
+
+    The URLs of one content are one array, as in the catalogue, repeated ones once.
+    """
+    grouped = items.where(F.col("md5").isNotNull()).groupBy("md5").agg(F.min("identifier").alias("url"), F.collect_set("identifier").alias("all"))
     return grouped.select("md5", "url", F.sort_array(F.array_except("all", F.array("url"))).alias("alternates"))
 
 
@@ -63,7 +66,7 @@ def merge_content(images: DataFrame, items: DataFrame, alternates: bool = True)
     it; content that no image has becomes one, named by its smallest URL. Items without a digest are left out.
     """
     none = F.array().cast("array<string>")
-    new = with_alternates(items.where(F.col("md5").isNotNull())).select("md5", "url", F.array_prepend("alternates", F.col("url")).alias("urls"), "alternates")
+    new = with_alternates(items).select("md5", "url", F.array_prepend("alternates", F.col("url")).alias("urls"), "alternates")
     rows = images.select("md5", "original_filename", F.coalesce("alternate_filename", none).alias("alternate_filename"), "date_deleted", F.lit(True).alias("had"))
     more = F.array_except("urls", F.array_append("alternate_filename", F.col("original_filename"))) if alternates else none
     hit = F.col("urls").isNotNull()
@@ -77,14 +80,15 @@ def merge_content(images: DataFrame, items: DataFrame, alternates: bool = True)
     )
 
 
-def update_fields(current: DataFrame, incoming: DataFrame, key: str, fields: list[str], nulls_overwrite: bool) -> DataFrame:
+def update_fields(current: DataFrame, incoming: DataFrame, key: str, fields: list[str], nulls_overwrite: bool, order: str | None = None) -> DataFrame:
     """``current`` with the fields of matching ``incoming`` rows, and whether a row changed (MU5, MU6, MU19).
 
     Single updates take values that are set and differ, and skip protected fields; batch updates take nulls too.
-    Of incoming rows that repeat a key, the largest by its fields is taken; a null key matches nothing.
+    Of incoming rows that repeat a key, the last by ``order`` is taken, without one the largest by its fields; a null key
+    matches nothing. ``merge.merge_in_order`` applies repeats one after another.
     """
     fields = [f for f in fields if f in current.columns and (nulls_overwrite or f not in PROTECTED)]
-    one = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*fields)).alias("__r"))
+    one = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*([order] if order else []), *(F.col(f).alias(f"by_{f}") for f in fields))).alias("__r"))
     new = one.select(key, *(F.col(f"__r.{f}").alias(f"__{f}") for f in fields), F.lit(True).alias("__hit"))
     out, changed = current.join(new, key, "left"), F.lit(False)
     for f in fields:
@@ -96,22 +100,11 @@ def update_fields(current: DataFrame, incoming: DataFrame, key: str, fields: lis
     return out.select(*kept, changed.alias("changed"))
 
 
-def upsert(current: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
-    """Rows by key; incoming ones replace those they match (MU9, MU10, SK7, JN21)."""
-    rest = current.join(incoming.select(*keys), list(keys), "left_anti")
-    return rest.unionByName(incoming.select(current.columns))
-
-
 def remove(current: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     """Rows without those of some keys, as a document goes from the index (SK9)."""
     return current.join(keys.select(*names).distinct(), list(names), "left_anti")
 
 
-def insert_missing(current: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
-    """Rows of ``defaults`` whose key is not there yet are added (MU18, FL35)."""
-    return current.unionByName(defaults.join(current.select(key), key, "left_anti").select(current.columns))
-
-
 def soft_delete(images: DataFrame, ids: DataFrame, now: Column, children: dict[str, DataFrame], link: str = "image_id") -> tuple[DataFrame, dict[str, DataFrame]]:
     """Images with a deletion date, and child tables without their rows (MU7)."""
     gone = ids.select(F.col("id")).distinct().withColumn("__gone", F.lit(True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import ColumnLike, col
+from tidemark.plans.lineage import cut
 
 
 def normal(path: ColumnLike) -> Column:
@@ -102,6 +103,35 @@ def tree(tags: DataFrame, query: str = "") -> DataFrame:
     return out.select("path", parent("path").alias("parent"), (F.size(F.split("path", "/")) - 1).alias("depth"), label("path").alias("label"), F.col("stored").isNull().alias("disabled"))
 
 
+def nested(tags: DataFrame, query: str = "") -> DataFrame:
+    """``name, node``: for each root of the tree one JSON text, children within (TG9).
+
+    Children are folded into their parents a level at a time, from the deepest on. A node that is no tag itself is
+    disabled and has the number of the first tag, by path, that lies below it; children come in the order of their first
+    paths. With a ``query``, only tags whose path holds it make the tree.
+    """
+    rows = (tags.where(F.lower("path").contains(query.lower())) if query else tags).select("id", F.concat(F.lit("/"), F.regexp_replace("path", "^/", "")).alias("path"))
+    parts = F.split(F.substring("path", 2, 1 << 30), "/")
+    each = rows.select("id", "path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.slice(parts, F.lit(1), k))).alias("depth", "at"))
+    nodes = each.groupBy("depth", "at").agg(F.min(F.struct("path", "id")).alias("first"), F.max(F.size("at") == F.size(F.split("path", "/")) - 1).alias("stored"))
+    nodes = cut(nodes.select("depth", "at", F.slice("at", F.lit(1), F.col("depth")).alias("above"), F.col("first.path").alias("first"), F.col("first.id").alias("id"), "stored"))
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return tags.sparkSession.createDataFrame([], "name string, node string")
+    text = F.regexp_extract(F.to_json(F.array(F.element_at("at", -1))), r"(?s)^\[(.*)\]$", 1)
+    children = None
+    for depth in range(deepest, -1, -1):
+        level = nodes.where(F.col("depth") == depth)
+        level = level.withColumn("children", F.lit("")) if children is None else level.join(children, "at", "left")
+        node = F.concat(
+            F.lit('{"name":'), text, F.lit(',"text":'), text, F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit('],"icon":false,"tagId":'), F.coalesce(F.col("id").cast("string"), F.lit("null")),
+            F.lit(',"state":{"disabled":'), (~F.col("stored")).cast("string"), F.lit("}}"),
+        )
+        made = level.select("at", "above", "first", node.alias("node"))
+        children = made.groupBy(F.col("above").alias("at")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "node"))), lambda c: c["node"]), ",").alias("children"))
+    return made.select(F.element_at("at", 1).alias("name"), "node")
+
+
 def images_by_keyword(images: DataFrame, words: DataFrame, keyword: str, size: int = 100, offset: int = 0) -> DataFrame:
     """A page of images with a keyword, by id (TG10, JN5, SL8)."""
     hits = words.where(F.col("keyword") == keyword.lower()).select(F.col("image_id").alias("id")).distinct().orderBy("id").offset(offset).limit(size)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import media, text, urls
-from tidemark.operators import catalogue, exports, ingest, search, tags
+from tidemark.operators import catalogue, exports, ingest, merge, search, tags
 from tidemark.operators.search import Criterion
 from tidemark.sources import sinks
 from tidemark.sources.adapter import HOST, Catalogue, oracle
@@ -604,6 +604,7 @@ def requested_names(c):
     return catalogue.counted_by_name(c["image"], names)
 
 
+_KIND = "CASE n_nationkey % 3 WHEN 0 THEN 'fs' WHEN 1 THEN 's3' ELSE 'swift' END"
 _PLACES = "(VALUES (1, 'fs', '/data/images', NULL, NULL, NULL, NULL), (2, 's3', NULL, 'r1', 'bucket-a', 'pre', NULL), (3, 's3', NULL, 'r1', 'bucket-b', 'x', NULL))"
 _PLACE_NAMES = "id, class, base_path, region, bucket, prefix, container"
 
@@ -612,9 +613,15 @@ def _locations(c: Catalogue) -> DataFrame:
     return c.spark.sql(f"SELECT cast(id AS bigint) AS id, class, base_path, region, bucket, prefix, cast(container AS string) AS container FROM {_PLACES} AS t({_PLACE_NAMES})")
 
 
-@query("SELECT * FROM (VALUES (0, NULL, 'fs:'), (1, 1, '  /data/images'), (2, NULL, 's3:'), (3, 2, '  bucket-a'), (3, 3, '  bucket-b')) t(part, id, line)")
+@query(
+    f"WITH l AS (SELECT n_nationkey AS id, {_KIND} AS class, n_name AS name FROM nation WHERE n_nationkey % 3 <> 2), k AS (SELECT * FROM (VALUES (0, 'fs'), (2, 's3'), (4, 'swift')) t(part, class)) "
+    "SELECT part, CAST(NULL AS BIGINT) AS id, class || ':' AS line FROM k WHERE class IN (SELECT class FROM l) UNION ALL SELECT part + 1, CAST(id AS BIGINT), '  ' || name FROM l JOIN k USING (class)"
+)
 def configuration_report(c):
-    return catalogue.configuration_report(_locations(c))
+    """Storage locations stand for the nations, two kinds of three; the third kind has no header."""
+    nations = c.spark.read.parquet(f"{c.sf_dir}/nation.parquet").where("n_nationkey % 3 <> 2")
+    named = [F.when(F.expr(_KIND) == kind, F.col("n_name")).alias(column) for kind, column in (("fs", "base_path"), ("s3", "bucket"), ("swift", "container"))]
+    return catalogue.configuration_report(nations.select(F.col("n_nationkey").cast("long").alias("id"), F.expr(_KIND).alias("class"), *named))
 
 
 @query(
@@ -625,10 +632,10 @@ def storage_names(c):
     return ingest.backfill(rows, _locations(c)).select("id", "storage_location_name")
 
 
-@query("SELECT u.id, u.resource, list(f.file_no ORDER BY f.file_no)::VARCHAR AS files FROM batch_upload u LEFT JOIN batch_file f ON f.upload_id = u.id GROUP BY 1, 2", "batch_upload", "batch_file")
+@query("SELECT u.id, u.resource, list(CAST(f.file_no AS VARCHAR) || ' ' || f.status || ' ' || CAST(f.record_count AS VARCHAR) ORDER BY f.file_no, f.status, f.record_count)::VARCHAR AS files FROM batch_upload u LEFT JOIN batch_file f ON f.upload_id = u.id GROUP BY 1, 2", "batch_upload", "batch_file")
 def batch_status(c):
     rows = catalogue.batch_status(c["batch_upload"], c["batch_file"])
-    listed = F.concat(F.lit("["), F.array_join(F.transform("files", lambda f: f["file_no"].cast("string")), ", "), F.lit("]"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("files", lambda f: F.concat_ws(" ", f["file_no"].cast("string"), f["status"], f["record_count"].cast("string"))), ", "), F.lit("]"))
     return rows.select("id", "resource", F.when(F.col("files").isNull(), "[NULL]").otherwise(listed).alias("files"))
 
 
@@ -740,30 +747,38 @@ def text_parsing(c):
     return c["image"].select("id", text.part("original_filename", "//", 2).alias("rest"), text.url_decoded(encoded).alias("decoded"), text.parsed(packed, "n long")["n"].alias("parsed"))
 
 
-@query("SELECT id, path FROM tag WHERE '/asia/japan/tokyo' LIKE path || '/%'", "tag")
+@query("SELECT id, path FROM deep_tag WHERE '/standard/red/widget' LIKE path || '/%' UNION ALL SELECT -1, path FROM (SELECT '/' || lower(r_name) AS path FROM region) WHERE '/asia/japan/tokyo' LIKE path || '/%' UNION ALL SELECT id, path FROM tag WHERE '/asia/japan/tokyo' LIKE path || '/%'", "tag", "deep_tag")
 def tag_ancestors(c):
-    return tags.ancestors_longest_first(c["tag"], "/asia/japan/tokyo").select("id", "path")
+    """Of tags that have all their ancestors, as ``create`` makes them, and of tags that lack some."""
+    made = tags.create(c["tag"], c["tag"]).select(F.lit(-1).cast("long").alias("id"), "path")
+    every = c["tag"].unionByName(made)
+    return tags.ancestors_longest_first(every, "/asia/japan/tokyo").unionByName(tags.ancestors_longest_first(c["deep_tag"], "/standard/red/widget")).select("id", "path")
+
 
+_USED = "SELECT license AS acronym, 'as image ' || CAST(id AS VARCHAR) AS name, 1000 + id AS id FROM image"
 
-@query("SELECT id, acronym, CASE acronym WHEN 'CC-BY' THEN 'new' ELSE name END AS name FROM license UNION ALL SELECT 9, 'CC0', 'zero'", "license")
+
+@query(f", used AS ({_USED}) SELECT id, acronym, name FROM license WHERE acronym NOT IN (SELECT acronym FROM used) UNION ALL SELECT max(id), acronym, arg_max(name, id) FROM used GROUP BY acronym", "license", "image")
 def licence_upsert(c):
-    new = c.spark.createDataFrame([(1, "CC-BY", "new"), (9, "CC0", "zero")], "id int, acronym string, name string")
-    return ingest.upsert(c["license"].select("id", "acronym", "name"), new, "acronym")
+    """The licences that images name, by acronym: the image of the largest id is the last."""
+    used = c["image"].select(F.col("license").alias("acronym"), F.concat(F.lit("as image "), F.col("id").cast("string")).alias("name"), (F.col("id") + 1000).alias("id"))
+    return merge.upsert(c["license"].select(F.col("id").cast("long").alias("id"), "acronym", "name"), used, "acronym", order="id")
 
 
-@query("SELECT id, acronym FROM license UNION ALL SELECT 9, 'CC0'", "license")
+@query(f", used AS ({_USED}) SELECT id, acronym FROM license UNION ALL SELECT min(id), acronym FROM used WHERE acronym NOT IN (SELECT acronym FROM license) GROUP BY acronym", "license", "image")
 def licence_insert_missing(c):
-    new = c.spark.createDataFrame([(7, "CC-BY"), (9, "CC0")], "id int, acronym string")
-    return ingest.insert_missing(c["license"].select("id", "acronym"), new, "acronym")
+    used = c["image"].select(F.col("license").alias("acronym"), (F.col("id") + 1000).alias("id"))
+    return merge.insert_missing(c["license"].select(F.col("id").cast("long").alias("id"), "acronym"), used, "acronym", order="id")
 
 
 @query(
-    "SELECT identifier, min(title) AS title FROM (SELECT 'u' || CAST(doc_id % 50 AS VARCHAR) AS identifier, substr(text, 1, 20) AS title FROM documents WHERE doc_id % 50 <> 3) GROUP BY 1"
+    "SELECT identifier, min(title) AS title FROM (SELECT 'u' || CAST(doc_id // 2 AS VARCHAR) AS identifier, text AS title FROM documents WHERE doc_id % 50 <> 3) GROUP BY 1"
 )
 def batch_items(c):
+    """Items of whole texts, two with each identifier, of which the first by its text stays."""
     docs = c.spark.read.parquet(f"{c.sf_dir}/documents.parquet")
-    name = F.when(F.col("doc_id") % 50 == 3, " ").otherwise(F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string")))
-    nested = docs.select(F.col("doc_id").cast("string").alias("id"), F.array(F.struct(name.alias("identifier"), F.substring("text", 1, 20).alias("title"))).alias("multimediaItems"))
+    name = F.when(F.col("doc_id") % 50 == 3, " ").otherwise(F.concat(F.lit("u"), F.expr("doc_id div 2").cast("string")))
+    nested = docs.select(F.col("doc_id").cast("string").alias("id"), F.array(F.struct(name.alias("identifier"), F.col("text").alias("title"))).alias("multimediaItems"))
     return ingest.first_per_identifier(ingest.flatten(nested), "title").select("identifier", "title")
 
 
@@ -773,6 +788,11 @@ def batch_counters(c):
     return ingest.counters(c["image"].select(F.get(names, (F.col("id") % 4).cast("int")).alias("outcome")))
 
 
-@query("SELECT id, regexp_matches(original_filename, '^https://user') AS known, length(image_identifier) = 36 AS uuid, mime_type LIKE 'image/%' AS allowed FROM image", "image")
+@query("SELECT id, regexp_matches(original_filename, '^https://user') AS known, id % 3 = 0 AS uuid, mime_type LIKE 'image/%' AS allowed FROM image", "image")
 def admission(c):
-    return c["image"].select("id", urls.starts_with_any("original_filename", ["https://user", "ftp://x"]).alias("known"), urls.is_uuid("image_identifier").alias("uuid"), media.is_class("mime_type", "image").alias("allowed"))
+    """A third of the identifiers are written as UUIDs are, with dashes."""
+    dashed = F.regexp_replace("image_identifier", "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return c["image"].select("id", urls.starts_with_any("original_filename", ["https://user", "ftp://x"]).alias("known"), urls.is_uuid(F.when(F.col("id") % 3 == 0, dashed).otherwise(F.col("image_identifier"))).alias("uuid"), media.is_class("mime_type", "image").alias("allowed"))
+
+
+from tidemark import flows  # noqa: E402, F401  registers its queries
