@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import catalogue, ingest, merge, search, tags
 from tidemark.operators.search import Criterion
+from tidemark.plans.rows import packed, unpacked
 
 
 def ids(df):
@@ -110,3 +111,13 @@ def test_retention(spark):
     uploads = spark.sql("SELECT * FROM VALUES (1), (2), (3), (4) AS t(id)")
     kept, stay = ingest.retained(uploads, files, F.lit("2020-03-10").cast("timestamp"), 30)
     assert ids(kept) == [2, 3] and stay.count() == 2
+
+
+def test_packed_rows(spark):
+    """Names that clash, dots and backticks, maps in any depth; equal rows have one key, and a null differs from an empty text."""
+    df = spark.sql("SELECT * FROM VALUES (1, 'a', map('x', 1)), (1, 'a', map('x', 1)), (1, '', map('x', 1)), (1, null, map('x', 1)), (1, 'a', map('x', 2)), (null, 'a', null) AS t(key, row, m)")
+    df = df.withColumn("a.b", F.array(F.struct(F.create_map(F.lit(1), F.lit("v"))))).withColumn("c`d", F.lit(0))
+    rows = packed(df)
+    assert rows.columns == ["key", "row"] and rows.select("key").distinct().count() == 5 and {len(r.key) for r in rows.collect()} == {32}
+    back = unpacked(rows, df)
+    assert back.columns == df.columns and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
