@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import cut, parts_for
 
+#: Edges of a partition.
+EDGES = 200_000
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, files: int | None = None) -> DataFrame:
     """One row ``(node, component)`` for each node of ``edges``; component is the smallest node reachable.
 
     Every round links each node's larger neighbours to its smallest one, then its smaller
     neighbours to the smallest, until no edge changes. Degrees of hot nodes only meet
     aggregates with map-side combine and joins that Spark can split. Nulls and self-loops
-    are ignored; an empty table gives an empty one.
+    are ignored; an empty table gives an empty one. ``files`` is in how many files the edges are kept at first.
     """
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a <> b").distinct()
-    e = cut(e)
+    e = cut(e, files)
+    parts = parts_for(e.count(), EDGES)
     if e.isEmpty():
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
@@ -29,7 +33,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         # small star
         s = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(s, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = cut(small.where("a <> b").distinct())
+        e = cut(small.where("a <> b").distinct(), parts)  # edges only get fewer
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -28,10 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the shared folder, and forget its lineage."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Compute ``df`` once, keep it in the shared folder, and forget its lineage.
+
+    Each partition is a file there. Whoever knows how many rows there are gives ``parts``, so that a small frame that
+    comes out of a wide shuffle is a few files, without another shuffle.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+
+
+def parts_for(rows: int, each: int) -> int:
+    """How many partitions hold ``rows``, ``each`` at most, on a cluster of any size a few at least."""
+    return max(8, -(-rows // each))
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
