@@ -7,6 +7,10 @@ full texts, and SPDX lines. Weights come from the templates alone, a term that i
 largest, so a file's licence does not depend on what else is scanned. A file's own licence is the
 best match of its passages at or above ``LEAST``.
 
+A cosine can't tell a licence from its sister that differs in a word. So a match counts only if the
+passage has the template's telling words (``MARKS``, such as "lesser" or "non-commercial") and no other,
+isn't a denial ("not licensed under"), and names the template's versions where it has any.
+
 By the Cauchy-Schwarz inequality, a passage without any of a template's ``anchors`` has a cosine
 below ``LEAST``: what is left of the template without them is too short. Passages without an
 anchor of any template are left out before they are weighed, and no match is lost.
@@ -36,7 +40,7 @@ LEAST = 0.7
 #: SPDX ids, notices as licences ask for them or as they are commonly worded, and short licence texts.
 SPDX = (
     "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only "
-    "GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+    "GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0"
 ).split()
 _MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
@@ -130,6 +134,23 @@ for _id, _fill in (
     ("AGPL-3.0", {"what": "program", "name": "Affero ", "version": "3"}),
 ):
     TEMPLATES += [(_id, _GNU.format(**_fill)), (_id, f"{_GNU} {_GNU_REST}".format(**_fill))]
+#: The titles that licence texts begin with.
+TEMPLATES += [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International Public License"),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License, CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License, CC BY-NC-SA 4.0."),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International Public License"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License, CC BY-ND 4.0."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
 TEMPLATES += [(re.sub("-(only|or-later)$", "", _id), f"SPDX-License-Identifier: {_id}") for _id in SPDX]
 
 #: Words so common that as anchors they would let through most lines of any text.
@@ -137,6 +158,10 @@ COMMON = frozenset(
     "all and any are but can damage deal even file files for from have however into its law list loss may met more must name names nor not one other out over see sell shall should such that "
     "the their there these they this those use used was way were what which will with work would you your".split()
 )
+#: Words that tell a licence from its sisters, a denial, and versions.
+MARKS = r"lesser|affero|noderiv[a-z]*|non-?commercial|share-?alike|by-n[cd](?:-[a-z]+)?|by-sa"
+DENIAL = r"\bnot\b"
+VERSION = r"[0-9]+\.[0-9]+"
 _LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _GAP = r"\n[^\pL\pN\n]*\n"
@@ -172,18 +197,33 @@ def _terms(passage: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(passage), F.lit(_TERM), F.lit(0))
 
 
+def _found(passage: Column | str, pattern: str) -> Column:
+    """The different matches of a pattern in a passage, hyphens left out, in order."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(passage), F.lit(pattern), F.lit(0)), lambda x: F.replace(x, F.lit("-"), F.lit("")))))
+
+
+def telling(text: str) -> tuple[list[str], list[str], bool]:
+    """The telling words of a template, its versions, and whether it has a denial."""
+    every = lambda pattern: sorted({x.replace("-", "") for x in re.findall(pattern, text.lower())})
+    return every(MARKS), every(VERSION), bool(re.search(DENIAL, text.lower()))
+
+
 def match_passages(passages: DataFrame) -> DataFrame:
-    """``p1, p2, licence, similarity``: the best template of each passage of ``passages(p1, p2, passage)``."""
+    """``p1, p2, licence, similarity``: the best template of each passage of ``passages(p1, p2, passage)`` that says nothing else."""
     spark = passages.sparkSession
     known = spark.createDataFrame(list(IDF.items()), "term string, idf double")
     rows = [(k, TEMPLATES[k][0], t, w / math.sqrt(sum(x * x for x in ws.values()))) for k, ws in enumerate(WEIGHTS) for t, w in ws.items()]
     templates = spark.createDataFrame(rows, "template int, licence string, term string, tw double")
+    told = spark.createDataFrame([(k, *telling(text)) for k, (_, text) in enumerate(TEMPLATES)], "template int, t_marks array<string>, t_versions array<string>, t_denies boolean")
     terms = passages.select("p1", "p2", F.explode(_terms("passage")).alias("term")).groupBy("p1", "p2", "term").agg(F.count("*").alias("tf"))
     weight = ((1 + F.log("tf")) * F.coalesce("idf", F.lit(RAREST))).alias("w")
     weights = cut(terms.join(F.broadcast(known), "term", "left").select("p1", "p2", "term", weight))
     norm = weights.groupBy("p1", "p2").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = weights.join(F.broadcast(templates), "term").groupBy("p1", "p2", "licence", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cosine = dot.join(norm, ["p1", "p2"]).select("p1", "p2", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+    said = passages.select("p1", "p2", _found("passage", MARKS).alias("marks"), _found("passage", VERSION).alias("versions"), F.lower("passage").rlike(DENIAL).alias("denies"))
+    cosine = dot.join(norm, ["p1", "p2"]).join(said, ["p1", "p2"]).join(F.broadcast(told), "template")
+    cosine = cosine.where("marks = t_marks AND (size(t_versions) = 0 OR versions = t_versions) AND (t_denies OR NOT denies)")
+    cosine = cosine.select("p1", "p2", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
     best = F.min_by(F.struct("licence", "similarity"), F.struct(-F.col("similarity"), F.col("licence")))
     return cosine.groupBy("p1", "p2").agg(best.alias("b")).select("p1", "p2", "b.licence", "b.similarity")
 

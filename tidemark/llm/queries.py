@@ -115,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_TOLD_VALUES = ", ".join(f"({k}, {marks}::VARCHAR[], {versions}::VARCHAR[], {str(denies).lower()})" for k, (marks, versions, denies) in enumerate(licences.telling(text) for _, text in licences.TEMPLATES))
+_FOUND = "list_sort(list_distinct(list_transform(regexp_extract_all(lower(passage), '{}'), lambda x: replace(x, '-', ''))))"
 _TEMPLATE_VALUES = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(licences.TEMPLATES))
 
 ORACLES: dict[str, str] = {
@@ -137,8 +139,13 @@ ORACLES: dict[str, str] = {
             SELECT passage, term, (1 + ln(n)) * coalesce(idf, ln(1 + (SELECT count(DISTINCT k) FROM t)) + 1) AS w FROM pt LEFT JOIN idf USING (term)
         ), norms AS (
             SELECT passage, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1
+        ), said AS (
+            SELECT passage, {_FOUND.format(licences.MARKS)} AS marks, {_FOUND.format(licences.VERSION)} AS versions, regexp_matches(lower(passage), '{licences.DENIAL}') AS denies FROM norms
+        ), told AS (
+            SELECT * FROM (VALUES {_TOLD_VALUES}) v(k, t_marks, t_versions, t_denies)
         ), scores AS (
-            SELECT passage, licence, round(sum(w.w * tw.w / t_norm) / any_value(norm), 6) AS similarity FROM w JOIN tw USING (term) JOIN norms USING (passage) GROUP BY passage, licence, k
+            SELECT passage, licence, round(sum(w.w * tw.w / t_norm) / any_value(norm), 6) AS similarity FROM w JOIN tw USING (term) JOIN norms USING (passage) JOIN said USING (passage) JOIN told USING (k)
+            WHERE marks = t_marks AND (len(t_versions) = 0 OR versions = t_versions) AND (t_denies OR NOT denies) GROUP BY passage, licence, k
         ), own AS (
             SELECT text, named, licence, similarity FROM parts JOIN scores USING (passage) WHERE similarity >= {licences.LEAST}
             QUALIFY row_number() OVER (PARTITION BY text, named ORDER BY similarity DESC, licence) = 1
