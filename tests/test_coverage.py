@@ -17,7 +17,7 @@ UNCALLED = {"jdbc"}
 
 @pytest.fixture(scope="module")
 def calls():
-    files = [ROOT / "tidemark" / "queries.py", *(p for p in (ROOT / "tests").glob("test_*.py") if p.name != "test_coverage.py")]
+    files = [ROOT / "tidemark" / "queries.py", ROOT / "tidemark" / "flows.py", *(p for p in (ROOT / "tests").glob("test_*.py") if p.name != "test_coverage.py")]
     operators = list((ROOT / "tidemark").glob("operators/*.py")) + list((ROOT / "tidemark").glob("sources/*.py"))
     return "\n".join(p.read_text() for p in files), "\n".join(p.read_text() for p in operators)
 

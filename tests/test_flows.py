@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalogue, merge, scroll, states, tags, textindex
-from tidemark.plans.ordered import with_previous
+from tidemark.plans.ordered import numbered, with_previous
 from tidemark.sources import index_store, sinks, zips
 from tidemark.streaming import members
 
@@ -96,6 +96,30 @@ def test_repeated_and_null_keys(spark):
     assert sorted(map(tuple, merge.upsert(merge.upsert(old, new, "k", order="at"), new, "k", order="at").collect()), key=str) == [("A", 10), ("B", 3), ("C", 14), (None, 12)]
 
 
+def test_numbers_in_a_global_order(spark, scattered):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 2, None]), n) for n in range(300)]
+    got = numbered(spark.createDataFrame(rows, "a int, n int").repartition(9), "a", F.desc("n")).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, -r[1]))
+    assert [(r.a, r.n) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 301))
+    assert numbered(spark.createDataFrame([], "a int"), "a").collect() == []
+
+
+def test_recheck_gate(spark):
+    now = F.lit("2024-03-10 12:00:00").cast("timestamp")
+    failed = spark.sql("SELECT url, timestamp(d) AS date_created FROM VALUES ('a', '2024-03-09'), ('b', '2024-03-01'), ('c', '2023-01-01'), ('d', null) AS t(url, d)")
+    urls = lambda **k: [(r.url, r.place, r.wave) for r in sorted(catalogue.recheck_plan(failed, now, 30, wave=1, **k).collect(), key=lambda r: r.place)]
+    ago = lambda h: F.timestamp_add("HOUR", F.lit(-h), now)
+    both = [("b", 1, 0), ("a", 2, 1)]
+    assert urls() == both and urls(last_check=ago(23)) == [] and urls(last_check=ago(23), forced=True) == both and urls(last_check=ago(24)) == both and urls(last_check=F.lit(None).cast("timestamp")) == both
+
+
+def test_metadata_in_order(spark):
+    rows = spark.createDataFrame([(1, "n", "s", "z", 1), (1, "n", "s", "a", 2), (1, "n", "s", "", 3)], "image_id long, name string, source string, value string, at int")
+    old = rows.limit(0).drop("at")
+    assert [r.value for r in catalogue.upsert_metadata(old, rows, "at").collect()] == ["a"] and [r.value for r in catalogue.upsert_metadata(old, rows).collect()] == ["z"]
+
+
 def test_transitions(spark, scattered):
     rng = random.Random(8)
     names = [*states.UPLOAD, "nonsense", None]

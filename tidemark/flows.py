@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import catalogue, ingest, merge, scroll, states, tags, textindex
 from tidemark.plans.lineage import new_table_path
-from tidemark.queries import query
+from tidemark.queries import NOW, at, query
 from tidemark.sources import avro, index_store, readers
 from tidemark.sources.adapter import HOST
 
@@ -190,6 +190,28 @@ def upload_transitions(c):
     return states.transitions(c["status_event"], "upload", ["id"], "status")
 
 
+# The recheck of failed URLs (ST5)
+
+_FAILED = "SELECT url, min(date_created) AS date_created, max(http_status) AS http_status FROM failed_upload GROUP BY 1"
+
+
+@query(
+    f"SELECT url, place, (place - 1) // 10 AS wave FROM (SELECT url, row_number() OVER (ORDER BY date_created, url) AS place FROM ({_FAILED}) WHERE date_created >= timestamp '{NOW}' - to_days(12))", "failed_upload"
+)
+def recheck_plan(c):
+    rows = c["failed_upload"].groupBy("url").agg(F.min("date_created").alias("date_created"))
+    return catalogue.recheck_plan(rows, at(NOW), 12, last_check=F.timestamp_add("DAY", F.lit(-2), at(NOW))).select("url", "place", "wave")
+
+
+@query(
+    f"SELECT count(*) AS checked, count(*) FILTER (http_status % 2 = 0) AS removed, count(*) FILTER (http_status % 7 = 0) AS errors FROM ({_FAILED}) WHERE date_created >= timestamp '{NOW}' - to_days(12)", "failed_upload"
+)
+def recheck_counts(c):
+    rows = c["failed_upload"].groupBy("url").agg(F.min("date_created").alias("date_created"), F.max("http_status").alias("http_status"))
+    checked = catalogue.recheck_failed(rows, rows.where("http_status % 2 = 0"), at(NOW), 12)
+    return catalogue.recheck_counts(checked.withColumn("error", F.col("http_status") % 7 == 0))
+
+
 # Nested tags (TG9)
 
 _NODE = """'{{"name":"' || {name} || '","text":"' || {name} || '","children":[' || {children} || '],"icon":false,"tagId":' || {id} || ',"state":{{"disabled":' || CASE WHEN {stored} THEN 'false' ELSE 'true' END || '}}}}'"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import text
+from tidemark.plans.ordered import numbered
 
 METADATA_MAX = 8000
 #: Most columns of the harvest table, and the sources whose items it shows.
@@ -163,12 +164,15 @@ def metadata_values(metadata: DataFrame, images: DataFrame, key: str, source: st
     return rows.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi").select("image_id", "value")
 
 
-def upsert_metadata(current: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_metadata(current: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """Items by (image, name, source): new values replace old ones; blank or overlong new values are skipped (MU3, FN20).
 
-    A null in a key equals a null. Of several new values of one key the largest is taken; items that repeat a key become one.
+    A null in a key equals a null. Of several new values of one key the last by ``order`` is taken, without one the largest;
+    items that repeat a key become one.
     """
-    new = incoming.select("image_id", "name", "source", text.sanitise_value("value").alias("new")).where((F.col("new") != "") & (F.length("new") <= METADATA_MAX))
+    at = F.struct(F.col(order) if order else F.lit(0), F.col("new"))
+    new = incoming.select("image_id", "name", "source", *([order] if order else []), text.sanitise_value("value").alias("new")).where((F.col("new") != "") & (F.length("new") <= METADATA_MAX))
+    new = new.groupBy("image_id", "name", "source").agg(F.max_by("new", at).alias("new"))
     both = current.select("image_id", "name", "source", F.col("value").alias("old"), F.lit(None).cast("string").alias("new")).unionByName(new.withColumn("old", F.lit(None).cast("string")))
     return both.groupBy("image_id", "name", "source").agg(F.coalesce(F.max("new"), F.max("old")).alias("value"))
 
@@ -221,6 +225,24 @@ def recheck_failed(failed: DataFrame, reachable: DataFrame, now: Column, max_age
     return failed.join(found, "url", "left").withColumn("action", action).drop("__found")
 
 
+def recheck_plan(failed: DataFrame, now: Column, max_age: int, last_check: Column | None = None, interval: int = 1, forced: bool = False, wave: int = 10) -> DataFrame:
+    """Failed URLs that are due for a check, with their ``place`` from the oldest on, and the ``wave`` that they go in (ST5).
+
+    Nothing is due within ``interval`` days of the last check, unless it is forced; URLs that failed more than ``max_age``
+    days ago are never due. Requests go in waves of so many, with a pause after each.
+    """
+    since = F.timestamp_add("DAY", F.lit(-max_age), now)
+    open_gate = F.lit(True) if forced or last_check is None else F.coalesce(F.timestamp_add("DAY", F.lit(interval), last_check) <= now, F.lit(True))
+    due = numbered(failed.where(open_gate & (F.col("date_created") >= since)), "date_created", "url")
+    return due.withColumn("wave", F.floor((F.col("place") - 1) / wave))
+
+
+def recheck_counts(checked: DataFrame) -> DataFrame:
+    """``checked, removed, errors`` of a check, from what ``recheck_failed`` says of each URL and whether the request itself failed."""
+    done = F.col("action") != "kept unchecked"
+    return checked.agg(F.count_if(done).alias("checked"), F.count_if(F.col("action") == "removed").alias("removed"), F.count_if(done & F.col("error")).alias("errors"))
+
+
 def known_failed(urls: DataFrame, failed: DataFrame) -> DataFrame:
     """URLs that failed before (FL26)."""
     return urls.join(failed.select("url"), "url", "left_semi")

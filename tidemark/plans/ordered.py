@@ -19,6 +19,18 @@ def sorted_runs(df: DataFrame, *order: str | Column, number: str = "__p") -> Dat
     return cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(number, F.spark_partition_id())
 
 
+def numbered(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
+    """``df`` with the place of each row in a global order, from 1: a partition numbers its own rows, from where the ones before it end."""
+    runs = sorted_runs(df, *order)
+    before, offsets = 0, {}
+    for r in runs.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect():  # a row a partition
+        offsets[r["__p"]], before = before, before + r.n
+    if not offsets:
+        return runs.drop("__p").withColumn(name, F.lit(0).cast("long"))
+    first = F.element_at(F.create_map(*(F.lit(x).cast(t) for p, n in offsets.items() for x, t in ((p, "int"), (n, "long")))), F.col("__p"))
+    return runs.withColumn(name, F.row_number().over(W.partitionBy("__p").orderBy(*order)) + first).drop("__p")
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str, previous: str) -> DataFrame:
     """``df`` with the ``value`` of the row before in its key as ``previous``, a struct ``(v)``; null for a key's first row.
 
