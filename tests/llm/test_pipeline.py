@@ -59,10 +59,11 @@ ODD = [(1, None, None, None), (2, "", "en", "a"), (None, None, "en", "b"), (3, "
 def test_odd_rows(spark, docs, tiny, k):
     """Null and empty texts, null and repeated ids, a very long text, ties, clashing columns, and no rows at all."""
     name, stage = corpus_pipeline.STAGES[k]
-    clash = ("label", "score", "kept", "size", "key", "ids", "taken", "component_id", "__x")
+    clash = ("label", "score", "kept", "size", "key", "ids", "taken", "component_id", "__x", "__key", "__times", "__rows", "__copy", "row", "times", "rows")
     df = docs(ODD)
     for c in clash:
         df = df.withColumn(c, F.lit(c))
+    df = df.withColumn("map", F.create_map(F.lit("k"), "doc_id")).withColumn("deep", F.array(F.struct(F.create_map(F.lit(1), F.lit("v")))))
     for rows in (df, df.limit(0)):
         path = new_table_path(spark, "odd")
         stage(spark, rows, tiny).write.parquet(path)

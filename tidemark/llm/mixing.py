@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.plans.lineage import cut
-from tidemark.plans.rows import row_key
+from tidemark.plans.rows import packed, unpacked
 
 #: Words in a block.
 BLOCK = 32
@@ -106,7 +106,7 @@ def schedule(stretches: DataFrame, total: int) -> DataFrame:
 
 def _mix(docs: DataFrame, weights: Sequence[float], share: float, cap: float, block: int) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
-    base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    base = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
     base = base.withColumn("row", F.monotonically_increasing_id())
     sources = source_targets(base.groupBy("source").agg(F.sum("size").alias("n")), weights, share, cap)
     # A pass over a source takes all its blocks, of which the last may be short; the rest of its target ends inside one.
@@ -139,7 +139,7 @@ def _mix(docs: DataFrame, weights: Sequence[float], share: float, cap: float, bl
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for each row of ``docs(doc_id, source, text)``."""
-    return _mix(docs, weights, share, cap, block).drop("times")
+    return _mix(docs.withColumn("doc_id", F.col("doc_id").cast("long")), weights, share, cap, block).drop("times")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
@@ -148,12 +148,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     Rows go by ``row_key``, so null and repeated ids are documents of their own; rows that are equal in all columns
     come as often as the mix takes them together. Documents without words are in no block and never come.
     """
-    keyed = docs.withColumn("__key", row_key(docs))
-    taken = _mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text"), weights, share, cap, block)
-    times = taken.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
-    times = cut(times.where("__times > 0"))
-    joined = keyed.join(times.where("__rows = 1"), "__key")
-    equal = times.where("__rows > 1")
+    rows = packed(docs)
+    taken = _mix(rows.select(F.col("key").alias("doc_id"), F.col("row").getField("source").alias("source"), F.col("row").getField("text").alias("text")), weights, share, cap, block)
+    times = taken.groupBy(F.col("doc_id").alias("key")).agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    times = cut(times.where("times > 0"))
+    joined = rows.join(times.where("rows = 1"), "key")
+    equal = times.where("rows > 1")
     if not equal.isEmpty():
-        joined = joined.unionByName(keyed.join(equal, "__key").dropDuplicates(["__key"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+        joined = joined.unionByName(rows.join(equal, "key").dropDuplicates(["key"]))
+    return unpacked(joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))), docs)

@@ -20,7 +20,7 @@ rule out most documents. Buckets that are still open get ``LEADERS`` leaders mor
 smallest components first, then that many times as many, until each is settled. Every pair of a bucket is so confirmed, or is proven apart, or lies in one component.
 
 Defined results: a null or empty text has an empty set, is in a class of its own and linked
-to nothing. Rows are told apart by their own number, so null and repeated ids are documents
+to nothing. Ids are of any type that sorts. Rows are told apart by their own number, so null and repeated ids are documents
 of their own: ``component_id`` is the smallest id reachable, null if there is none, and then
 one row of the component is kept. Rows that share the id of the component are all kept.
 Extra columns are ignored. An empty table gives an empty one.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.llm import words
 from tidemark.plans.components import connected_components
-from tidemark.plans.lineage import cut, new_table_path
+from tidemark.plans.lineage import cut, new_table_path, parts_for
 
 #: Hash functions; each gives a minimum and a maximum.
 PERMUTATIONS = 64
@@ -48,6 +48,8 @@ BAND = 4
 RARE = 8
 #: Leaders of a bucket that the first leader and the rare shingles leave open.
 LEADERS = 64
+#: Documents whose rows of any intermediate table lie in one file.
+DOCS = 25_000
 #: Most row numbers that are broadcast to pick out texts; beyond, texts are shuffled.
 BROADCAST = 500_000
 
@@ -163,15 +165,15 @@ def _texts_of(rows: DataFrame, most: int, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(rows) if most <= BROADCAST else rows, "row", "left_semi")
 
 
-def _confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, files: int) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full sets are similar, with ``linked``, and the others."""
-    pairs = cut(pairs)
+    pairs = cut(pairs, files)
     n = pairs.count()
     if n == 0:
         return pairs.withColumn("linked", F.lit(False))
     used = _texts_of(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), 2 * n, texts)
     both = pairs.join(used.withColumnsRenamed({"row": "v", "text": "v_text"}), "v").join(used.withColumnsRenamed({"row": "u", "text": "u_text"}), "u")
-    return cut(both.select("u", "v", "u_text", "v_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean"))
+    return cut(both.select("u", "v", "u_text", "v_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean"), files)
 
 
 def _left(df: DataFrame, *same: str) -> DataFrame:
@@ -182,43 +184,43 @@ def _fits(n: str, other: str, percent: int) -> str:
     return f"100 * least({n}, {other}) >= {percent} * greatest({n}, {other})"
 
 
-def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, parts: DataFrame, files: int) -> DataFrame:
     rows = rows.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    return cut(rows.withColumn("component", F.coalesce("component", "rep")))
+    return cut(rows.withColumn("component", F.coalesce("component", "rep")), files)
 
 
-def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, parts: DataFrame, files: int) -> DataFrame:
     """Rows of the buckets that lie in several components, with the component of each."""
-    rows = _labelled(rows, parts)
+    rows = _labelled(rows, parts, files)
     keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return cut(rows.join(cut(keys), "key", "left_semi"))
+    return cut(rows.join(cut(keys, files), "key", "left_semi"), files)
 
 
-def _open(rows: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _open(rows: DataFrame, parts: DataFrame, percent: int, files: int) -> DataFrame:
     """Rows whose bucket may hold a partner in another component: one that is small enough, and has room enough.
 
     Of buckets with the same rows, one is enough. ``size`` is that of a row's component in its bucket.
     """
-    rows = _labelled(rows.drop("size"), parts)
-    groups = cut(rows.groupBy("key", "component").agg(F.min("n").alias("least"), F.max("room").alias("most"), F.count("*").alias("size")))
+    rows = _labelled(rows.drop("size"), parts, files)
+    groups = cut(rows.groupBy("key", "component").agg(F.min("n").alias("least"), F.max("room").alias("most"), F.count("*").alias("size")), files)
     ends = groups.groupBy("key").agg(F.min(F.struct("least", "component")).alias("a"), F.max(F.struct("most", "component")).alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
     others = groups.join(ends, "key").groupBy("key", "a", "b").agg(F.expr("min(least) FILTER (WHERE component <> a.component)").alias("a2"), F.expr("max(most) FILTER (WHERE component <> b.component)").alias("b2"))
     least, most = F.expr("if(component = a.component, a2, a.least)"), F.expr("if(component = b.component, b2, b.most)")
-    known = rows.join(cut(others), "key").withColumn("least", least).withColumn("most", most)
-    known = cut(known.where(f"{percent} * least <= room and {percent} * n <= most").select(rows.columns).join(groups.select("key", "component", "size"), ["key", "component"]))
+    known = rows.join(cut(others, files), "key").withColumn("least", least).withColumn("most", most)
+    known = cut(known.where(f"{percent} * least <= room and {percent} * n <= most").select(rows.columns).join(groups.select("key", "component", "size"), ["key", "component"]), files)
     same = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit("row"), "rep")).alias("y"), F.count("*").alias("c")]
     keys = known.groupBy("key").agg(*same).groupBy("x", "y", "c").agg(F.min("key").alias("key"))
-    return cut(known.join(cut(keys.select("key")), "key", "left_semi"))
+    return cut(known.join(cut(keys.select("key"), files), "key", "left_semi"), files)
 
 
-def _rare_pairs(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _rare_pairs(rows: DataFrame, texts: DataFrame, shingle: int, percent: int, files: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that may be linked by the rare shingles that they share; and ``(rep, room)``: what a partner's size times ``percent`` may be if they share none."""
-    members = cut(rows.select("rep", "n", "component").distinct())
-    known = cut(_texts_of(members.select(F.col("rep").alias("row")), members.count(), texts).mapInArrow(_terms(shingle), "rep long, s long"))
-    often = cut(known.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") <= RARE))
-    rare = cut(known.join(often, "s"))
+    members = cut(rows.select("rep", "n", "component").distinct(), files)
+    known = cut(_texts_of(members.select(F.col("rep").alias("row")), members.count(), texts).mapInArrow(_terms(shingle), "rep long, s long"), files)
+    often = cut(known.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") <= RARE), files)
+    rare = cut(known.join(often, "s"), files)
     outside = rare.groupBy("rep").agg(F.count("*").alias("out"))
-    members = cut(members.join(outside, "rep", "left").withColumn("m", F.col("n") - F.coalesce("out", F.lit(0))).drop("out"))
+    members = cut(members.join(outside, "rep", "left").withColumn("m", F.col("n") - F.coalesce("out", F.lit(0))).drop("out"), files)
     met = rare.where("often > 1").select("s", "rep").join(members, "rep")
     pairs = _left(met, "s").join(met, "s").where(f"l_rep < rep and l_component <> component and {_fits('n', 'l_n', percent)}")
     pairs = pairs.groupBy("l_rep", "rep", "n", "l_n", "m", "l_m").agg(F.count("*").alias("c"))
@@ -233,63 +235,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ``component_id`` is the smallest id reachable over links, and ``kept`` marks that document.
     """
     spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "sketches")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = docs.mapInArrow(_sketch(shingle), "doc_id long, text string, n_shingles long, k1 long, k2 long, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    sketches = docs.mapInArrow(_sketch(shingle), f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>")
     sketches.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     base = spark.read.parquet(path)
     texts = base.select("row", "text")
+    files = parts_for(base.count(), DOCS)
     full = base.where("n_shingles > 0")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = cut(full.groupBy("k1", "k2").agg(first.alias("f")).select("k1", "k2", F.col("f.row").alias("rep"), "f.doc_id"))
+    classes = cut(full.groupBy("k1", "k2").agg(first.alias("f")).select("k1", "k2", F.col("f.row").alias("rep"), "f.doc_id"), files)
     reps = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     buckets = reps.select(F.explode("bands").alias("key"), F.col("row").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    rows = cut(buckets.join(shared, "key"))
-    central = cut(rows.groupBy("rep").agg(F.sum("members").alias("central")))
-    rows = cut(rows.drop("members").join(central, "rep"))
+    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), files)
+    rows = cut(buckets.join(shared, "key"), files)
+    central = cut(rows.groupBy("rep").agg(F.sum("members").alias("central")), files)
+    rows = cut(rows.drop("members").join(central, "rep"), files)
 
     rank = F.struct("central", F.xxhash64("rep"))
-    leaders = cut(rows.groupBy("key").agg(F.max_by(F.struct("rep", "n"), rank).alias("l")).select("key", F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n")))
+    leaders = cut(rows.groupBy("key").agg(F.max_by(F.struct("rep", "n"), rank).alias("l")).select("key", F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n")), files)
     found = rows.join(leaders, "key").where(f"rep <> l_rep and {_fits('n', 'l_n', percent)}")
-    checked = _confirm_pairs(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct(), texts, shingle, percent)
-    parts = connected_components(checked.where("linked").select("u", "v"))
+    checked = _confirm_pairs(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct(), texts, shingle, percent, files)
+    parts = connected_components(checked.where("linked").select("u", "v"), files=files)
 
     fresh = False  # links that the components don't have yet
 
     def settle(pairs: DataFrame, join: bool) -> None:
         nonlocal checked, parts, fresh
-        more = _confirm_pairs(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"), texts, shingle, percent)
+        more = _confirm_pairs(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"), texts, shingle, percent, files)
         checked = checked.unionByName(more)
         fresh = fresh or not more.where("linked").isEmpty()
         if join and fresh:
-            parts, fresh = connected_components(checked.where("linked").select("u", "v")), False
+            parts, fresh = connected_components(checked.where("linked").select("u", "v"), files=files), False
 
-    rows = _mixed(rows.join(leaders.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti"), parts)
+    rows = _mixed(rows.join(leaders.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti"), parts, files)
     if not rows.isEmpty():
-        pairs, room = _rare_pairs(rows, texts, shingle, percent)
+        pairs, room = _rare_pairs(rows, texts, shingle, percent, files)
         settle(pairs, join=False)
         cell = F.floor(F.log("n") / (1.0001 * math.log(100 / percent)))  # sizes of similar sets are in one cell or in two next to each other
         rows = rows.join(room, "rep").withColumn("key", F.explode(F.array(F.xxhash64("key", cell), F.xxhash64("key", cell + 1))))
-        rows, led = _open(rows, parts, percent), LEADERS
+        rows, led = _open(rows, parts, percent, files), LEADERS
         while not rows.isEmpty():
             keys = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # a document has two for each band at most
-            wide = cut(rows.join(keys, "rep"))
+            wide = cut(rows.join(keys, "rep"), files)
             place = F.row_number().over(W.partitionBy("key").orderBy("size", F.desc("central"), F.desc(F.xxhash64("rep"))))
-            lead = cut(wide.withColumn("place", place).where(F.col("place") <= led).drop("place", "central"))
+            lead = cut(wide.withColumn("place", place).where(F.col("place") <= led).drop("place", "central"), files)
             fits = f"component <> l_component and {_fits('n', 'l_n', percent)} and {percent} * n <= l_room and {percent} * l_n <= room"
             found = _left(lead, "key").join(wide, "key").where(f"{fits} and array_min(array_intersect(keys, l_keys)) = key")  # each pair in one bucket only
             settle(found.select(F.least("l_rep", "rep").alias("u"), F.greatest("l_rep", "rep").alias("v")).distinct(), join=True)
             rest = rows.join(lead.select("key", "rep"), ["key", "rep"], "left_anti")
-            rows, led = _open(rest, parts, percent), LEADERS * led
+            rows, led = _open(rest, parts, percent, files), LEADERS * led
         if fresh:
-            parts = connected_components(checked.where("linked").select("u", "v"))
+            parts = connected_components(checked.where("linked").select("u", "v"), files=files)
 
     known = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = cut(known)
+    known = cut(known, files)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep"))
-    named = cut(known.groupBy("component").agg(first.alias("f")).select("component", F.col("f.doc_id").alias("component_id"), F.col("f.rep").alias("keeper")))
-    named = cut(known.drop("doc_id").join(named, "component").select("k1", "k2", "component_id", "keeper"))
+    named = cut(known.groupBy("component").agg(first.alias("f")).select("component", F.col("f.doc_id").alias("component_id"), F.col("f.rep").alias("keeper")), files)
+    named = cut(known.drop("doc_id").join(named, "component").select("k1", "k2", "component_id", "keeper"), files)
     out = base.select("doc_id", "n_shingles", "k1", "k2", "row")
     linked = out.where("n_shingles > 0").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row") == F.col("keeper"))).alias("kept"))
     alone = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
