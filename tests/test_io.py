@@ -100,3 +100,14 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted(got) == [1, 2]
     assert spark.read.parquet(str(tmp_path / "ledger")).agg(F.sum("items")).first()[0] == 3
+
+
+def test_jdbc(spark, tmp_path):
+    """A table of the database that comes with Spark, read in four parts and in blocks of ten rows."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url, driver = "jdbc:derby:memory:readers;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("id", "concat('t', id) AS title").write.jdbc(url, "image", properties={"driver": driver})
+    rows = readers.jdbc(spark, url, "image", fetch=10, driver=driver, partitionColumn="ID", lowerBound="0", upperBound="100", numPartitions="4")
+    assert rows.rdd.getNumPartitions() == 4 and sorted(tuple(r) for r in rows.collect()) == [(i, f"t{i}") for i in range(100)]
+    some = readers.jdbc(spark, url, '(SELECT * FROM image WHERE "id" > 90) t', driver=driver)
+    assert some.count() == 9

@@ -128,8 +128,9 @@ def ordered(df: DataFrame, sort: str | None = None, order: str = "asc") -> DataF
 
 
 def index_fields(index: DataFrame) -> DataFrame:
-    """Names and types of the index's fields (SC20)."""
-    return index.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in index.schema], "field string, kind string")
+    """Names and types of the index's fields, and in how many documents each has a value (SC20)."""
+    cells = F.array(*(F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("kind"), F.col(f.name).isNotNull().cast("long").alias("filled")) for f in index.schema))
+    return index.select(F.inline(cells)).groupBy("field", "kind").agg(F.sum("filled").alias("filled"))
 
 
 def facets(df: DataFrame, fields: list[str], top: int = FACET_TOP) -> DataFrame:
@@ -164,6 +165,11 @@ def by_file_name(images: DataFrame, name: str) -> DataFrame:
     return images.where(F.ilike(F.col("original_filename"), F.lit(pattern)) if "%" in pattern else F.col("original_filename") == pattern)
 
 
+def by_file_names(images: DataFrame, names: DataFrame) -> DataFrame:
+    """Images that have any of some file names (FL36)."""
+    return images.join(names.select(F.col("name").alias("original_filename")).distinct(), "original_filename", "left_semi")
+
+
 def found_and_missing(images: DataFrame, ids: DataFrame) -> DataFrame:
     """Each requested identifier and whether there is such an image (JN23, SO5)."""
     have = images.select("image_identifier").distinct().withColumn("found", F.lit(True))

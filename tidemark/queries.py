@@ -574,7 +574,11 @@ def by_identifier(c):
 INDEXED = ("imageIdentifier", "format", "fileSize", "harvestable", "fileType")
 
 
-@query("SELECT * FROM (VALUES ('imageIdentifier', 'string'), ('format', 'string'), ('fileSize', 'bigint'), ('harvestable', 'boolean'), ('fileType', 'string')) t(field, kind)")
+@query(
+    "SELECT field, kind, CAST(filled AS BIGINT) AS filled FROM (SELECT unnest(['imageIdentifier', 'format', 'fileSize', 'harvestable', 'fileType']) AS field, unnest(['string', 'string', 'bigint', 'boolean', 'string']) AS kind, "
+    "unnest([count(image_identifier), count(mime_type), count(file_size), count(harvestable), count(mime_type)]) AS filled FROM image WHERE date_deleted IS NULL)",
+    "image",
+)
 def index_fields(c):
     return search.index_fields(exports.export_index(_recognised(c), c["license"]).select(*INDEXED))
 
@@ -795,4 +799,4 @@ def admission(c):
     return c["image"].select("id", urls.starts_with_any("original_filename", ["https://user", "ftp://x"]).alias("known"), urls.is_uuid(F.when(F.col("id") % 3 == 0, dashed).otherwise(F.col("image_identifier"))).alias("uuid"), media.is_class("mime_type", "image").alias("allowed"))
 
 
-from tidemark import flows  # noqa: E402, F401  registers its queries
+from tidemark import flows, values  # noqa: E402, F401  register their queries

@@ -82,6 +82,7 @@ def relations(dialect: str) -> dict[str, str]:
         "batch_log": f"""
             SELECT event_id AS id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS image_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS audience,
                 CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'press ' || cast(event_id % 2 AS {text}) END AS publisher FROM events""",
+        "nations": "SELECT n_nationkey, n_name FROM nation",
         "partner": f"SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 3 THEN NULL ELSE 'src' || cast(s_nationkey AS {text}) END AS uid, s_name AS name FROM supplier",
         "status_event": """
             SELECT event_id AS id, user_id AS upload, CASE event_id % 9 WHEN 0 THEN 'UNZIPPED' WHEN 1 THEN 'WAITING_PROCESSING' WHEN 2 THEN 'LOADING' WHEN 3 THEN 'PARTIALLY_COMPLETE' WHEN 4 THEN 'COMPLETE'

@@ -11,6 +11,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", escape: str = '"', gzip:
     """CSV with a header and every field quoted (SK1 to SK3, SK11, SK16, SK17); arrays become text."""
     out = df.select(*(F.array_join(f.name, ",").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema))
     w = out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("sep", sep).option("escape", escape)
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (w.option("compression", "gzip") if gzip else w).csv(path)
 
 
