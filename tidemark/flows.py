@@ -157,6 +157,30 @@ def merge_values(c):
     return merge.merge_in_order(current, incoming, ["id"], "seq", ["audience", "publisher"], blanks="skip")
 
 
+_NAMED = """, name AS (SELECT url, arg_max(id, (date_uploaded, id)) AS id FROM (SELECT id, date_uploaded, unnest(list_distinct(list_append(coalesce(alternate_filename, []), original_filename))) AS url FROM image) GROUP BY url),
+    item AS (SELECT l.*, n.id FROM url_log l LEFT JOIN name n ON n.url = l.identifier WHERE trim(identifier) <> '')"""
+
+
+@query(
+    f"""{_NAMED},
+    step AS (SELECT *, lag(audience) OVER w AS a, lag(publisher) OVER w AS p FROM (SELECT id, seq, audience, publisher FROM item WHERE id IS NOT NULL UNION ALL SELECT id, -1, audience, publisher FROM image) WINDOW w AS (PARTITION BY id ORDER BY seq))
+    SELECT id, last(audience ORDER BY seq) AS audience, last(publisher ORDER BY seq) AS publisher, count(*) FILTER (seq >= 0) AS items,
+        count(*) FILTER (seq >= 0 AND (a IS DISTINCT FROM audience OR p IS DISTINCT FROM publisher)) AS updates FROM step GROUP BY id""",
+    "image", "url_log",
+)
+def batch_on_images(c):
+    """Images after a batch whose items name them by their own or alternate URLs."""
+    images, items = c["image"].select("id", "image_identifier", "date_uploaded", "original_filename", "alternate_filename", "audience", "publisher"), c["url_log"]
+    return ingest.apply_batch(images, items, "seq", ["audience", "publisher"])[0].select("id", "audience", "publisher", "items", "updates")
+
+
+@query(f"{_NAMED} SELECT identifier, seq FROM item WHERE id IS NULL", "image", "url_log")
+def batch_of_new(c):
+    """The batch's items whose URL no image has."""
+    images = c["image"].select("id", "image_identifier", "date_uploaded", "original_filename", "alternate_filename", "audience", "publisher")
+    return ingest.apply_batch(images, c["url_log"], "seq", ["audience", "publisher"])[1].select("identifier", "seq")
+
+
 @query(
     "SELECT uid, name FROM resource WHERE uid NOT IN (SELECT uid FROM partner WHERE uid IS NOT NULL) UNION ALL SELECT uid, arg_max(name, id) FROM partner GROUP BY uid",
     "resource", "partner",

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators import merge, search
+from tidemark.plans.lineage import cut
+
 #: Fields that a batch may set; a null in the batch overwrites (PJ14, MU6).
 FIELDS = ("audience", "contributor", "created", "creator", "description", "license", "publisher", "references", "rights", "rightsHolder", "source", "title", "type")
 #: Fields that single updates never touch.
@@ -44,6 +47,23 @@ def classify(items: DataFrame, catalogue: DataFrame, failed: DataFrame) -> DataF
     return rows.select("identifier", "md5", outcome.alias("outcome"))
 
 
+def resolved(items: DataFrame, images: DataFrame, url: str = "identifier") -> DataFrame:
+    """``items`` with ``image_id``: the newest image that has the item's URL as its own or as an alternate; null if none has (MU1, WN1)."""
+    found = search.latest_for_url(images, items.select(F.col(url).alias("url"))).select(F.col("url").alias(url), F.col("id").alias("image_id"))
+    return items.join(found, url, "left")
+
+
+def apply_batch(images: DataFrame, items: DataFrame, order: str, fields: list[str], url: str = "identifier", blanks: str = "overwrite") -> tuple[DataFrame, DataFrame]:
+    """Images after a batch, and the items whose URL no image has (MU1, MU6).
+
+    An item whose URL is known sets the fields of its image, item after item in their order (``merge.merge_in_order``); the others
+    are new, or known by their content, which ``classify`` and ``merge_content`` tell. An item without a URL is left out.
+    """
+    told = cut(resolved(items.where(F.trim(F.coalesce(url, F.lit(""))) != ""), images, url))
+    known = told.where(F.col("image_id").isNotNull()).drop("id").withColumnRenamed("image_id", "id")
+    return merge.merge_in_order(images, known, ["id"], order, fields, blanks), told.where(F.col("image_id").isNull()).drop("image_id")
+
+
 def counters(outcomes: DataFrame) -> DataFrame:
     """Errors, new images and metadata updates of a batch (AG13)."""
     n = lambda *names: F.count_if(F.col("outcome").isin(*names))

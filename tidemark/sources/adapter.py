@@ -82,6 +82,9 @@ def relations(dialect: str) -> dict[str, str]:
         "batch_log": f"""
             SELECT event_id AS id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS image_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS audience,
                 CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'press ' || cast(event_id % 2 AS {text}) END AS publisher FROM events""",
+        "url_log": f"""
+            SELECT event_id AS seq, CASE WHEN event_id % 89 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'https://alt.example.org/a/' || cast(user_id * 3 AS {text}) WHEN event_id % 31 = 0 THEN 'https://new.example.org/' || cast(event_id AS {text})
+                ELSE 'https://user:pw@files.example.org/' || cast(user_id AS {text}) END AS identifier, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS audience, 'press ' || cast(event_id % 4 AS {text}) AS publisher FROM events""",
         "nations": "SELECT n_nationkey, n_name FROM nation",
         "partner": f"SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 3 THEN NULL ELSE 'src' || cast(s_nationkey AS {text}) END AS uid, s_name AS name FROM supplier",
         "status_event": """
