@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import catalogue, ingest, merge, scroll, states, tags, textindex
+from tidemark.operators import catalogue, ingest, merge, optimise, scroll, states, tags, textindex
 from tidemark.plans.lineage import new_table_path
 from tidemark.queries import NOW, at, query
 from tidemark.sources import avro, index_store, readers
@@ -236,6 +236,39 @@ def recheck_counts(c):
     return catalogue.recheck_counts(checked.withColumn("error", F.col("http_status") % 7 == 0))
 
 
+# Outputs of optimisation tools (MD4), and jobs that ran out of time (ST4)
+
+_STAGES = [optimise.Stage({"minBytes": 9000, "contentTypes": ["image/"]}), optimise.Stage({"minBytesByFormat": {"webp": 20000}}, allow_lossy=True), optimise.Stage({"alpha": True})]
+
+
+@query(
+    f""", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stage, step, bytes, ok, lossy, always, larger, target_format NULLS FIRST) AS n FROM tool_result),
+    run AS (
+        WITH RECURSIVE walk(n, id, width, height, content_type, alpha, stage, inside, bytes, format, taken, warnings) AS (
+            SELECT 0, id, width, height, content_type, alpha, CAST(-1 AS BIGINT), false, bytes, format, 0, 0 FROM tool_input WHERE bytes > 5000
+            UNION ALL SELECT n, id, width, height, content_type, alpha, stage, inside, CASE WHEN take THEN out ELSE bytes END, CASE WHEN take THEN coalesce(target_format, format) ELSE format END, taken + take::INT, warnings + (ran AND NOT take)::INT FROM (
+                SELECT *, ran AND ok AND out > 0 AND (always OR larger OR out <= bytes) AS take FROM (
+                    SELECT *, inside AND (NOT lossy OR stage = 1) AS ran FROM (
+                        SELECT r.n, w.id, w.width, w.height, w.content_type, w.alpha, r.stage, w.bytes, w.format, w.taken, w.warnings, r.bytes AS out, r.ok, r.lossy, r.always, r.larger, r.target_format,
+                            CASE WHEN w.stage = r.stage THEN w.inside WHEN r.stage = 0 THEN w.bytes >= 9000 AND w.content_type LIKE 'image/%' WHEN r.stage = 1 THEN w.format <> 'webp' OR w.bytes >= 20000 ELSE coalesce(w.alpha, false) END AS inside
+                        FROM walk w JOIN r ON r.id = w.id AND r.n = w.n + 1))) s
+        ) SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1
+    ) SELECT i.id, i.bytes, coalesce(run.bytes, i.bytes) AS bytes_after, coalesce(run.format, i.format) AS format_after, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(warnings, 0) AS BIGINT) AS warnings, i.bytes <= 5000 AS skipped FROM tool_input i LEFT JOIN run ON run.id = i.id""",
+    "tool_result", "tool_input",
+)
+def optimised_files(c):
+    return optimise.accepted(c["tool_input"], c["tool_result"], _STAGES, skip_bytes=5000)
+
+
+_LATE = f"date_created + to_minutes(expected_minutes) < timestamp '{NOW}'"
+
+
+@query(f"SELECT 'left' AS what, id, image_id FROM job WHERE NOT ({_LATE}) UNION ALL SELECT DISTINCT 'queued', NULL, image_id FROM job WHERE {_LATE} AND kind = 'TMSTile'", "job")
+def requeued_jobs(c):
+    left, queued = ingest.requeue_overdue(c["job"], at(NOW))
+    return left.select(F.lit("left").alias("what"), "id", "image_id").unionByName(queued.select(F.lit("queued").alias("what"), F.lit(None).cast("long").alias("id"), "image_id"))
+
+
 # Nested tags (TG9)
 
 _NODE = """'{{"name":"' || {name} || '","text":"' || {name} || '","children":[' || {children} || '],"icon":false,"tagId":' || {id} || ',"state":{{"disabled":' || CASE WHEN {stored} THEN 'false' ELSE 'true' END || '}}}}'"""

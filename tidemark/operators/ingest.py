@@ -217,6 +217,12 @@ def overdue(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where(F.timestamp_add("MINUTE", F.col("expected_minutes").cast("int"), F.col("date_created")) < now)
 
 
+def requeue_overdue(jobs: DataFrame, now: Column, kinds: tuple[str, ...] = ("TMSTile",)) -> tuple[DataFrame, DataFrame]:
+    """Jobs that are left, and what goes back to the queue: overdue jobs go, and their images are queued again if the job is of one of ``kinds`` (ST4)."""
+    late = F.coalesce(F.timestamp_add("MINUTE", F.col("expected_minutes").cast("int"), F.col("date_created")) < now, F.lit(False))
+    return jobs.where(~late), jobs.where(late & F.col("kind").isin(*kinds)).select("image_id", "kind").distinct()
+
+
 def set_status(rows: DataFrame, key: str, value: object, status: str) -> DataFrame:
     """A status set where it differs (MU11)."""
     return rows.withColumn("status", F.when((F.col(key) == value) & (F.col("status") != status), status).otherwise(F.col("status")))

@@ -85,6 +85,14 @@ def relations(dialect: str) -> dict[str, str]:
         "url_log": f"""
             SELECT event_id AS seq, CASE WHEN event_id % 89 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'https://alt.example.org/a/' || cast(user_id * 3 AS {text}) WHEN event_id % 31 = 0 THEN 'https://new.example.org/' || cast(event_id AS {text})
                 ELSE 'https://user:pw@files.example.org/' || cast(user_id AS {text}) END AS identifier, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS audience, 'press ' || cast(event_id % 4 AS {text}) AS publisher FROM events""",
+        "tool_result": f"""
+            SELECT l_orderkey AS id, cast(CASE WHEN l_linenumber <= 3 THEN 0 WHEN l_linenumber <= 6 THEN 1 ELSE 2 END AS bigint) AS stage, cast((l_linenumber - 1) % 3 AS bigint) AS step, l_returnflag <> 'R' AS ok, cast(floor(l_extendedprice) AS bigint) AS bytes,
+                l_linenumber % 4 = 0 AS lossy, l_partkey % 19 = 0 AS always, l_partkey % 5 = 0 AS larger, CASE WHEN l_partkey % 7 = 0 THEN 'webp' END AS target_format FROM lineitem""",
+        "tool_input": """
+            SELECT o_orderkey AS id, cast(floor(o_totalprice / 4) AS bigint) AS bytes, cast(o_orderkey % 4000 AS bigint) AS width, cast(o_custkey % 4000 AS bigint) AS height, CASE WHEN o_orderkey % 5 = 0 THEN 'audio/mpeg' ELSE 'image/png' END AS content_type,
+                CASE WHEN o_orderkey % 3 = 0 THEN 'jpeg' ELSE 'png' END AS format, o_orderkey % 2 = 0 AS animated, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 = 1 END AS alpha FROM orders""",
+        "job": """
+            SELECT o_orderkey AS id, cast(o_custkey AS bigint) AS image_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Thumbnail' ELSE 'TMSTile' END AS kind, cast(o_orderkey % 40000 AS int) AS expected_minutes, o_orderdate AS date_created FROM orders""",
         "nations": "SELECT n_nationkey, n_name FROM nation",
         "partner": f"SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 3 THEN NULL ELSE 'src' || cast(s_nationkey AS {text}) END AS uid, s_name AS name FROM supplier",
         "status_event": """
