@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.plans.lineage import cut
 
 #: Dimensions whose pairs are one set of expressions.
-TILE = 64
+TILE = 16
 #: Components that a row is projected on.
 COMPONENTS = 16
 _LEAST = 1e-12
