@@ -111,3 +111,32 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(path, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90}
+
+
+def test_texts_built_from_the_same_passages(docs, monkeypatch):
+    """300 documents of 38 out of 50 passages, all somewhat alike and none linked: few pairs are compared by their texts."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passages = [" ".join(word() for _ in range(14)) for _ in range(50)]
+    rows = [(i, "\n".join(p for k, p in enumerate(passages) if k in picked)) for i, picked in enumerate(set(rng.sample(range(50), 38)) for _ in range(300))]
+    rows += [(300, rows[0][1] + " end"), (301, rows[5][1].replace(passages[7], ""))]
+    compared, real = [], neardup._with_both
+
+    def counted(pairs, rows, most, texts, column):
+        if column == "text":
+            compared.append(pairs.count())
+        return real(pairs, rows, most, texts, column)
+
+    monkeypatch.setattr(neardup, "_with_both", counted)
+    got = near_duplicates(docs(rows), shingle=4, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(rows, 4, 80)
+    assert sum(compared) < 10 * len(rows)
+
+
+def test_least_agreement():
+    """The share of pairs of a similarity whose signatures agree less, by drawing them."""
+    rng = random.Random(1)
+    for j, loss in ((0.8, 0.01), (0.5, 0.1)):
+        least = neardup.least_agreement(j, 256, loss)
+        lost = sum(sum(rng.random() < j for _ in range(256)) < least for _ in range(3000)) / 3000
+        assert lost <= 1.5 * loss and neardup.least_agreement(j, 256, 2 * loss) >= least

@@ -6,7 +6,12 @@ largest value, so half the hash evaluations give a signature of the full length.
 the signature name buckets. Documents with equal sets are one class from the start, so
 copies never make pairs.
 
-A bucket is never expanded into pairs. Its most central member (whose buckets hold the most
+Before the texts of a pair are compared, its signatures are: of the ``2 * PERMUTATIONS`` values a byte
+each is kept, and a pair that agrees in fewer than ``least_agreement`` of them is apart, but for a
+probability of ``LOSS``. That is what keeps documents that are built from the same passages, and
+are all somewhat alike, from being compared by their texts.
+
+A bucket is not expanded into pairs at once. Its most central member (whose buckets hold the most
 members, as the original of a group of edited copies does) leads it, and all others are held
 against that one. What is left are pairs across components. Let a shingle that more than
 ``RARE`` of the documents concerned have be common, and m_x be the common ones of x; then
@@ -40,10 +45,12 @@ from tidemark.plans.components import connected_components
 from tidemark.plans.lineage import cut, new_table_path, parts_for
 
 #: Hash functions; each gives a minimum and a maximum.
-PERMUTATIONS = 64
-#: Values of the signature in a band. With 128 values a pair at similarity 0.8 shares no
+PERMUTATIONS = 128
+#: Bands, and values of the signature in each. A pair at similarity 0.8 shares no
 #: band with probability (1 - 0.8^4)^32 < 5e-8.
-BAND = 4
+BANDS, BAND = 32, 4
+#: The probability that a linked pair's signatures agree too little.
+LOSS = 1e-7
 #: Most documents that share a rare shingle.
 RARE = 8
 #: Leaders of a bucket that the first leader and the rare shingles leave open.
@@ -71,8 +78,19 @@ def minmax_signatures(sh: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_agreement(similarity: float, values: int = 2 * PERMUTATIONS, loss: float = LOSS) -> int:
+    """The most values that two sets of this similarity agree in but for a probability of ``loss``."""
+    below = 0.0
+    for k in range(values + 1):
+        below += math.comb(values, k) * similarity**k * (1 - similarity) ** (values - k)
+        if below > loss:
+            return k
+    return values
+
+
 def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key for each band; the band's number is part of it."""
+    """One 64-bit bucket key for each of the first ``BANDS`` bands; the band's number is part of it."""
+    signatures = signatures[:, : BANDS * BAND]
     n, width = signatures.shape
     parts = signatures.reshape(n, width // BAND, BAND)
     key = (words.mix(parts) * _BAND_MULT).sum(axis=2, dtype=np.uint64)
@@ -102,7 +120,10 @@ def _sketch(shingle: int):
                 if some.any():
                     k1[some] = np.add.reduceat(words.mix(sh + np.uint64(1)), at[some])
                     k2[some] = np.add.reduceat(words.mix(sh ^ np.uint64(0x6A09E667F3BCC909)), at[some])
-                keys = band_keys(minmax_signatures(sh, n))
+                signatures = minmax_signatures(sh, n)
+                keys = band_keys(signatures)
+                bytes_of = signatures.astype(np.uint8).tobytes()  # the lowest byte of each value
+                at_byte = np.concatenate(([0], np.cumsum(np.where(some, signatures.shape[1], 0)))).astype(np.int32)
                 width = keys.shape[1]
                 ends = np.concatenate(([0], np.cumsum(np.where(some, width, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -113,8 +134,9 @@ def _sketch(shingle: int):
                         pa.array(k1.view(np.int64)),
                         pa.array(k2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
+                        pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at_byte.tobytes()), pa.py_buffer(bytes_of)]),
                     ],
-                    names=["doc_id", "text", "n_shingles", "k1", "k2", "bands"],
+                    names=["doc_id", "text", "n_shingles", "k1", "k2", "bands", "signature"],
                 )
 
     return run
@@ -146,6 +168,17 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
+def _agree(least: int):
+    """Whether the signatures of each pair agree in ``least`` values or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((u == v).sum(axis=1) >= least)], names=["u", "v", "near"])
+
+    return run
+
+
 def _terms(shingle: int):
     """Each text's distinct shingles, a row each."""
 
@@ -160,20 +193,28 @@ def _terms(shingle: int):
     return run
 
 
-def _texts_of(rows: DataFrame, most: int, texts: DataFrame) -> DataFrame:
-    """``texts(row, text)`` of the numbers in ``rows(row)``, which are distinct and ``most`` at most."""
+def _of(rows: DataFrame, most: int, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with the numbers in ``rows(row)``, which are distinct and ``most`` at most."""
     return texts.join(F.broadcast(rows) if most <= BROADCAST else rows, "row", "left_semi")
 
 
+def _with_both(pairs: DataFrame, rows: DataFrame, most: int, texts: DataFrame, column: str) -> DataFrame:
+    """``u, v`` of pairs with a ``column`` of each; ``rows(row)`` has all their numbers, ``most`` at most."""
+    used = _of(rows, most, texts.select("row", column))
+    both = pairs.join(used.withColumnsRenamed({"row": "v", column: "of_v"}), "v").join(used.withColumnsRenamed({"row": "u", column: "of_u"}), "u")
+    return both.select("u", "v", "of_u", "of_v")
+
+
 def _confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, files: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose full sets are similar, with ``linked``, and the others."""
+    """``pairs(u, v)`` with ``linked``: whether their full sets are similar, for those whose signatures are."""
     pairs = cut(pairs, files)
     n = pairs.count()
     if n == 0:
         return pairs.withColumn("linked", F.lit(False))
-    used = _texts_of(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), 2 * n, texts)
-    both = pairs.join(used.withColumnsRenamed({"row": "v", "text": "v_text"}), "v").join(used.withColumnsRenamed({"row": "u", "text": "u_text"}), "u")
-    return cut(both.select("u", "v", "u_text", "v_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean"), files)
+    rows = pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct()
+    near = _with_both(pairs, rows, 2 * n, texts, "signature").mapInArrow(_agree(least_agreement(percent / 100)), "u long, v long, near boolean")
+    full = _with_both(near.where("near").select("u", "v"), rows, 2 * n, texts, "text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean")
+    return cut(pairs.join(full.where("linked"), ["u", "v"], "left").withColumn("linked", F.col("linked").isNotNull()), files)
 
 
 def _left(df: DataFrame, *same: str) -> DataFrame:
@@ -193,7 +234,7 @@ def _mixed(rows: DataFrame, parts: DataFrame, files: int) -> DataFrame:
     """Rows of the buckets that lie in several components, with the component of each."""
     rows = _labelled(rows, parts, files)
     keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return cut(rows.join(cut(keys, files), "key", "left_semi"), files)
+    return cut(rows.join(keys, "key", "left_semi"), files)
 
 
 def _open(rows: DataFrame, parts: DataFrame, percent: int, files: int) -> DataFrame:
@@ -206,18 +247,18 @@ def _open(rows: DataFrame, parts: DataFrame, percent: int, files: int) -> DataFr
     ends = groups.groupBy("key").agg(F.min(F.struct("least", "component")).alias("a"), F.max(F.struct("most", "component")).alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
     others = groups.join(ends, "key").groupBy("key", "a", "b").agg(F.expr("min(least) FILTER (WHERE component <> a.component)").alias("a2"), F.expr("max(most) FILTER (WHERE component <> b.component)").alias("b2"))
     least, most = F.expr("if(component = a.component, a2, a.least)"), F.expr("if(component = b.component, b2, b.most)")
-    known = rows.join(cut(others, files), "key").withColumn("least", least).withColumn("most", most)
+    known = rows.join(others, "key").withColumn("least", least).withColumn("most", most)
     known = cut(known.where(f"{percent} * least <= room and {percent} * n <= most").select(rows.columns).join(groups.select("key", "component", "size"), ["key", "component"]), files)
     same = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit("row"), "rep")).alias("y"), F.count("*").alias("c")]
     keys = known.groupBy("key").agg(*same).groupBy("x", "y", "c").agg(F.min("key").alias("key"))
-    return cut(known.join(cut(keys.select("key"), files), "key", "left_semi"), files)
+    return cut(known.join(keys.select("key"), "key", "left_semi"), files)
 
 
 def _rare_pairs(rows: DataFrame, texts: DataFrame, shingle: int, percent: int, files: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that may be linked by the rare shingles that they share; and ``(rep, room)``: what a partner's size times ``percent`` may be if they share none."""
     members = cut(rows.select("rep", "n", "component").distinct(), files)
-    known = cut(_texts_of(members.select(F.col("rep").alias("row")), members.count(), texts).mapInArrow(_terms(shingle), "rep long, s long"), files)
-    often = cut(known.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") <= RARE), files)
+    known = cut(_of(members.select(F.col("rep").alias("row")), members.count(), texts.select("row", "text")).mapInArrow(_terms(shingle), "rep long, s long"), files)
+    often = known.groupBy("s").agg(F.count("*").alias("often")).where(F.col("often") <= RARE)
     rare = cut(known.join(often, "s"), files)
     outside = rare.groupBy("rep").agg(F.count("*").alias("out"))
     members = cut(members.join(outside, "rep", "left").withColumn("m", F.col("n") - F.coalesce("out", F.lit(0))).drop("out"), files)
@@ -237,10 +278,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "sketches")
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sketches = docs.mapInArrow(_sketch(shingle), f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>")
+    sketches = docs.mapInArrow(_sketch(shingle), f"doc_id {kind}, text string, n_shingles long, k1 long, k2 long, bands array<long>, signature binary")
     sketches.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     base = spark.read.parquet(path)
-    texts = base.select("row", "text")
+    texts = base.select("row", "text", "signature")
     files = parts_for(base.count(), DOCS)
     full = base.where("n_shingles > 0")
 
@@ -248,9 +289,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = cut(full.groupBy("k1", "k2").agg(first.alias("f")).select("k1", "k2", F.col("f.row").alias("rep"), "f.doc_id"), files)
     reps = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     buckets = reps.select(F.explode("bands").alias("key"), F.col("row").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), files)
+    shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     rows = cut(buckets.join(shared, "key"), files)
-    central = cut(rows.groupBy("rep").agg(F.sum("members").alias("central")), files)
+    central = rows.groupBy("rep").agg(F.sum("members").alias("central"))
     rows = cut(rows.drop("members").join(central, "rep"), files)
 
     rank = F.struct("central", F.xxhash64("rep"))
@@ -278,7 +319,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         rows, led = _open(rows, parts, percent, files), LEADERS
         while not rows.isEmpty():
             keys = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # a document has two for each band at most
-            wide = cut(rows.join(keys, "rep"), files)
+            wide = rows.join(keys, "rep")
             place = F.row_number().over(W.partitionBy("key").orderBy("size", F.desc("central"), F.desc(F.xxhash64("rep"))))
             lead = cut(wide.withColumn("place", place).where(F.col("place") <= led).drop("place", "central"), files)
             fits = f"component <> l_component and {_fits('n', 'l_n', percent)} and {percent} * n <= l_room and {percent} * l_n <= room"
