@@ -34,9 +34,11 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import cut, parts_for
 
 LEAST = 0.7
+#: Passages whose rows of an intermediate table lie in one file.
+PASSAGES = 25_000
 #: SPDX ids, notices as licences ask for them or as they are commonly worded, and short licence texts.
 SPDX = (
     "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only "
@@ -208,8 +210,8 @@ def telling(text: str) -> tuple[list[str], list[str], bool]:
     return every(MARKS), every(VERSION), bool(re.search(DENIAL, text.lower()))
 
 
-def match_passages(passages: DataFrame) -> DataFrame:
-    """``p1, p2, licence, similarity``: the best template of each passage of ``passages(p1, p2, passage)`` that says nothing else."""
+def match_passages(passages: DataFrame, files: int | None = None) -> DataFrame:
+    """``p1, p2, licence, similarity``: the best template of each passage of ``passages(p1, p2, passage)`` that says nothing else; ``files`` is in how many files their terms are kept."""
     spark = passages.sparkSession
     known = spark.createDataFrame(list(IDF.items()), "term string, idf double")
     rows = [(k, TEMPLATES[k][0], t, w / math.sqrt(sum(x * x for x in ws.values()))) for k, ws in enumerate(WEIGHTS) for t, w in ws.items()]
@@ -217,7 +219,7 @@ def match_passages(passages: DataFrame) -> DataFrame:
     told = spark.createDataFrame([(k, *telling(text)) for k, (_, text) in enumerate(TEMPLATES)], "template int, t_marks array<string>, t_versions array<string>, t_denies boolean")
     terms = passages.select("p1", "p2", F.explode(_terms("passage")).alias("term")).groupBy("p1", "p2", "term").agg(F.count("*").alias("tf"))
     weight = ((1 + F.log("tf")) * F.coalesce("idf", F.lit(RAREST))).alias("w")
-    weights = cut(terms.join(F.broadcast(known), "term", "left").select("p1", "p2", "term", weight))
+    weights = cut(terms.join(F.broadcast(known), "term", "left").select("p1", "p2", "term", weight), files)
     norm = weights.groupBy("p1", "p2").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = weights.join(F.broadcast(templates), "term").groupBy("p1", "p2", "licence", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     said = passages.select("p1", "p2", _found("passage", MARKS).alias("marks"), _found("passage", VERSION).alias("versions"), F.lower("passage").rlike(DENIAL).alias("denies"))
@@ -256,17 +258,18 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     parts = files.select(text.alias("t"), *keys).where(anchored(F.col("t"))).select("__t1", "__t2", "__file", F.explode(passages).alias("passage"))
     parts = parts.select("*", F.xxhash64("passage").alias("p1"), F.xxhash64(F.lit("passage"), "passage").alias("p2"))
     parts = cut(parts.dropDuplicates(["__t1", "__t2", "__file", "p1", "p2"]))
-    matched = match_passages(parts.select("p1", "p2", "passage").dropDuplicates(["p1", "p2"])).where(F.col("similarity") >= least)
+    many = parts_for(parts.count(), PASSAGES)
+    matched = match_passages(parts.select("p1", "p2", "passage").dropDuplicates(["p1", "p2"]), many).where(F.col("similarity") >= least)
     pick = F.min_by(F.struct("licence", "similarity"), F.struct(-F.col("similarity"), F.col("licence")))
-    own = parts.select("__t1", "__t2", "__file", "p1", "p2").join(cut(matched), ["p1", "p2"]).groupBy("__t1", "__t2", "__file").agg(pick.alias("own"))
-    own = cut(own)
+    own = parts.select("__t1", "__t2", "__file", "p1", "p2").join(matched, ["p1", "p2"]).groupBy("__t1", "__t2", "__file").agg(pick.alias("own"))
+    own = cut(own, many)
     known = rows.join(own, ["__t1", "__t2", "__file"], "left")
 
     licensed = files.select("path", *keys).where(F.col("__file")).join(own, ["__t1", "__t2", "__file"])
     licensed = licensed.groupBy("__dir").agg(F.min_by("own", F.struct("path", F.col("own.licence"), -F.col("own.similarity"))).alias("from")).withColumnRenamed("__dir", "ancestor")
     dirs = files.select(directory.alias("__dir")).where(F.col("__dir").isNotNull()).distinct().select("__dir", F.inline(ancestors(F.col("__dir"))))
-    nearest = dirs.join(cut(licensed), "ancestor").groupBy("__dir").agg(F.max_by(F.struct("ancestor", "from"), "depth").alias("up")).withColumnRenamed("__dir", "__d")
-    out = known.join(cut(nearest), F.col("__dir") == F.col("__d"), "left")
+    nearest = dirs.join(licensed, "ancestor").groupBy("__dir").agg(F.max_by(F.struct("ancestor", "from"), "depth").alias("up")).withColumnRenamed("__dir", "__d")
+    out = known.join(nearest, F.col("__dir") == F.col("__d"), "left")
     root = F.when(F.col("up.ancestor") == "", F.lit("/")).otherwise(F.col("up.ancestor"))
     return out.select(
         *(F.col(c) for c in keep),
