@@ -20,8 +20,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a <> b").distinct()
     e = cut(e, files)
-    parts = parts_for(e.count(), EDGES)
-    if e.isEmpty():
+    n = e.count()
+    parts = parts_for(n, EDGES)
+    if n == 0:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     for _ in range(max_rounds):
