@@ -210,20 +210,22 @@ def telling(text: str) -> tuple[list[str], list[str], bool]:
     return every(MARKS), every(VERSION), bool(re.search(DENIAL, text.lower()))
 
 
-def match_passages(passages: DataFrame, files: int | None = None) -> DataFrame:
-    """``p1, p2, licence, similarity``: the best template of each passage of ``passages(p1, p2, passage)`` that says nothing else; ``files`` is in how many files their terms are kept."""
+def match_passages(passages: DataFrame) -> DataFrame:
+    """``p1, p2, licence, similarity``: the best template of each passage of ``passages(p1, p2, passage)`` that says nothing else."""
     spark = passages.sparkSession
     known = spark.createDataFrame(list(IDF.items()), "term string, idf double")
     rows = [(k, TEMPLATES[k][0], t, w / math.sqrt(sum(x * x for x in ws.values()))) for k, ws in enumerate(WEIGHTS) for t, w in ws.items()]
     templates = spark.createDataFrame(rows, "template int, licence string, term string, tw double")
     told = spark.createDataFrame([(k, *telling(text)) for k, (_, text) in enumerate(TEMPLATES)], "template int, t_marks array<string>, t_versions array<string>, t_denies boolean")
+    # All that follows is grouped by the passage first, so that the passages' own distribution serves every step.
     terms = passages.select("p1", "p2", F.explode(_terms("passage")).alias("term")).groupBy("p1", "p2", "term").agg(F.count("*").alias("tf"))
     weight = ((1 + F.log("tf")) * F.coalesce("idf", F.lit(RAREST))).alias("w")
-    weights = cut(terms.join(F.broadcast(known), "term", "left").select("p1", "p2", "term", weight), files)
-    norm = weights.groupBy("p1", "p2").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = weights.join(F.broadcast(templates), "term").groupBy("p1", "p2", "licence", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    weights = terms.join(F.broadcast(known), "term", "left").select("p1", "p2", "term", "idf", weight)
+    met = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w")))  # as many as the templates have terms
+    each = weights.groupBy("p1", "p2").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), met.alias("met"))
+    dot = each.select("p1", "p2", "norm", F.inline("met")).join(F.broadcast(templates), "term").groupBy("p1", "p2", "licence", "template", "norm").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     said = passages.select("p1", "p2", _found("passage", MARKS).alias("marks"), _found("passage", VERSION).alias("versions"), F.lower("passage").rlike(DENIAL).alias("denies"))
-    cosine = dot.join(norm, ["p1", "p2"]).join(said, ["p1", "p2"]).join(F.broadcast(told), "template")
+    cosine = dot.join(said, ["p1", "p2"]).join(F.broadcast(told), "template")
     cosine = cosine.where("marks = t_marks AND (size(t_versions) = 0 OR versions = t_versions) AND (t_denies OR NOT denies)")
     cosine = cosine.select("p1", "p2", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
     best = F.min_by(F.struct("licence", "similarity"), F.struct(-F.col("similarity"), F.col("licence")))
@@ -259,7 +261,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     parts = parts.select("*", F.xxhash64("passage").alias("p1"), F.xxhash64(F.lit("passage"), "passage").alias("p2"))
     parts = cut(parts.dropDuplicates(["__t1", "__t2", "__file", "p1", "p2"]))
     many = parts_for(parts.count(), PASSAGES)
-    matched = match_passages(parts.select("p1", "p2", "passage").dropDuplicates(["p1", "p2"]), many).where(F.col("similarity") >= least)
+    matched = match_passages(parts.select("p1", "p2", "passage").dropDuplicates(["p1", "p2"])).where(F.col("similarity") >= least)
     pick = F.min_by(F.struct("licence", "similarity"), F.struct(-F.col("similarity"), F.col("licence")))
     own = parts.select("__t1", "__t2", "__file", "p1", "p2").join(matched, ["p1", "p2"]).groupBy("__t1", "__t2", "__file").agg(pick.alias("own"))
     own = cut(own, many)
