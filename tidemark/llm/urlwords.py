@@ -46,6 +46,9 @@ SMOOTH = 0.5
 #: Share of URLs that is to be blocked, before a word is seen.
 PRIOR = 0.2
 
+#: Characters of a table's keys, and 100 for each row, up to which it is broadcast instead of shuffling the URLs.
+BROADCAST = 16_000_000
+
 #: Example names of sites to block, and of sites to allow, a space between words.
 BLOCK = """
 casino win;online casino;casino bonus;live casino;mega casino;poker online;poker win;free poker;slots win;free slots;jackpot slots;jackpot win;free bets;sports bets;best bets;bet win;bet bonus;betting tips;
@@ -244,6 +247,13 @@ def name_scores(names: DataFrame, words: DataFrame, weight: dict[str, float]) ->
     return used.join(F.broadcast(table), "word").groupBy("name").agg(F.sum("weight").alias("score"))  # as many words as the examples have
 
 
+def _joinable(table: DataFrame, key: str) -> DataFrame:
+    """A kept table, to be broadcast if its counted size allows it."""
+    kept = cut(table)
+    size = kept.agg(F.coalesce(F.sum(F.length(key) + 100), F.lit(0))).first()[0]
+    return F.broadcast(kept) if size <= BROADCAST else kept
+
+
 def judge(pages: DataFrame, counts: DataFrame, vocabulary: str, rules: Iterable[Rule] = RULES, block: str = BLOCK, allow: str = ALLOW, prior: float = PRIOR) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of each of ``pages(page_id, url)``; ``counts(word, n)`` and the tokenizer's file ``vocabulary`` make the lexicon.
 
@@ -259,7 +269,7 @@ def judge(pages: DataFrame, counts: DataFrame, vocabulary: str, rules: Iterable[
     scored = name_scores(cut(spread.select("name").distinct()), words, weights(*examples))
     scores = spread.join(scored, "name").groupBy("names").agg(F.sum("score").alias("score"))
     fitting = fitting_rules(urls.select("host").distinct(), rules)
-    rows = urls.join(fitting, "host", "left").join(scores, "names", "left")
+    rows = urls.join(_joinable(fitting, "host"), "host", "left").join(_joinable(scores, "names"), "names", "left")
     rule = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
     score = F.coalesce("score", F.lit(0.0)) + math.log(prior / (1 - prior))
     rows = rows.select("page_id", "host", "path", rule.alias("r"), score.alias("score"))
