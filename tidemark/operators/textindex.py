@@ -31,7 +31,10 @@ def words_of(text: str | Column) -> Column:
 
 
 def build(docs: DataFrame, path: str, doc: str, text: str, buckets: int = BUCKETS, spread: int = SPREAD) -> None:
-    """Write the index of a text column (FL11). Words are shuffled once, to the files that they end in."""
+    """Write the index of a text column (FL11). Words are shuffled once, to the files that they end in.
+
+    There are ``buckets * spread`` files, each a task's work: for large tables more of both, so that a file is about 1 GB.
+    """
     each = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(words_of(text)).alias("position", "term"))
     home = each.withColumn("bucket", _bucket("term", buckets)).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(spread)).cast("int"))
     dealt = home.repartition(buckets * spread, "bucket", "part").groupBy("bucket", "part", "term", "doc").agg(F.sort_array(F.collect_list("position")).alias("positions"))

@@ -82,8 +82,9 @@ def publish(df: DataFrame, root: str, bucket: Column, base: int | None = None) -
     both = now.withColumnRenamed("__bucket", "bucket").join(old.select("bucket", "folder", F.col("digest").alias("was")), "bucket", "left")
     kept = F.lit(same) & F.col("was").eqNullSafe(F.col("digest"))
     plan = cut(both.select("bucket", F.when(kept, F.col("folder")).otherwise(folder).alias("folder"), "rows", "digest", (~kept).alias("write")))
-    found = rows.join(plan.where("write").select(F.col("bucket").alias("__bucket")), "__bucket", "left_semi")
-    found.repartition("__bucket").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("__bucket").parquet(f"{root}/data/{folder}")
+    parts = F.ceil(F.col("rows") / FILE_ROWS).alias("__parts")  # a large bucket is written by several tasks
+    found = rows.withColumn("__hash", h1).join(plan.where("write").select(F.col("bucket").alias("__bucket"), parts), "__bucket")
+    found.repartition("__bucket", F.pmod("__hash", "__parts")).drop("__hash", "__parts").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("__bucket").parquet(f"{root}/data/{folder}")
     plan.drop("write").coalesce(1).write.parquet(f"{root}/manifest/{folder}")
     spark.createDataFrame([(number + 1, folder, df.schema.json())], _STATE).coalesce(1).write.mode("append").json(f"{root}/states")
     if _state(spark, root, number + 1).folder != folder:
