@@ -39,9 +39,11 @@ def avro_batch(c):
 
 
 def _index(c) -> textindex.Index:
-    path = new_table_path(c.spark, "text-index")
-    textindex.build(c.spark.read.parquet(f"{c.sf_dir}/documents.parquet"), path, "doc_id", "text")
-    return textindex.Index(c.spark, path)
+    """The index of all documents, in as many buckets as their number asks for."""
+    path, docs = new_table_path(c.spark, "text-index"), c.spark.read.parquet(f"{c.sf_dir}/documents.parquet")
+    buckets = max(8, min(4096, docs.count() // 2000))
+    textindex.build(docs, path, "doc_id", "text", buckets=buckets, spread=2)
+    return textindex.Index(c.spark, path, buckets)
 
 
 _WORDS = "SELECT doc_id AS doc, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents"
@@ -294,7 +296,7 @@ def nested_tags(c):
 def index_updates(c):
     """The index published twice, the second time with some rows changed and one removed, and read again."""
     rows, root = c["image"].select("id", "image_identifier", "title"), new_table_path(c.spark, "index")
-    bucket = F.floor(F.col("id") / 20)
+    bucket = F.floor(F.col("id") / max(20, rows.count() // 256))  # ranges of ids, some 256 of them at any size
     index_store.publish(rows, root, bucket)
     later = index_store.read(c.spark, root).where("id <> 41").withColumn("title", F.when(F.col("id").between(40, 59), "renamed").otherwise(F.col("title")))
     index_store.publish(later, root, bucket)
