@@ -193,6 +193,29 @@ def test_a_search_opens_its_buckets_only(index):
     assert 0 < opened(index.postings("cat")) <= 3 < opened(index.spark.read.parquet(index.path))  # one bucket, as many files as it is spread over
 
 
+def shuffled(spark, run):
+    """Rows that the stages of a run write to shuffles."""
+    store, ids = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda l: [l.apply(i) for i in range(l.size())])(store.stageList(None, False, False, ids, None))}
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_postings_are_shuffled_in_blocks(spark, texts, tmp_path):
+    """Far fewer rows than words, and once; rows that share an id, in one block or several, are one document."""
+    rows = [t for t in texts if t[0] < 150] + [(7, "red cat"), (7, "the cat red cat")]
+    df = spark.createDataFrame(rows, "d long, t string").repartition(5)
+    n = shuffled(spark, lambda: textindex.build(df, str(tmp_path / "i"), "d", "t", buckets=8, spread=3))
+    assert n - len(rows) < 5 * 8 * 3 < sum(len(words(t)) for _, t in rows) / 10  # the table itself is dealt out by the test
+    at = {}
+    for d, t in rows:
+        for k, w in enumerate(words(t)):
+            at.setdefault((w, d), []).append(k)
+    got = [((r.term, r.doc), r.positions) for r in spark.read.parquet(str(tmp_path / "i")).collect()]
+    assert len(got) == len(at) and dict(got) == {k: sorted(v) for k, v in at.items()}
+
+
 def test_fragments(spark, index, texts):
     got = {}
     for r in textindex.fragments(spark.createDataFrame(texts, "d long, t string"), index.phrase("the the"), "d", "t", size=7, most=2).collect():
