@@ -63,3 +63,10 @@ def test_heap_merges(data):
         i = best[1]
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
     assert bpe.merge_long(data, ranks) == [ranks[p] for p in parts]
+
+
+def test_ranks_are_not_in_the_plan(docs):
+    """Digits of the rank map in the plan are megabytes of the driver's memory; its arrays stay out of the rows too."""
+    plan = bpe.encode_digests(docs([(1, "a b")]), PATH, PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 50_000
+    assert sum("MapInArrow" in line for line in plan.splitlines()) == 2 and not [line for line in plan.splitlines() if " AS __slots" in line]

@@ -3,7 +3,7 @@
 The texts are cut by the tokenizer's pattern in the JVM. Each task keeps a table of the
 distinct pieces it has met; only pieces new to it go, as byte arrays, through the fold,
 which merges the adjacent pair of lowest rank again and again by a rank map held in two
-literal arrays (a perfect hash of pairs). A text's ids are then the table's entries in the
+arrays (a perfect hash of pairs). A text's ids are then the table's entries in the
 order of its pieces. No text is shuffled, and a task that is lost is simply run again.
 
 Every task's table begins with the same frequent pieces: the ``FREQUENT`` most frequent of a
@@ -55,8 +55,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def _tables(path: str) -> tuple[str, str, str]:
-    """The rank map as text: ranks of single bytes, displacements and slots of a perfect hash of pairs."""
+def _tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rank map: ranks of single bytes, displacements and slots of a perfect hash of pairs."""
     ranks = load_ranks(path)
     pairs = {}
     for token, rank in ranks.items():
@@ -83,20 +83,28 @@ def _tables(path: str) -> tuple[str, str, str]:
         slots[at] = (key[g] << 28) | (np.array([pairs[k] for k in key[g].tolist()]) << 12)
         shift[bucket[g[0]]] = d
     slots[~taken] = 1 << 61  # no pair's
-    return tuple(",".join(map(str, x)) for x in ([ranks[bytes([b])] for b in range(256)], shift.tolist(), slots.tolist()))
-
-
-def _longs(text: str) -> Column:
-    return F.split(F.lit(text), ",").cast("array<bigint>")
+    return np.array([ranks[bytes([b])] for b in range(256)]), shift, slots
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(piece: Column, ranks_path: str) -> Column:
+def with_folds(rows: DataFrame, name: str, ranks_path: str, body: Callable[[Callable[[Column], Column]], Column]) -> DataFrame:
+    """``rows`` with the column ``name`` that ``body`` makes of the fold of a piece.
+
+    The rank map's arrays are scalar subqueries: as literals their digits would stand in every text of the plan that the
+    driver keeps. Spark puts each into its one use, so no row holds them.
+    """
+    spark, path, names = rows.sparkSession, new_table_path(rows.sparkSession, "ranks"), ["singles", "shift", "slots"]
+    spark.createDataFrame(pa.table({n: pa.array([x.tolist()], pa.list_(pa.int64())) for n, x in zip(names, _tables(ranks_path))})).coalesce(1).write.parquet(path)
+    given = rows.select("*", *(spark.read.parquet(path).select(n).scalar().alias(f"__{n}") for n in names))
+    folds = _let(F.array(*(F.col(f"__{n}") for n in names)), lambda t: _let(t[0], lambda a: _let(t[1], lambda b: _let(t[2], lambda c: body(lambda piece: fold_merges(piece, a, b, c))))))
+    return given.select(*(c for c in rows.columns if c != name), folds.alias(name))
+
+
+def fold_merges(piece: Column, singles: Column, shift: Column, slots: Column) -> Column:
     """The ids of one piece, given as an array of byte values: each step merges the first pair of the lowest rank."""
-    singles, shift, slots = map(_longs, _tables(ranks_path))
     done = F.array(F.lit(-1).cast("long"))
 
     def candidate(k: Column, i: Column) -> Column:
@@ -263,7 +271,8 @@ def frequent_pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str, te
     spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "pieces")
     top = counts.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece")
     top.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)  # so that the rank literals are planned once, without a shuffle
-    got = spark.read.parquet(path).mapInArrow(_split_bytes, "piece binary, bytes array<int>").select("piece", fold_merges(F.col("bytes"), ranks_path).cast("array<int>").alias("ids")).toArrow()
+    pieces = spark.read.parquet(path).mapInArrow(_split_bytes, "piece binary, bytes array<int>")
+    got = with_folds(pieces, "ids", ranks_path, lambda fold: fold(F.col("bytes")).cast("array<int>")).select("piece", "ids").toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_file(sink, got.schema) as out:
         out.write_table(got)
@@ -279,7 +288,8 @@ def _frequent_table(frequent: Broadcast) -> tuple[list[bytes], list[list[int]]]:
 
 def _pieces_encoded(docs: DataFrame, frequent: Broadcast, ranks_path: str, pattern: str, key: str, text: str) -> DataFrame:
     indexed = _pieces(docs, pattern, key, text).mapInArrow(_index(frequent), _INDEXED)
-    return indexed.withColumn("new", F.transform("new", lambda p: fold_merges(p, ranks_path).cast("array<int>")))
+    folded = with_folds(indexed, "new", ranks_path, lambda fold: F.transform("new", lambda p: fold(p).cast("array<int>")))
+    return folded.select(*indexed.columns)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
