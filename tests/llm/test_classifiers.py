@@ -76,6 +76,18 @@ def test_junk_is_not_identified(docs, n):
     assert len(kept) >= 0.995 * n
 
 
+def test_least_evidence_counts_all_rows(spark, monkeypatch):
+    """More held-out rows than any sample held: the threshold is their quantile, to a step."""
+    rows = spark.range(48_000).selectExpr("id AS doc_id", "'aa' AS lang", "translate(cast(id AS string), '0123456789', 'abcdefghij') AS text")
+    score = lambda text: 0.7 + 0.3 * zlib.crc32(text.encode()) / 2**32
+    monkeypatch.setattr(langid, "label", lambda docs, net, keep: docs.selectExpr("struct(lang, text) AS row", "lang AS lang_pred", "0.7 + 0.3 * crc32(text) / 4294967296D AS score"))
+    net = langid.Network(None, None, None, None, ["aa", "bb"])
+    e = sorted(score(str(i).translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(48_000) if zlib.crc32(str(i).encode()) % 4 == 2)
+    low = langid.least_evidence(rows, net)
+    assert len(e) > 10_000 and low == int(e[-(-len(e) // 1000) - 1] * langid.STEPS) / langid.STEPS
+    assert sum(x < low for x in e) <= len(e) * langid.LOST
+
+
 def test_gradients():
     """Backpropagation through time agrees with finite differences."""
     rng = np.random.default_rng(0)

@@ -30,11 +30,11 @@ from tidemark.llm.sampling import smallest_hashes
 
 SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 24_000
-#: Held-out documents that the least evidence is taken from, the share of them that may fall below it, and its least
-#: distance from chance, as a share of the way to 1.
-HELD_DOCS = 8000
+#: The share of held-out documents that may fall below the least evidence, its least distance from chance, as a share of
+#: the way to 1, and the steps from 0 to 1 that evidence is counted in.
 LOST = 0.001
 MARGIN = 0.1
+STEPS = 10_000
 #: Longest run of bytes that is read as one sequence.
 PIECE = 24
 HIDDEN = 12
@@ -246,18 +246,21 @@ def _evidence(languages: int) -> Column:
 def least_evidence(docs: DataFrame, net: Network) -> float:
     """What a document's evidence must reach, from the evidence of held-out rows that are labelled as they should be.
 
-    All but one in ``1 / LOST`` of those reach it, and it is at least ``MARGIN`` of the way from chance to 1. Where
-    there are too few of them to tell such a quantile, the margin decides. One language can't be told from others.
+    All such rows count. All but one in ``1 / LOST`` of them reach it, to a step of ``1 / STEPS`` below that quantile, and it
+    is at least ``MARGIN`` of the way from chance to 1. Where there are too few of them to tell such a quantile, the
+    margin decides. One language can't be told from others.
     """
     n = len(net.languages)
     if n == 1:
         return 0.0
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out()).select("doc_id", "lang", "text")
-    rows = smallest_hashes(rows, "doc_id", HELD_DOCS, "lang", F.xxhash64("text"))
-    right = label(rows, net, ("lang", "text")).where("row.lang = lang_pred").select(_evidence(n).alias("e"))
-    got = right.agg(F.count("*").alias("n"), F.expr(f"percentile_disc({LOST}) WITHIN GROUP (ORDER BY e)").alias("low")).first()
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out()).select("lang", "text")
+    right = label(rows, net, ("lang", "text")).where("row.lang = lang_pred")
+    got = right.groupBy(F.floor(_evidence(n) * STEPS).alias("step")).agg(F.count("*").alias("n")).orderBy("step").collect()  # STEPS + 1 rows at most
+    ends = np.cumsum([r.n for r in got])
     margin = 1 / n + MARGIN * (1 - 1 / n)
-    return max(margin, got.low) if got.n * LOST >= 1 else margin
+    if not got or ends[-1] * LOST < 1:
+        return margin
+    return max(margin, got[int(np.searchsorted(ends, ends[-1] * LOST))].step / STEPS)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
