@@ -227,6 +227,12 @@ def test_fragments(spark, index, texts):
     assert not got
 
 
+def test_fragments_join_texts(spark, index, texts):
+    """Texts meet the hits; their words, which take more room in a shuffle, are made after that."""
+    plan = textindex.fragments(spark.createDataFrame(texts, "d long, t string"), index.phrase("the the"), "d", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan.split("Join")[0] and "regexp_extract_all" not in plan.split("Join", 1)[1]
+
+
 # Scrolling
 
 

@@ -215,7 +215,7 @@ def fragments(docs: DataFrame, hits: DataFrame, doc: str, text: str, size: int =
     cells = hits.select("doc", F.transform("starts", lambda p: F.floor(p / size).cast("int")).alias("cells"), "starts")
     counted = F.transform(F.array_distinct("cells"), lambda c: F.struct((-F.size(F.filter("cells", lambda x: x == c))).alias("n"), c.alias("cell")))
     best = cells.withColumn("best", F.slice(F.array_sort(counted), 1, most))
-    rows = docs.select(F.col(doc).alias("doc"), words_of(text).alias("words")).join(best, "doc")
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(best, "doc").withColumn("words", words_of("text"))  # texts take less of a shuffle than their words
     one = rows.select("doc", "words", "starts", F.explode("best").alias("b"))
     run = F.slice("words", F.col("b.cell") * size + 1, size)
     marked = F.transform(run, lambda w, k: F.when(F.array_contains("starts", k + F.col("b.cell") * size), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
