@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -70,3 +71,18 @@ def test_ranks_are_not_in_the_plan(docs):
     plan = bpe.encode_digests(docs([(1, "a b")]), PATH, PATTERN)._jdf.queryExecution().executedPlan().toString()
     assert len(plan) < 50_000
     assert sum("MapInArrow" in line for line in plan.splitlines()) == 2 and not [line for line in plan.splitlines() if " AS __slots" in line]
+
+
+def test_folds_look_up_two_pairs_a_merge(docs):
+    """The ranks of the other pairs are kept: a lookup of every pair at every merge is quadratic."""
+    text = bpe.fold_merges(F.col("piece"), F.col("meet"), F.col("shift"), F.col("slots"))._jc.toString()
+    assert text.count("slots") == 2 and text.count("transform(") == 2  # these go over the piece once before the merges, and once after
+
+
+def test_folds_merge_like_the_heap(spark):
+    rng = random.Random(3)
+    pieces = [b"a", b"\xff", b"a" * bpe.LONG, b"ab" * (bpe.LONG // 2), b" the" * 100] + [bytes(rng.choices(b"aeinst r\xc3\xa9", k=k)) for k in range(2, 512, 17)]
+    rows = spark.createDataFrame([(bytearray(p), list(p)) for p in pieces], "piece binary, bytes array<int>")
+    ranks = bpe.load_ranks(PATH)
+    for r in bpe.with_folds(rows, "ids", PATH, lambda fold: fold(F.col("bytes"))).collect():
+        assert r.ids == bpe.merge_long(bytes(r.piece), ranks)

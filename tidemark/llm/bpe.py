@@ -3,7 +3,8 @@
 The texts are cut by the tokenizer's pattern in the JVM. Each task keeps a table of the
 distinct pieces it has met; only pieces new to it go, as byte arrays, through the fold,
 which merges the adjacent pair of lowest rank again and again by a rank map held in two
-arrays (a perfect hash of pairs). A text's ids are then the table's entries in the
+arrays (a perfect hash of pairs). The ranks of a piece's pairs are kept beside its ids, so
+that a merge looks up only the two pairs that it makes. A text's ids are then the table's entries in the
 order of its pieces. No text is shuffled, and a task that is lost is simply run again.
 
 Every task's table begins with the same frequent pieces: the ``FREQUENT`` most frequent of a
@@ -42,9 +43,13 @@ TABLE = 350_000
 #: Documents in the sample for frequent pieces, and most pieces kept of them.
 SAMPLE, FREQUENT = 6000, 3 << 16
 
+#: Pieces whose ids are put together at a time.
+SPAN = 1 << 19
+
 _BUCKETS, _SLOTS = 1 << 16, 1 << 17
 _M1, _M2 = 0x2C1B3C6D, 0x297A2D39
-_PLACES = 1 << 12  # positions in a piece that is folded
+_NONE = 1 << 16  # above every rank: of pairs that don't merge
+_RANK, _AT = 26, 16  # bits of a fold's entries: a pair's rank from the first, the place of its left id from the second, that id below
 
 
 @lru_cache(maxsize=4)
@@ -56,8 +61,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=4)
 def _tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rank map: ranks of single bytes, displacements and slots of a perfect hash of pairs."""
+    """The rank map: entries of two bytes that meet, displacements and slots of a perfect hash of pairs."""
     ranks = load_ranks(path)
+    if max(ranks.values()) >= _NONE - 1:
+        raise ValueError("ranks must be less than 65535, which stands for the edges of a piece")
     pairs = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
@@ -80,14 +87,16 @@ def _tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         else:
             raise ValueError("no perfect hash of the merge pairs was found")
         taken[at] = True
-        slots[at] = (key[g] << 28) | (np.array([pairs[k] for k in key[g].tolist()]) << 12)
+        slots[at] = (key[g] << 16) | np.array([pairs[k] for k in key[g].tolist()])
         shift[bucket[g[0]]] = d
     slots[~taken] = 1 << 61  # no pair's
-    return np.array([ranks[bytes([b])] for b in range(256)]), shift, slots
+    byte = [bytes([b]) for b in range(256)]
+    return np.array([(ranks.get(a + b, _NONE) << _RANK) | ranks[a] for a in byte for b in byte] + [(_NONE << _RANK) | ranks[a] for a in byte]), shift, slots
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is computed once: the finish of a fold over nothing, which copies no value as an array's element would be."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def with_folds(rows: DataFrame, name: str, ranks_path: str, body: Callable[[Callable[[Column], Column]], Column]) -> DataFrame:
@@ -96,34 +105,45 @@ def with_folds(rows: DataFrame, name: str, ranks_path: str, body: Callable[[Call
     The rank map's arrays are scalar subqueries: as literals their digits would stand in every text of the plan that the
     driver keeps. Spark puts each into its one use, so no row holds them.
     """
-    spark, path, names = rows.sparkSession, new_table_path(rows.sparkSession, "ranks"), ["singles", "shift", "slots"]
+    spark, path, names = rows.sparkSession, new_table_path(rows.sparkSession, "ranks"), ["meet", "shift", "slots"]
     spark.createDataFrame(pa.table({n: pa.array([x.tolist()], pa.list_(pa.int64())) for n, x in zip(names, _tables(ranks_path))})).coalesce(1).write.parquet(path)
     given = rows.select("*", *(spark.read.parquet(path).select(n).scalar().alias(f"__{n}") for n in names))
     folds = _let(F.array(*(F.col(f"__{n}") for n in names)), lambda t: _let(t[0], lambda a: _let(t[1], lambda b: _let(t[2], lambda c: body(lambda piece: fold_merges(piece, a, b, c))))))
     return given.select(*(c for c in rows.columns if c != name), folds.alias(name))
 
 
-def fold_merges(piece: Column, singles: Column, shift: Column, slots: Column) -> Column:
-    """The ids of one piece, given as an array of byte values: each step merges the first pair of the lowest rank."""
-    done = F.array(F.lit(-1).cast("long"))
+def fold_merges(piece: Column, meet: Column, shift: Column, slots: Column) -> Column:
+    """The ids of one piece, given as an array of byte values: each step merges the first pair of the lowest rank.
+
+    The fold goes over an array of entries, one an id, with an edge at either end that merges with nothing: the rank of the
+    id and the next one as a pair, the place of the id's first byte, the id. The least entry is the pair to merge.
+    """
+    edge = F.array(F.lit((_NONE << _RANK) | (_NONE - 1)))
+
+    def start(b: Column, i: Column) -> Column:
+        """A byte and the next; what ends a piece meets none."""
+        after = F.coalesce(F.shiftleft(b, 8) + F.get(piece, i + 1), b + (1 << 16))
+        return meet[after].bitwiseOR(F.shiftleft(i.cast("long"), _AT))
 
-    def candidate(k: Column, i: Column) -> Column:
-        """The rank above 12 bits of place for a pair that merges; far more for one that does not."""
-        at = (F.shiftright(k * _M2, 24) + shift[F.shiftright(k * _M1, 22).bitwiseAND(_BUCKETS - 1)]).bitwiseAND(_SLOTS - 1)
-        return slots[at].bitwiseXOR(F.shiftleft(k, 28)).bitwiseOR(i)
+    def ranked(left: Column, right: Column) -> Column:
+        """The rank of a pair of ids, in its bits."""
+        k = F.shiftleft(left, 16).bitwiseOR(right)
+        return _let(k, lambda k: F.shiftleft(F.least(slots[hashed(k)].bitwiseXOR(F.shiftleft(k, 16)), F.lit(_NONE).cast("long")), _RANK))
 
-    def step(ids: Column, _: Column) -> Column:
-        keys = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: F.shiftleft(a, 16).bitwiseOR(ids[i + 1]))
+    def hashed(k: Column) -> Column:
+        return (F.shiftright(k * _M2, 24) + shift[F.shiftright(k * _M1, 22).bitwiseAND(_BUCKETS - 1)]).bitwiseAND(_SLOTS - 1)
 
-        def merged(best: Column) -> Column:
-            at = best.bitwiseAND(_PLACES - 1).cast("int")
-            joined = F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(best, 12)), F.slice(ids, at + 3, F.size(ids)))
-            return F.when(best < (65536 << 12), joined).otherwise(F.concat(ids, done))
+    def step(entries: Column, _: Column) -> Column:
+        def merged(best: Column, at: Column) -> Column:
+            new, before, after = F.shiftright(best, _RANK), entries[at - 2], entries[at + 1].bitwiseAND(_NONE - 1)
+            ahead = ranked(before.bitwiseAND(_NONE - 1), new).bitwiseOR(before.bitwiseAND((1 << _RANK) - 1))
+            here = ranked(new, after).bitwiseOR(best.bitwiseAND((1 << _RANK) - _NONE)).bitwiseOR(new)
+            return F.flatten(F.array(F.slice(entries, F.lit(1), at - 2), F.array(ahead, here), F.slice(entries, at + 2, F.size(entries))))
 
-        live = (F.size(ids) > 1) & (ids[F.size(ids) - 1] >= 0)
-        return F.when(live, _let(F.array_min(F.transform(keys, candidate)), merged)).otherwise(ids)
+        return _let(F.array_min(entries), lambda best: F.when(best < (_NONE << _RANK), _let(F.array_position(entries, best).cast("int"), lambda at: merged(best, at))).otherwise(entries))
 
-    return F.aggregate(piece, F.transform(piece, lambda b: singles[b]), step, lambda ids: F.filter(ids, lambda x: x >= 0))
+    ended = F.aggregate(piece, F.concat(edge, F.transform(piece, start), edge), step)
+    return _let(ended, lambda entries: F.transform(F.slice(entries, F.lit(2), F.size(entries) - 2), lambda x: x.bitwiseAND(_NONE - 1)))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -163,7 +183,7 @@ def _index(frequent: Broadcast):
     """Replace pieces by places in the task's table; pieces new to it come with a batch's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = {p: k for k, p in enumerate(_frequent_table(frequent)[0])}
+        base = {p: k for k, p in enumerate(_frequent_table(frequent)["piece"].to_pylist())}
         table = dict(base)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -199,56 +219,81 @@ def _index(frequent: Broadcast):
     return run
 
 
+def _spelled(ids: pa.ListArray, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+    """For each list of ids their words, one after the other."""
+    flat = words.take(ids.flatten())
+    starts = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(starts[_ends(ids)]), flat.buffers()[2]])
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], frequent: Broadcast, tokens: pa.LargeBinaryArray, made: Callable[[pa.ListArray], list[pa.Array]]):
+    """``(keys, places, columns)`` for runs of rows that have at most ``SPAN`` pieces or are one.
+
+    The columns are what ``made`` makes of the ids of the task's table. They are Arrow arrays: as Python objects they
+    took several times the memory.
+    """
+    ids = _frequent_table(frequent)["ids"].combine_chunks()
+    base, start, ranks = made(ids), len(ids), {}
+    table = base
+    for batch in batches:
+        fresh, ends = batch.column(2).to_numpy(zero_copy_only=False), _ends(batch.column(1))
+        at = 0
+        while at < batch.num_rows:
+            if fresh[at] >= 0:
+                new, long = batch.column(3)[at].values, batch.column(4)[at].as_py()
+                if long:
+                    ranks, rest = ranks or {t: k for k, t in enumerate(tokens.to_pylist())}, iter(long)
+                    new = pa.array([i or merge_long(next(rest), ranks) for i in new.to_pylist()], ids.type)
+                table = base if fresh[at] == start else table
+                table = [pa.concat_arrays(c) for c in zip(table, made(new))] if len(new) else table
+            later = np.flatnonzero(fresh[at + 1 :] >= 0)
+            to = min(at + 1 + later[0] if len(later) else batch.num_rows, max(at + 1, int(np.searchsorted(ends, ends[at] + SPAN, "right")) - 1))
+            yield batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), table
+            at = to
+
+
+def _tokens(path: str) -> pa.LargeBinaryArray:
+    """Tokens by rank: read on the driver only, tasks get them with their code."""
+    by_rank = {r: b for b, r in load_ranks(path).items()}
+    return pa.array([by_rank.get(r, b"") for r in range(max(by_rank) + 1)], pa.large_binary())
+
+
 def _digest(path: str, frequent: Broadcast):
-    ranks = load_ranks(path)  # read on the driver only; tasks get it with their code
-    by_rank = {r: b for b, r in ranks.items()}
-    token = tuple(by_rank.get(r, b"") for r in range(max(by_rank) + 1))
+    tokens = _tokens(path)
+    numbers = pa.array([b"%d " % r for r in range(len(tokens))], pa.large_binary())
+
+    def made(ids: pa.ListArray) -> list[pa.Array]:
+        return [ids.value_lengths().cast(pa.int64()), _spelled(ids, numbers), _spelled(ids, tokens)]
+
+    def hashes(words: pa.LargeBinaryArray, ends: np.ndarray, less: int) -> list[str]:
+        """Digests of what runs of words give, without the last ``less`` bytes of each."""
+        if not len(words):
+            return [hashlib.sha256().hexdigest()] * (len(ends) - 1)
+        data, at = memoryview(words.buffers()[2] or b""), np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)[ends].tolist()
+        return [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at, at[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = _frequent_table(frequent)[1]
-        base_text, base_raw = [" ".join(map(str, i)).encode() for i in base], [b"".join([token[k] for k in i]) for i in base]
-        base_size, start = np.fromiter(map(len, base), np.int64, len(base)), len(base)
-        del base
-        text, raw, size = list(base_text), list(base_raw), base_size
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            ix_all = batch.column(1)
-            flat, ends = ix_all.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(ix_all.value_lengths().to_numpy(zero_copy_only=False))))
-            fresh = batch.column(2).to_numpy(zero_copy_only=False)
-            for r in range(batch.num_rows):
-                if fresh[r] >= 0:
-                    if fresh[r] == start:
-                        text, raw, size = list(base_text), list(base_raw), base_size
-                    long = iter(batch.column(4)[r].as_py())
-                    ids = [i or merge_long(next(long), ranks) for i in batch.column(3)[r].as_py()]
-                    text += [" ".join(map(str, i)).encode() for i in ids]
-                    raw += [b"".join([token[k] for k in i]) for i in ids]
-                    size = np.concatenate((size, np.fromiter(map(len, ids), np.int64, len(ids))))
-                ix = flat[ends[r] : ends[r + 1]]
-                places = ix.tolist()
-                out[0].append(int(size[ix].sum()))
-                out[1].append(hashlib.sha256(b" ".join(map(text.__getitem__, places))).hexdigest())
-                out[2].append(hashlib.sha256(b"".join(map(raw.__getitem__, places))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), *map(pa.array, (out[1], out[2]))], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for keys, places, (size, text, raw) in _runs(batches, frequent, tokens, made):
+            ix, ends = places.flatten(), _ends(places)
+            total = np.concatenate(([0], np.cumsum(size.take(ix).to_numpy())))[ends]
+            out = [keys, pa.array(np.diff(total)), pa.array(hashes(text.take(ix), ends, 1)), pa.array(hashes(raw.take(ix), ends, 0))]
+            yield pa.RecordBatch.from_arrays(out, names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
 def _ids(path: str, frequent: Broadcast):
-    ranks = load_ranks(path)
+    tokens = _tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = _frequent_table(frequent)[1]
-        table = list(base)
-        for batch in batches:
-            out = []
-            for key_ix, fresh, new, long in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
-                if fresh >= 0:
-                    table = list(base) if fresh == len(base) else table
-                    rest = iter(long)
-                    table += [i or merge_long(next(rest), ranks) for i in new]
-                out.append([t for k in key_ix for t in table[k]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["key", "ids"])
+        for keys, places, (ids,) in _runs(batches, frequent, tokens, lambda ids: [ids]):
+            taken = ids.take(places.flatten())
+            out = pa.ListArray.from_arrays(pa.array(_ends(taken)[_ends(places)].astype(np.int32)), taken.flatten())
+            yield pa.RecordBatch.from_arrays([keys, out], names=["key", "ids"])
 
     return run
 
@@ -279,11 +324,8 @@ def frequent_pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str, te
     return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
-def _frequent_table(frequent: Broadcast) -> tuple[list[bytes], list[list[int]]]:
-    table = pa.ipc.open_file(pa.BufferReader(frequent.value)).read_all()
-    ids = table["ids"].combine_chunks()
-    ends, flat = np.cumsum(ids.value_lengths().to_numpy()).tolist(), ids.flatten().to_pylist()
-    return table["piece"].to_pylist(), [flat[a:b] for a, b in zip([0, *ends], ends)]
+def _frequent_table(frequent: Broadcast) -> pa.Table:
+    return pa.ipc.open_file(pa.BufferReader(frequent.value)).read_all()
 
 
 def _pieces_encoded(docs: DataFrame, frequent: Broadcast, ranks_path: str, pattern: str, key: str, text: str) -> DataFrame:
