@@ -1,7 +1,9 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -86,3 +88,22 @@ def test_folds_merge_like_the_heap(spark):
     ranks = bpe.load_ranks(PATH)
     for r in bpe.with_folds(rows, "ids", PATH, lambda fold: fold(F.col("bytes"))).collect():
         assert r.ids == bpe.merge_long(bytes(r.piece), ranks)
+
+
+def test_a_worker_holds_one_table(monkeypatch):
+    """It grows from the frequent pieces and is made of them anew when it is too long."""
+    monkeypatch.setattr(bpe, "TABLE", 5)
+    ranks, known, sink = bpe.load_ranks(PATH), [b"a", b" the"], pa.BufferOutputStream()
+    table = pa.table({"piece": pa.array(known), "ids": pa.array([[ranks[p]] for p in known], pa.list_(pa.int32()))})
+    with pa.ipc.new_file(sink, table.schema) as out:
+        out.write_table(table)
+    frequent, rows = SimpleNamespace(value=sink.getvalue().to_pybytes()), [["a", "xq", "zzq"], [], [" the", "xq"], ["qa", "qb", "qc"], ["xq", "a" * 600, "a"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([r], pa.list_(pa.string()))], names=["key", "pieces"]) for k, r in enumerate(rows)]
+    found, run = [], bpe._index(frequent)(iter(batches))
+    for b in run:
+        assert sum(isinstance(v, dict) for v in run.gi_frame.f_locals.values()) == 1
+        folded = [[[] if len(p) > bpe.LONG else bpe.merge_long(bytes(p), ranks) for p in new] for new in b.column(3).to_pylist()]
+        found.append(b.set_column(3, "new", pa.array(folded, pa.list_(pa.list_(pa.int32())))))
+    assert [b.column(2)[0].as_py() for b in found] == [2, 4, 4, 4, 2]
+    got = [i for b in bpe._ids(PATH, frequent)(iter(found)) for i in b.column(1).to_pylist()]
+    assert got == [[i for p in r for i in bpe.merge_long(p.encode(), ranks)] for r in rows]

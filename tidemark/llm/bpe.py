@@ -176,6 +176,10 @@ def _byte_lists(pieces: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
+def _places(frequent: Broadcast) -> dict[bytes, int]:
+    return {p: k for k, p in enumerate(_frequent_table(frequent)["piece"].to_pylist())}
+
+
 _INDEXED = "key long, ix array<int>, fresh int, new array<array<int>>, long array<binary>"
 
 
@@ -183,15 +187,15 @@ def _index(frequent: Broadcast):
     """Replace pieces by places in the task's table; pieces new to it come with a batch's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = {p: k for k, p in enumerate(_frequent_table(frequent)["piece"].to_pylist())}
-        table = dict(base)
+        table = _places(frequent)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 lists = batch.column(1)
                 flat = lists.flatten().cast(pa.binary()).dictionary_encode()
                 if len(table) > TABLE:
-                    table = dict(base)
+                    table.clear()  # before it is made anew, so that two are never held
+                    table = _places(frequent)
                 fresh, new, place = len(table), [], []
                 for p in flat.dictionary.to_pylist():
                     k = table.get(p)
